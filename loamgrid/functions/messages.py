@@ -80,7 +80,7 @@ def correction_text(col: Column, trigger_words: Sequence[str] = CORRECTION_WORDS
 def cache_key(col: Column, intent_col: Column | None = None, prefix: str = "answers:") -> Column:
     """Stable key of a question: lower case, punctuation and filler words dropped, blanks collapsed, MD5."""
     text = F.regexp_replace(F.lower(col), r"[?!.,،؟]", "")
-    text = F.regexp_replace(text, r"\b(" + "|".join(FILLER_WORDS) + r")\b", "")
+    text = F.regexp_replace(text, r"(?<!\w)(" + "|".join(FILLER_WORDS) + r")(?!\w)", "")
     text = F.trim(F.regexp_replace(text, r"[ \t\n\r]+", " "))
     if intent_col is not None:
         text = F.concat(text, F.when(F.coalesce(intent_col, F.lit("")) != "", F.concat(F.lit("::"), intent_col)).otherwise(""))

@@ -19,7 +19,7 @@ def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str], id_c
     """One row per key, the least by ``order`` then id.  Only keys and ids are aggregated; the rows themselves
     move once, in the semi join on the unique id."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
-    first = (df.select(*named, F.struct(*[F.col(c) for c in [*order, id_col]]).alias("_o"))
+    first = (df.select(*named, F.struct(*[F.col(c) for c in dict.fromkeys([*order, id_col])]).alias("_o"))
              .groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_o").alias("_o"))
              .select(F.col(f"_o.{id_col}").alias(id_col)))
     return df.join(first, id_col, "left_semi")

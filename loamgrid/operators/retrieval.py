@@ -200,7 +200,7 @@ def merge_by_precedence(stages: Sequence[DataFrame]) -> DataFrame:
     for s in tagged[1:]:
         together = together.unionByName(s, allowMissingColumns=True)
     first = Window.partitionBy("query_id", "id").orderBy("_stage")
-    place = Window.partitionBy("query_id").orderBy("_stage", "rank")
+    place = Window.partitionBy("query_id").orderBy("_stage", "rank", "id")
     return (together.withColumn("_n", F.row_number().over(first)).where("_n = 1")
             .withColumn("rank", F.row_number().over(place)).drop("_n", "_stage"))
 

@@ -21,8 +21,13 @@ def rules_from(df: DataFrame, pattern: str, labels: Sequence[str], order: str) -
     return [Rule(r[pattern], tuple(r[c] for c in labels)) for r in sorted(rows, key=lambda r: r[order])]
 
 
+def ascii_words(pattern: str) -> str:
+    """Give word borders their ASCII meaning; Java's own depends on its version."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
+
 def matches(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + pattern)
+    return text.rlike("(?i)" + ascii_words(pattern))
 
 
 def first_match(text: Column, rules: Sequence[Rule], default: Sequence[str], names: Sequence[str]) -> Column:
