@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, block: Column,
                 out: str) -> DataFrame:
@@ -88,5 +90,5 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
                 batch[name] = [r[position] for r in results]
             yield batch
 
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return (spread(df, *keys).sortWithinPartitions(*keys, *order)
             .mapInPandas(run, schema=schema))

@@ -259,70 +259,66 @@ def retrieve_staged(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, t
     A question is settled by high confidence, or medium with three rows.  1: as asked.  2: with synonyms, merged
     before 1.  3: only for the given topic, with a broadening suffix, merged before 2.  4: every namespace, 50 per
     list, believed only at high or medium.  If nothing but low is left the question has no data."""
-    common = dict(chunks=chunks, vectors=vectors, terms=terms, dims=dims, dedupe_prefix=dedupe_prefix)
+    common = dict(chunks=chunks, vectors=vectors, terms=terms, dims=dims, rules=rules, dedupe_prefix=dedupe_prefix)
+    tried: list[tuple[DataFrame, DataFrame]] = []       # rows and levels of each attempt, earlier rows merged in
+    out: list[tuple[DataFrame, DataFrame]] = []         # what is final
+
     def attempt(asked: DataFrame, stage: int, **options) -> tuple[DataFrame, DataFrame]:
-        rows = cut_lineage(hybrid(asked, rules=rules, **common, **options))
-        level = cut_lineage(confidence(asked, rows).withColumn("stage", F.lit(stage)))
-        return rows, level
-
-    def settled(level: DataFrame) -> Column:
-        return (F.col("confidence") == "high") | ((F.col("confidence") == "medium") & (F.col("n_total") >= 3))
-
-    def carry(rows: DataFrame, level: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame]:
-        merged = cut_lineage(merge_by_precedence([rows, before.join(rows.select("query_id").distinct(), "query_id", "left_semi")]))
-        counted = merged.groupBy("query_id").agg(F.count("*").alias("n_total"))
-        return merged, level.join(counted, "query_id", "left").fillna(0, ["n_total"])
-
-    rows1, level1 = attempt(queries, 1)
-    level1 = level1.withColumn("n_total", F.col("n_rows"))
-    done = level1.where(settled(level1))
-    out_rows, out_levels = [rows1.join(done, "query_id", "left_semi")], [done]
-    rest = queries.join(done, "query_id", "left_anti")
-
-    widened = rest.withColumn("text", expand_synonyms(F.col("text"), RETRY_SYNONYMS, skip_present=False))
-    rows2, level2 = attempt(widened, 2, paraphrases=paraphrases)
-    rows2, level2 = carry(rows2, level2, rows1)
-    done = level2.where(settled(level2))
-    out_rows.append(rows2.join(done, "query_id", "left_semi"))
-    out_levels.append(done)
-    rest = rest.join(done, "query_id", "left_anti")
-
-    on_topic = rest.where(F.col("text").rlike(topic))
-    rows3, level3 = attempt(on_topic.withColumn("text", F.concat("text", F.lit(STAGE_TOPIC_SUFFIX))), 3, paraphrases=paraphrases)
-    rows3, level3 = carry(rows3, level3, rows2)
-    done = level3.where(settled(level3))
-    out_rows.append(rows3.join(done, "query_id", "left_semi"))
-    out_levels.append(done)
-    rest = rest.join(done, "query_id", "left_anti")
-
-    rows4, level4 = attempt(rest, 4, paraphrases=paraphrases, all_namespaces=True, k_vector=50)
-    level4 = level4.withColumn("n_total", F.col("n_rows"))
-    believed = level4.where(F.col("confidence").isin("high", "medium"))
-    # The attempt a question falls back on: the latest with rows.
-    filled = [d.select("query_id").distinct() for d in (rows3, rows2)]
-    best = (rows3.unionByName(rows2.join(filled[0], "query_id", "left_anti"))
-            .unionByName(rows1.join(filled[0], "query_id", "left_anti").join(filled[1], "query_id", "left_anti")))
-    trusted = rows4.join(believed, "query_id", "left_semi")
-    merged4 = merge_by_precedence([trusted, best.join(believed, "query_id", "left_semi")])
-    out_rows.append(merged4)
-    out_levels.append(believed)
-    rest = rest.join(believed, "query_id", "left_anti")
-
-    earlier = level3.unionByName(level2).unionByName(level1).where("confidence = 'medium'").join(rest, "query_id", "left_semi")
-    fallback = earlier.groupBy("query_id").agg(F.max_by(F.struct(*[c for c in level1.columns if c != "query_id"]), "stage").alias("_l"))
-    fallback = fallback.select("query_id", *[F.col(f"_l.{c}").alias(c) for c in level1.columns if c != "query_id"])
-    for stage, rows in ((3, rows3), (2, rows2), (1, rows1)):
-        out_rows.append(rows.join(fallback.where(F.col("stage") == stage), "query_id", "left_semi"))
-    out_levels.append(fallback)
-    empty = (rest.join(fallback, "query_id", "left_anti")
-             .select("query_id", F.lit(0).cast("long").alias("n_rows"), F.lit(0.0).alias("top_score"), F.lit(False).alias("keyword_evidence"),
-                     F.lit("no_data").alias("confidence"), F.lit(4).alias("stage"), F.lit(0).cast("long").alias("n_total")))
-    out_levels.append(empty)
-    rows, levels = out_rows[0], out_levels[0]
-    for r in out_rows[1:]:
-        rows = rows.unionByName(r)
-    for lv in out_levels[1:]:
-        levels = levels.unionByName(lv)
+        rows = cut_lineage(hybrid(asked, **common, **options))
+        level = confidence(asked, rows).withColumn("stage", F.lit(stage))
+        if stage in (2, 3):
+            found = rows.select("query_id").distinct()
+            rows = cut_lineage(merge_by_precedence([rows, tried[-1][0].join(found, "query_id", "left_semi")]))
+            counted = rows.groupBy("query_id").agg(F.count("*").alias("n_total"))
+            level = level.join(counted, "query_id", "left").fillna(0, ["n_total"])
+        else:
+            level = level.withColumn("n_total", F.col("n_rows"))
+        return rows, cut_lineage(level)
+
+    def settle(rows: DataFrame, level: DataFrame, rest: DataFrame, rule: Column) -> DataFrame:
+        done = level.where(rule)
+        out.append((rows.join(done.select("query_id"), "query_id", "left_semi"), done))
+        return cut_lineage(rest.join(done.select("query_id"), "query_id", "left_anti"))
+
+    good = (F.col("confidence") == "high") | ((F.col("confidence") == "medium") & (F.col("n_total") >= 3))
+    rest = queries
+    for stage in (1, 2, 3):
+        asked, options = rest, {}
+        if stage > 1:
+            options["paraphrases"] = None if paraphrases is None else paraphrases.join(rest.select("query_id"), "query_id", "left_semi")
+        if stage == 2:
+            asked = rest.withColumn("text", expand_synonyms(F.col("text"), RETRY_SYNONYMS, skip_present=False))
+        if stage == 3:
+            asked = rest.where(F.col("text").rlike(topic)).withColumn("text", F.concat("text", F.lit(STAGE_TOPIC_SUFFIX)))
+            if asked.isEmpty():
+                continue
+        tried.append(attempt(asked, stage, **options))
+        rest = settle(*tried[-1], rest, good)
+        if rest.isEmpty():
+            return _together(out)
+
+    rows, level = attempt(rest, 4, paraphrases=paraphrases, all_namespaces=True, k_vector=50)
+    believed = level.where(F.col("confidence").isin("high", "medium")).select("query_id")
+    best = None                                         # rows of the latest attempt that found any
+    for earlier, _ in reversed(tried):
+        best = earlier if best is None else best.unionByName(earlier.join(best.select("query_id").distinct(), "query_id", "left_anti"))
+    merged = merge_by_precedence([rows.join(believed, "query_id", "left_semi"), best.join(believed, "query_id", "left_semi")])
+    rest = settle(cut_lineage(merged), level, rest, F.col("confidence").isin("high", "medium"))
+    if rest.isEmpty():
+        return _together(out)
+    for rows, level in reversed(tried):                 # a medium attempt is better than nothing
+        rest = settle(rows, level.join(rest.select("query_id"), "query_id", "left_semi"), rest, F.col("confidence") == "medium")
+    nothing = rest.select("query_id", F.lit(0).cast("long").alias("n_rows"), F.lit(0.0).alias("top_score"),
+                          F.lit(False).alias("keyword_evidence"), F.lit("no_data").alias("confidence"), F.lit(4).alias("stage"),
+                          F.lit(0).cast("long").alias("n_total"))
+    out.append((out[0][0].limit(0), nothing))
+    return _together(out)
+
+
+def _together(parts: Sequence[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    rows, levels = parts[0]
+    for more_rows, more_levels in parts[1:]:
+        rows, levels = rows.unionByName(more_rows), levels.unionByName(more_levels)
     return rows, levels
 
 

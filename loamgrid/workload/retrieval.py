@@ -164,9 +164,9 @@ scores AS (SELECT query_id, id, title, category, content, page_type, least(rrf *
 rer AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS final_rank FROM scores QUALIFY final_rank <= 10)"""
 
 
-@query("e9_rerank", with_tables("entries", ", " + KEYWORD + ", " + RERANKED + " SELECT query_id, id, final_rank, round(score, 6) AS rerank_score FROM rer"))
+@query("e9_rerank", with_tables("entries", ", " + KEYWORD + ", " + RERANKED + " SELECT query_id, id, final_rank, round(score, 4) AS rerank_score FROM rer"))
 def _(t):
-    return rr.rerank(_rerank_input(t), AS_OF).select("query_id", "id", "final_rank", F.round("rerank_score", 6).alias("rerank_score"))
+    return rr.rerank(_rerank_input(t), AS_OF).select("query_id", "id", "final_rank", F.round("rerank_score", 4).alias("rerank_score"))
 
 
 @query("e9a_term_overlap", f"""SELECT doc_id, round(coalesce(len(list_intersect({TOKENS.format(words_sql("split_part(text, chr(10), 1)"))}, {TOKENS.format(words_sql('lang || chr(32) || text'))})) / nullif(len({TOKENS.format(words_sql("split_part(text, chr(10), 1)"))}), 0), 0), 9) AS share FROM documents""")
@@ -227,13 +227,13 @@ def _(t):
     return t.documents.select("doc_id", F.md5(rt.expand_synonyms(text)).alias("expanded_md5"), F.md5(rt.expand_synonyms(text, RETRY_SYNONYMS, False)).alias("retry_md5"))
 
 
-@query("e12_variants", f"""WITH {MESSAGES}, b AS (SELECT query_id, 0 AS variant_no, trim(text) AS text FROM m UNION ALL SELECT query_id, 1, upper(text) FROM m),
+@query("e12_variants", f"""WITH {MESSAGES}, b AS (SELECT query_id, 0 AS variant_no, trim(text) AS text FROM m UNION ALL SELECT query_id, 1, text || ' again' FROM m),
 x AS (SELECT query_id, 1000 AS variant_no, {_expand_sql('trim(text)', SYNONYMS, True)} AS text FROM m WHERE regexp_matches(text, '(?i)\\b(le|la|en|the|cs|bba)\\b'))
 SELECT query_id, variant_no, md5(text) AS text_md5 FROM (SELECT * FROM b UNION ALL SELECT * FROM x WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.query_id = x.query_id AND b.text = x.text))""")
 def _(t):
-    """Upper-case copies stand for given paraphrases; the trigger words are common ones."""
+    """Lengthened copies stand for given paraphrases; the trigger words are common ones."""
     q = messages(t)
-    given = q.select("query_id", F.lit(1).alias("variant_no"), F.upper("text").alias("text"))
+    given = q.select("query_id", F.lit(1).alias("variant_no"), F.concat("text", F.lit(" again")).alias("text"))
     trigger = r"(?<![A-Za-z0-9_])(le|la|en|the|cs|bba)(?![A-Za-z0-9_])"
     return rt.variants(q, given, trigger=trigger).select("query_id", "variant_no", F.md5("text").alias("text_md5"))
 
