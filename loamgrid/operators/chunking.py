@@ -126,7 +126,7 @@ def semantic_chunks(df: DataFrame, text: str = "text", target: int = TARGET_CHAR
     ``total_chunks`` counts before short chunks are dropped.  The outer explode and the filter after it stand for
     a plain explode, for which the optimizer would evaluate the whole chain twice (once as a pushed-down filter)."""
     kept = [c for c in df.columns if c != text]
-    return (spread(df).withColumn("_clean", tx.clean_text(F.col(text)))
+    return (df.withColumn("_clean", tx.clean_text(F.col(text)))
             .withColumn("_sections", F.when(F.length("_clean") >= min_chars, sections(F.col("_clean"))))
             .withColumn("_raw", section_chunks(F.col("_sections"), target, min_chars))
             .withColumn("_all", overlapped(F.col("_raw"), overlap))

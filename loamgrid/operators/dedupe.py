@@ -186,7 +186,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
     texts = ids.join(copies.where("_id = _rep").select("_id"), "_id", "left_semi")
 
     id_type = ids.schema["_id"].dataType.simpleString()
-    signed = spread(texts).mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _bands array<bigint>")
+    signed = spread(texts, "_id").mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _bands array<bigint>")
     members = signed.select("_id", F.explode("_bands").alias("_band"))
     shared = members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
     live = cut_lineage(members.join(shared, "_band", "left_semi").select("_id", "_band"))

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import shuffle_width
 
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, block: Column,
@@ -90,5 +90,7 @@ def ordered_fold(df: DataFrame, keys: Sequence[str], order: Sequence[Column | st
                 batch[name] = [r[position] for r in results]
             yield batch
 
-    return (spread(df, *keys).sortWithinPartitions(*keys, *order)
-            .mapInPandas(run, schema=schema))
+    # Rows are dealt by a hash of the key: were they dealt by the key itself, the planner could keep a partitioning
+    # that adaptive execution has already merged by size, and all Python work would share one task.
+    dealt = df.withColumn("_slot", F.xxhash64(*keys)).repartition(shuffle_width(df), "_slot").drop("_slot")
+    return dealt.sortWithinPartitions(*keys, *order).mapInPandas(run, schema=schema)

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import spread
 
 # Field weights: title counts most, category and page type less, content least.
 FIELD_WEIGHTS = {"title": 1.0, "category": 0.4, "page_type": 0.4, "content": 0.2}
@@ -17,7 +16,7 @@ def term_uses(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIEL
     """Every use of every term: ``key, weight, term, tf`` with ``tf`` 1.  Row-local; nothing shuffles."""
     tagged = F.array(*[F.struct(F.lit(float(w)).alias("weight"), tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms"))
                        for c, w in fields.items()])
-    return (spread(df.select(key, *fields)).select(key, F.explode_outer(tagged).alias("_f"))
+    return (df.select(key, *fields).select(key, F.explode_outer(tagged).alias("_f"))
             .select(key, F.col("_f.weight").alias("weight"), F.explode_outer("_f.terms").alias("term"), F.lit(1).cast("long").alias("tf"))
             .where(F.col("term").isNotNull()))
 
@@ -26,7 +25,7 @@ def postings(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIELD
     """The stored inverted table ``key, field, weight, term, tf``; write it bucketed by ``term``."""
     tagged = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(float(w)).alias("weight"),
                                 tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c, w in fields.items()])
-    return (spread(df.select(key, *fields)).select(key, F.explode_outer(tagged).alias("_f"))
+    return (df.select(key, *fields).select(key, F.explode_outer(tagged).alias("_f"))
             .select(key, "_f.field", "_f.weight", F.explode_outer("_f.terms").alias("term")).where(F.col("term").isNotNull())
             .groupBy(key, "field", "weight", "term").agg(F.count("*").alias("tf")))
 
@@ -55,7 +54,7 @@ def keyword_topk(queries: DataFrame, terms: DataFrame, k: int = 40, key: str = "
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75, key: str = "id",
               text: str = "content") -> DataFrame:
     """Okapi BM25 over one text column.  Counts are kept for question terms only."""
-    tokens = spread(docs.select(key, text)).select(key, tx.words(F.col(text)).alias("_w"))
+    tokens = docs.select(key, text).select(key, tx.words(F.col(text)).alias("_w"))
     lengths = tokens.select(F.size("_w").alias("_dl"))
     n_docs = lengths.agg(F.count("*")).scalar()
     mean_length = lengths.agg(F.avg("_dl")).scalar()

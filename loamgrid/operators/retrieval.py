@@ -12,7 +12,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..functions.vocabulary import (DEFAULT_NAMESPACE, RETRY_SYNONYMS, ROUTING_RULES, STAGE_TOPIC_PATTERN,
                                     STAGE_TOPIC_SUFFIX, SYNONYM_TRIGGER_PATTERN, SYNONYMS, Rule)
-from ..session import cut_lineage, fits_broadcast, spread
+from ..session import cut_lineage, fits_broadcast
 from .dedupe import dedupe_ranked
 from .postings import keyword_topk
 from .rules import all_matches, matches
@@ -68,7 +68,7 @@ def embed_text(df: DataFrame, text: str = "text", dims: int = 256, out: str = "e
     """Hashed bag-of-words vector of unit length for each row; rows without any word are left out."""
     from pyspark.ml.feature import HashingTF, Normalizer
     from pyspark.ml.functions import vector_to_array
-    words = spread(df).withColumn("_w", tx.words(F.col(text)))
+    words = df.withColumn("_w", tx.words(F.col(text)))
     counted = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dims).transform(words)
     unit = Normalizer(inputCol="_tf", outputCol="_v", p=2.0).transform(counted)
     return (unit.withColumn(out, vector_to_array("_v", "float32")).where(vec.is_usable(F.col(out)))
@@ -104,7 +104,7 @@ def _scores_broadcast(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
                 if ns in shared.value:
                     qids, qm = shared.value[ns]
                     yield _best(qids, qm, rows["id"].to_numpy(), _unit(rows["embedding"]), k).assign(namespace=ns)
-    found = spread(vectors.where(F.col("namespace").isin(*by_namespace)) if len(by_namespace) <= 200 else vectors)
+    found = vectors.where(F.col("namespace").isin(*by_namespace)) if len(by_namespace) <= 200 else vectors
     return found.mapInPandas(run, f"_qid bigint, id {id_type}, score double, namespace string")
 
 

@@ -7,6 +7,7 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..functions.vocabulary import (CHUNK_DEFAULT, CHUNK_RULES, DEFAULT_NAMESPACE, NAMESPACE_RULES, PAGE_DEFAULT,
                                     PAGE_RULES, PROFILE_DEPARTMENTS, PROFILE_PATTERN, PROFILE_URL_PART, Rule)
 
@@ -30,15 +31,22 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike("(?i)" + ascii_words(pattern))
 
 
+def first_rule(text: Column, rules: Sequence[Rule]) -> Column:
+    """Number of the first matching rule (from 1), one past the last if none matches."""
+    chain = F.lit(len(rules) + 1)
+    for number in range(len(rules), 0, -1):
+        chain = F.when(matches(text, rules[number - 1].pattern), F.lit(number)).otherwise(chain)
+    return chain
+
+
 def first_match(text: Column, rules: Sequence[Rule], default: Sequence[str], names: Sequence[str]) -> Column:
     """Struct of the labels of the first rule whose pattern occurs, else of ``default``."""
     def label(values: Sequence[str]) -> Column:
         return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)])
-    chain = None
-    for rule in rules:
-        hit = matches(text, rule.pattern)
-        chain = F.when(hit, label(rule.labels)) if chain is None else chain.when(hit, label(rule.labels))
-    return label(default) if chain is None else chain.otherwise(label(default))
+    # The rule is found by number and its labels are looked up, so that taking three labels apart later does not
+    # evaluate the patterns three times.
+    table = F.array(*[label(r.labels) for r in rules], label(default))
+    return tx.let(first_rule(text, rules), lambda number: F.element_at(table, number))
 
 
 def all_matches(text: Column, rules: Sequence[Rule]) -> Column:
@@ -54,16 +62,18 @@ def classify_page(url: Column, title: Column, text: Column, rules: Sequence[Rule
     text together."""
     names = ("page_type", "category", "department")
     joined = F.lower(F.concat_ws(" ", url, title, text))
-    profile = F.contains(url, F.lit(PROFILE_URL_PART)) | matches(joined, PROFILE_PATTERN)
-    department = first_match(joined, PROFILE_DEPARTMENTS, ("general",), ("department",))["department"]
-    return F.when(profile, F.struct(F.lit("faculty").alias("page_type"), F.lit("Faculty").alias("category"),
-                                    department.alias("department"))).otherwise(
-        first_match(joined, rules, default, names))
+
+    def label(words: Column) -> Column:
+        profile = F.contains(url, F.lit(PROFILE_URL_PART)) | matches(words, PROFILE_PATTERN)
+        department = first_match(words, PROFILE_DEPARTMENTS, ("general",), ("department",))["department"]
+        return F.when(profile, F.struct(F.lit("faculty").alias("page_type"), F.lit("Faculty").alias("category"),
+                                        department.alias("department"))).otherwise(first_match(words, rules, default, names))
+    return tx.let(joined, label)
 
 
 def classify_chunk(text: Column, rules: Sequence[Rule] = CHUNK_RULES, default: Sequence[str] = CHUNK_DEFAULT) -> Column:
     """Struct ``category, namespace, page_type`` from the text of a chunk."""
-    return first_match(F.lower(text), rules, default, ("category", "namespace", "page_type"))
+    return tx.let(F.lower(text), lambda low: first_match(low, rules, default, ("category", "namespace", "page_type")))
 
 
 def namespace_of(category: Column, rules: Sequence[Rule] = NAMESPACE_RULES,

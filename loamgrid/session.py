@@ -57,13 +57,15 @@ def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def spread(df: DataFrame, *keys: str, split_bytes: int = 4 << 20) -> DataFrame:
-    """Give CPU-heavy row work enough tasks.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partitions by key for CPU-heavy work per key; what follows by the same keys needs no further shuffle.
 
-    With keys: hash partitions, so that what follows per key needs no further shuffle.  Without keys: only an
-    input too small to fill the cores (one file split) is dealt out; a large scan is left as it is."""
-    if keys:
-        return df.repartition(shuffle_width(df), *keys)
+    The explicit number keeps adaptive execution from merging partitions that are small in bytes but not in work."""
+    return df.repartition(shuffle_width(df), *keys)
+
+
+def fill_cores(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
+    """Deal out the rows of a scan too small to fill the cores (a file of one split); a large scan is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if estimate < cores * split_bytes else df

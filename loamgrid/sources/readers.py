@@ -7,6 +7,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import fill_cores
+
+
+def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A Parquet table for row work such as parsing: a small one is spread over the cores."""
+    df = spark.read.parquet(path)
+    return fill_cores(df.select(*columns) if columns else df)
 
 
 def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

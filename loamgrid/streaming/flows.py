@@ -19,9 +19,10 @@ from ..sources.readers import admit_pages
 from ..sources.sinks import append_log
 
 
-def read_events(spark: SparkSession, path: str, schema, files_per_trigger: int = 1000, ts: str = "ts") -> DataFrame:
-    """File stream whose event time is a zoned timestamp, as watermarks need."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_events(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 1000, ts: str = "ts") -> DataFrame:
+    """Stream of the files of a folder; its event time becomes a zoned timestamp, as watermarks need."""
+    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+           .option("pathGlobFilter", pattern).parquet(folder))
     return raw.withColumn(ts, F.col(ts).cast("timestamp"))
 
 

@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from ..sources.readers import read_table
 
 AS_OF = datetime(2024, 1, 31)
+TEXTS = ("documents", "pages", "conversations")     # tables with costly work per row
 
 
 class Tables:
@@ -21,7 +23,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        path = f"{self.dir}/{name}.parquet"
+        self.__dict__[name] = read_table(self.spark, path) if name in TEXTS else self.spark.read.parquet(path)
+        return self.__dict__[name]
 
     def scratch(self, name: str) -> str:
         """A new folder on the storage all executors share."""

@@ -207,3 +207,8 @@ def _(t):
 @query("f23_slugs", r"""SELECT p_partkey, left(regexp_replace(regexp_replace(regexp_replace(trim(lower(p_name || '  ' || p_type)), '[^a-z0-9-]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g'), 40) AS slug FROM part""")
 def _(t):
     return t.part.select("p_partkey", tx.slug(F.concat_ws("  ", "p_name", "p_type")).alias("slug"))
+
+
+@query("f5_near_duplicates")
+def _(t):
+    return dd.near_duplicates(t.documents, "doc_id", "text", prefix=None)
