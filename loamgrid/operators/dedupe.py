@@ -3,6 +3,7 @@
 Groups of copies are never gathered: they are summarised by partial aggregation, and their members stay rows."""
 from __future__ import annotations
 
+from functools import lru_cache
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -164,9 +165,9 @@ def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
 
 def _pair_test(threshold: float, k: int, prefix: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        recent = lru_cache(maxsize=64)(lambda text: _shingle_set(text, k, prefix))
         for batch in batches:
-            hits = [_similar(_shingle_set(a, k, prefix), _shingle_set(b, k, prefix), threshold)
-                    for a, b in zip(batch["_text"], batch["_head_text"])]
+            hits = [_similar(recent(a), recent(b), threshold) for a, b in zip(batch["_text"], batch["_head_text"])]
             yield batch.loc[hits, ["_id", "_head"]]
     return run
 
@@ -194,8 +195,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
     while not live.isEmpty():
         heads = live.groupBy("_band").agg(F.min("_id").alias("_head"))
         placed = live.join(heads, "_band")
-        top = cut_lineage(placed.groupBy("_id").agg(F.min(F.col("_head") == F.col("_id")).alias("_top"))
-                          .where("_top").select("_id"))
+        top = placed.groupBy("_id").agg(F.min(F.col("_head") == F.col("_id")).alias("_top")).where("_top").select("_id")
         pairs = (placed.where("_head <> _id").select("_id", "_head").distinct()
                  .join(top.select(F.col("_id").alias("_head")), "_head", "left_semi"))
         tested = (pairs.join(texts, "_id").join(texts.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")

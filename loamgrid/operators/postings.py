@@ -7,16 +7,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import spread
 
 # Field weights: title counts most, category and page type less, content least.
 FIELD_WEIGHTS = {"title": 1.0, "category": 0.4, "page_type": 0.4, "content": 0.2}
 
 
 def term_uses(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIELD_WEIGHTS) -> DataFrame:
-    """Every use of every term: ``key, weight, term, tf`` with ``tf`` 1.  Row-local; nothing shuffles."""
+    """Every use of every term: ``key, weight, term, tf`` with ``tf`` 1.
+
+    The rows are dealt by key once; sums per key and term, and per key and question, then need no further shuffle."""
     tagged = F.array(*[F.struct(F.lit(float(w)).alias("weight"), tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms"))
                        for c, w in fields.items()])
-    return (df.select(key, *fields).select(key, F.explode_outer(tagged).alias("_f"))
+    return (spread(df.select(key, *fields), key).select(key, F.explode_outer(tagged).alias("_f"))
             .select(key, F.col("_f.weight").alias("weight"), F.explode_outer("_f.terms").alias("term"), F.lit(1).cast("long").alias("tf"))
             .where(F.col("term").isNotNull()))
 
@@ -25,7 +28,7 @@ def postings(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIELD
     """The stored inverted table ``key, field, weight, term, tf``; write it bucketed by ``term``."""
     tagged = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(float(w)).alias("weight"),
                                 tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c, w in fields.items()])
-    return (df.select(key, *fields).select(key, F.explode_outer(tagged).alias("_f"))
+    return (spread(df.select(key, *fields), key).select(key, F.explode_outer(tagged).alias("_f"))
             .select(key, "_f.field", "_f.weight", F.explode_outer("_f.terms").alias("term")).where(F.col("term").isNotNull())
             .groupBy(key, "field", "weight", "term").agg(F.count("*").alias("tf")))
 
@@ -43,10 +46,13 @@ def top_per_query(scored: DataFrame, score: Column, k: int, query_id: str = "que
 def keyword_topk(queries: DataFrame, terms: DataFrame, k: int = 40, key: str = "id") -> DataFrame:
     """Weighted term counts summed over the terms of the question (any term may match), squashed to s/(s+1).
 
-    ``terms`` is the output of ``term_uses`` or ``postings``.  A short question table is broadcast by Spark and the
-    sums form before the first shuffle; a long one is joined by term, where adaptive execution splits hot terms."""
-    matched = terms.join(query_terms(queries), "term")
-    scored = matched.groupBy("query_id", key).agg(F.sum(F.col("weight") * F.col("tf")).alias("_s"))
+    ``terms`` is the output of ``term_uses`` or ``postings``.  Terms no question asks for go first, and the uses of
+    a term in a chunk are one row before questions are joined.  Spark broadcasts a short question table, and all of
+    this stays where the chunk is; a long one is joined by term, where adaptive execution splits hot terms."""
+    wanted = query_terms(queries)
+    uses = (terms.join(wanted.select("term").distinct(), "term", "left_semi")
+            .groupBy(key, "term").agg(F.sum(F.col("weight") * F.col("tf")).alias("_w")))
+    scored = uses.join(wanted, "term").groupBy("query_id", key).agg(F.sum("_w").alias("_s"))
     score = (F.col("_s") / (F.col("_s") + 1.0))
     return top_per_query(scored.withColumn("keyword_score", score), F.round("keyword_score", 12), k, key=key).drop("_s")
 
@@ -54,7 +60,7 @@ def keyword_topk(queries: DataFrame, terms: DataFrame, k: int = 40, key: str = "
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75, key: str = "id",
               text: str = "content") -> DataFrame:
     """Okapi BM25 over one text column.  Counts are kept for question terms only."""
-    tokens = docs.select(key, text).select(key, tx.words(F.col(text)).alias("_w"))
+    tokens = spread(docs.select(key, text), key).select(key, tx.words(F.col(text)).alias("_w"))
     lengths = tokens.select(F.size("_w").alias("_dl"))
     n_docs = lengths.agg(F.count("*")).scalar()
     mean_length = lengths.agg(F.avg("_dl")).scalar()

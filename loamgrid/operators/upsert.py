@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CHUNK_RULES, NAMESPACE_RULES, Rule
+from ..session import with_once
 from .rules import classify_chunk, namespace_of
 
 KEY = ("source_url", "source_type", "chunk_index")
@@ -124,7 +125,8 @@ def pending_vectors(chunks: DataFrame, vectors: DataFrame, only: DataFrame | Non
 
 def reclassify(chunks: DataFrame, rules: Sequence[Rule] = CHUNK_RULES) -> DataFrame:
     """Rows whose labels change: ``id, old_category, category, namespace, page_type``."""
-    labelled = chunks.select("id", F.col("category").alias("old_category"), classify_chunk(F.col("content"), rules).alias("_c"))
+    labelled = with_once(chunks.select("id", F.col("category").alias("old_category"), "content"), "_c",
+                         classify_chunk(F.col("content"), rules)).drop("content")
     return (labelled.where(~F.col("old_category").eqNullSafe(F.col("_c.category")))
             .select("id", "old_category", F.col("_c.category").alias("category"), F.col("_c.namespace").alias("namespace"),
                     F.col("_c.page_type").alias("page_type")))

@@ -13,6 +13,7 @@ from ..operators.chunking import chunk_paged_documents, keyword_lists, semantic_
 from ..operators.dedupe import drop_near_duplicate_pages, new_content_only
 from ..operators.html import extract_pages
 from ..operators.rules import classify_chunk, classify_page, namespace_of
+from ..session import with_once
 from ..sources.readers import admit_pages
 
 
@@ -25,7 +26,7 @@ def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequenc
     taken = admit_pages(extract_pages(pages, site_suffix=site_suffix)).where(F.col("status") == "accepted").drop("html", "blocks", "status", "reason")
     first = drop_near_duplicate_pages(taken, prefix=fingerprint_prefix) if drop_repeats else taken
     looked_at = F.col("content") if snippet is None else F.left("content", F.lit(snippet))
-    labelled = first.withColumn("_c", classify_page(F.col("url"), F.col("title"), looked_at, rules))
+    labelled = with_once(first, "_c", classify_page(F.col("url"), F.col("title"), looked_at, rules))
     described = labelled.select(
         F.col("page_id").cast("string").alias("parent_page_id"), F.col("url").alias("source_url"), F.col("title").alias("page_title"),
         F.col("_c.page_type").alias("page_type"), F.col("_c.category").alias("category"), F.col("_c.department").alias("department"),
@@ -42,7 +43,7 @@ def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequenc
 
 def document_chunks(pages_of_documents: DataFrame, stored: DataFrame, rules: Sequence[Rule] = CHUNK_RULES) -> tuple[DataFrame, DataFrame]:
     """Paged documents (doc_id, page_no, text) to (new chunk rows, summary per document)."""
-    chunks = chunk_paged_documents(pages_of_documents).withColumn("_c", classify_chunk(F.col("content"), rules)).withColumns({
+    chunks = with_once(chunk_paged_documents(pages_of_documents), "_c", classify_chunk(F.col("content"), rules)).withColumns({
         "category": F.col("_c.category"), "namespace": F.col("_c.namespace"), "page_type": F.col("_c.page_type"),
         "content_hash": tx.sha256(F.col("content"))}).drop("_c")
     return new_content_only(chunks, stored), ingest_summary(chunks, stored)

@@ -3,8 +3,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Semantics every operator assumes.  Sizes (shuffle partitions, split bytes, memory) are left to the cluster.
 SEMANTIC_CONF = {
@@ -29,23 +31,29 @@ def build_session(app: str = "loamgrid", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for ``DataFrame.checkpoint``: the one the cluster names, else (local mode only) a fresh one."""
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
+    """Folder shared by all executors: the one the cluster names, else (local mode only) a fresh one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         named = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors, unlike a local one."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and go on from there.
+
+    The result outlives any executor, later steps read only the columns they need, and unlike a checkpoint the plan
+    runs once."""
+    path = shared_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
@@ -64,6 +72,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(shuffle_width(df), *keys)
 
 
+def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is evaluated exactly once per row.
+
+    Optimizer rules copy a column's expression into every filter and field access above it; they do not reach below
+    a generator."""
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def fill_cores(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
     """Deal out the rows of a scan too small to fill the cores (a file of one split); a large scan is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -28,13 +28,12 @@ def stored(t, stream, name):
 
 @query("j1_ingest_stream")
 def _(t):
-    """Fetched pages through extraction, near-copy removal and upsert into a change log; twice, the second time without effect."""
+    """Fetched pages through extraction, near-copy removal and upsert into a change log."""
     source = t.scratch("fetched")
     t.pages.select("page_id", "url", "html", F.timestamp_seconds(F.lit(1704067200) + F.col("page_id")).alias("fetched_at")).write.parquet(source)
     pages = t.spark.readStream.schema("page_id long, url string, html string, fetched_at timestamp").parquet(source)
     changes = t.scratch("changes")
-    for attempt in ("one", "two"):
-        fl.run_to_end(fl.ingest_stream(pages, changes, t.scratch("ingest-" + attempt), prefix=None))
+    fl.run_to_end(fl.ingest_stream(pages, changes, t.scratch("ingest"), prefix=None))
     return fl.current_chunks(t.spark, changes).groupBy("category").agg(F.count("*").alias("chunks"), F.countDistinct("source_url").alias("sources"))
 
 

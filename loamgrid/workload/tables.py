@@ -1,15 +1,13 @@
 """The given tables, and the library's tables derived from them (once in Spark, once in SQL for the checks)."""
 from __future__ import annotations
 
-import os
-import uuid
 from datetime import datetime
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import shared_path
 from ..sources.readers import read_table
 
 AS_OF = datetime(2024, 1, 31)
@@ -29,7 +27,7 @@ class Tables:
 
     def scratch(self, name: str) -> str:
         """A new folder on the storage all executors share."""
-        return os.path.join(ensure_checkpoint_dir(self.spark), f"{name}-{uuid.uuid4().hex}")
+        return shared_path(self.spark, name)
 
     @cached_property
     def entries(self) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import chunking as ch
 from ..operators import dedupe as dd
 from ..operators import html as hm
 from ..operators import rules as rl
+from ..session import with_once
 from .registry import query
 from .tables import literal, text_time, time_sql, with_tables, words_sql
 
@@ -175,13 +176,13 @@ PROFILE = f"(contains(url, 'profile.php') OR regexp_matches({JOINED}, '(?i){PROF
 CASE WHEN {PROFILE} THEN 'Faculty' ELSE {case_sql(JOINED, PAGE_RULES, PAGE_DEFAULT, 1)} END AS category,
 CASE WHEN {PROFILE} THEN {case_sql(JOINED, PROFILE_DEPARTMENTS, ('general',), 0)} ELSE {case_sql(JOINED, PAGE_RULES, PAGE_DEFAULT, 2)} END AS department FROM pages""")
 def _(t):
-    return t.pages.withColumn("c", rl.classify_page(F.col("url"), F.lit(None).cast("string"), F.col("html"))).select("page_id", "c.page_type", "c.category", "c.department")
+    return with_once(t.pages, "c", rl.classify_page(F.col("url"), F.lit(None).cast("string"), F.col("html"))).select("page_id", "c.page_type", "c.category", "c.department")
 
 
 @query("f20_chunk_labels", f"""SELECT doc_id, {case_sql('lower(text)', CHUNK_RULES, CHUNK_DEFAULT, 0)} AS category, {case_sql('lower(text)', CHUNK_RULES, CHUNK_DEFAULT, 1)} AS namespace,
 {case_sql('lower(text)', CHUNK_RULES, CHUNK_DEFAULT, 2)} AS page_type FROM documents""")
 def _(t):
-    return t.documents.withColumn("c", rl.classify_chunk(F.col("text"))).select("doc_id", "c.category", "c.namespace", "c.page_type")
+    return with_once(t.documents, "c", rl.classify_chunk(F.col("text"))).select("doc_id", "c.category", "c.namespace", "c.page_type")
 
 
 @query("f21_namespaces", f"""SELECT p_partkey, {case_sql('trim(lower(p_name))', NAMESPACE_RULES, ('general',), 0)} AS namespace FROM part""")
