@@ -99,8 +99,19 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 # ---- ranked lists ---------------------------------------------------------------------------------------------
 
 def _shingle_set(text: str | None, k: int, prefix: int | None) -> frozenset:
+    """Distinct character k-grams.  A gram of letters below U+1000 is packed into one integer, 12 bits a letter, which
+    is as exact as the string and much faster; other grams stay strings."""
     low = (text or "")[:prefix].lower()
-    return frozenset(low[i:i + k] for i in range(len(low) - k + 1))
+    n = len(low) - k + 1
+    if n < 1 or k > 5:
+        return frozenset(low[i:i + k] for i in range(n))
+    points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    codes, packed = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
+    for i in range(k):
+        letters = points[i:i + n]
+        codes = (codes << 12) | (letters & 4095)
+        packed &= letters < 4096
+    return frozenset(np.unique(codes[packed]).tolist()) | {low[i:i + k] for i in np.nonzero(~packed)[0]}
 
 
 def _similar(a: frozenset, b: frozenset, threshold: float) -> bool:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import spread
+from ..session import spread, with_once
 
 # Field weights: title counts most, category and page type less, content least.
 FIELD_WEIGHTS = {"title": 1.0, "category": 0.4, "page_type": 0.4, "content": 0.2}
@@ -19,8 +19,10 @@ def term_uses(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIEL
     The rows are dealt by key once; sums per key and term, and per key and question, then need no further shuffle."""
     tagged = F.array(*[F.struct(F.lit(float(w)).alias("weight"), tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms"))
                        for c, w in fields.items()])
+    # The array stands alone before it is exploded; inside a struct it would be copied into every row.
     return (spread(df.select(key, *fields), key).select(key, F.explode_outer(tagged).alias("_f"))
-            .select(key, F.col("_f.weight").alias("weight"), F.explode_outer("_f.terms").alias("term"), F.lit(1).cast("long").alias("tf"))
+            .select(key, F.col("_f.weight").alias("weight"), F.col("_f.terms").alias("_terms"))
+            .select(key, "weight", F.explode_outer("_terms").alias("term"), F.lit(1).cast("long").alias("tf"))
             .where(F.col("term").isNotNull()))
 
 
@@ -29,7 +31,8 @@ def postings(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIELD
     tagged = F.array(*[F.struct(F.lit(c).alias("field"), F.lit(float(w)).alias("weight"),
                                 tx.words(F.coalesce(F.col(c), F.lit(""))).alias("terms")) for c, w in fields.items()])
     return (spread(df.select(key, *fields), key).select(key, F.explode_outer(tagged).alias("_f"))
-            .select(key, "_f.field", "_f.weight", F.explode_outer("_f.terms").alias("term")).where(F.col("term").isNotNull())
+            .select(key, "_f.field", "_f.weight", F.col("_f.terms").alias("_terms"))
+            .select(key, "field", "weight", F.explode_outer("_terms").alias("term")).where(F.col("term").isNotNull())
             .groupBy(key, "field", "weight", "term").agg(F.count("*").alias("tf")))
 
 
@@ -60,12 +63,12 @@ def keyword_topk(queries: DataFrame, terms: DataFrame, k: int = 40, key: str = "
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 40, k1: float = 1.2, b: float = 0.75, key: str = "id",
               text: str = "content") -> DataFrame:
     """Okapi BM25 over one text column.  Counts are kept for question terms only."""
-    tokens = spread(docs.select(key, text), key).select(key, tx.words(F.col(text)).alias("_w"))
-    lengths = tokens.select(F.size("_w").alias("_dl"))
+    tokens = with_once(spread(docs.select(key, text), key), "_w", tx.words(F.col(text))).select(key, F.size("_w").alias("_dl"), "_w")
+    lengths = docs.select(F.size(tx.words(F.col(text))).alias("_dl"))
     n_docs = lengths.agg(F.count("*")).scalar()
     mean_length = lengths.agg(F.avg("_dl")).scalar()
     wanted = query_terms(queries)
-    counts = (tokens.select(key, F.size("_w").alias("_dl"), F.explode("_w").alias("term"))
+    counts = (tokens.select(key, "_dl", F.explode_outer("_w").alias("term")).where(F.col("term").isNotNull())
               .join(wanted.select("term").distinct(), "term", "left_semi")
               .groupBy(key, "_dl", "term").agg(F.count("*").alias("_tf")))
     spread_of = counts.groupBy("term").agg(F.count("*").alias("_df"))

@@ -2,6 +2,8 @@
 pattern is compiled once per task, evaluation stops at the first hit, and no join is planned."""
 from __future__ import annotations
 
+import re
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -27,8 +29,18 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
-def matches(text: Column, pattern: str) -> Column:
-    return text.rlike("(?i)" + ascii_words(pattern))
+def matches(low: Column, pattern: str) -> Column:
+    """Does the rule's pattern occur in the lower-case text?  Plain words among its alternatives are looked for as
+    substrings, which is many times faster than a regular expression."""
+    if "(" in pattern:
+        return low.rlike("(?i)" + ascii_words(pattern))
+    alternatives = pattern.split("|")
+    plain = [a for a in alternatives if re.fullmatch(r"[A-Za-z0-9 ]+", a)]
+    rest = [a for a in alternatives if a not in plain]
+    tests = [F.contains(low, F.lit(word.lower())) for word in plain]
+    if rest:
+        tests.append(low.rlike("(?i)" + ascii_words("|".join(rest))))
+    return reduce(lambda a, b: a | b, tests)
 
 
 def first_rule(text: Column, rules: Sequence[Rule]) -> Column:
@@ -40,7 +52,7 @@ def first_rule(text: Column, rules: Sequence[Rule]) -> Column:
 
 
 def first_match(text: Column, rules: Sequence[Rule], default: Sequence[str], names: Sequence[str]) -> Column:
-    """Struct of the labels of the first rule whose pattern occurs, else of ``default``."""
+    """Struct of the labels of the first rule whose pattern occurs in the lower-case text, else of ``default``."""
     def label(values: Sequence[str]) -> Column:
         return F.struct(*[F.lit(v).alias(n) for v, n in zip(values, names)])
     # The rule is found by number and its labels are looked up, so that taking three labels apart later does not
@@ -50,7 +62,7 @@ def first_match(text: Column, rules: Sequence[Rule], default: Sequence[str], nam
 
 
 def all_matches(text: Column, rules: Sequence[Rule]) -> Column:
-    """Distinct labels of every matching rule, in rule order."""
+    """Distinct labels of every rule that matches the lower-case text, in rule order."""
     parts = [F.when(matches(text, r.pattern), F.array(*[F.lit(v) for v in r.labels]))
              .otherwise(F.array().cast("array<string>")) for r in rules]
     return F.array_distinct(F.concat(*parts))
