@@ -98,39 +98,65 @@ def remove_duplicates(df: DataFrame) -> DataFrame:
 
 # ---- ranked lists ---------------------------------------------------------------------------------------------
 
-def _shingle_set(text: str | None, k: int, prefix: int | None) -> frozenset:
+SLOTS = 8192
+
+
+def _grams(text: str | None, k: int, prefix: int | None) -> tuple[np.ndarray, frozenset]:
     """Distinct character k-grams.  A gram of letters below U+1000 is packed into one integer, 12 bits a letter, which
-    is as exact as the string and much faster; other grams stay strings."""
+    is as exact as the string; other grams stay strings."""
     low = (text or "")[:prefix].lower()
     n = len(low) - k + 1
     if n < 1 or k > 5:
-        return frozenset(low[i:i + k] for i in range(n))
+        return np.empty(0, dtype=np.int64), frozenset(low[i:i + k] for i in range(n))
     points = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     codes, packed = np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool)
     for i in range(k):
         letters = points[i:i + n]
         codes = (codes << 12) | (letters & 4095)
         packed &= letters < 4096
-    return frozenset(np.unique(codes[packed]).tolist()) | {low[i:i + k] for i in np.nonzero(~packed)[0]}
+    return np.unique(codes[packed]), frozenset(low[i:i + k] for i in np.nonzero(~packed)[0])
+
+
+def _size(grams: tuple) -> int:
+    return len(grams[0]) + len(grams[1])
+
 
+def _exceeds(common: int, a: int, b: int, threshold: float) -> bool:
+    return common > threshold * (a + b - common)
 
-def _similar(a: frozenset, b: frozenset, threshold: float) -> bool:
-    if not a and not b:
+
+def _similar(a: tuple, b: tuple, threshold: float) -> bool:
+    na, nb = _size(a), _size(b)
+    if na == 0 and nb == 0:
         return True
-    if min(len(a), len(b)) <= threshold * max(len(a), len(b)):
+    if not _exceeds(min(na, nb), na, nb, threshold):
         return False
-    common = len(a & b)
-    return common > threshold * (len(a) + len(b) - common)
+    common = len(np.intersect1d(a[0], b[0], assume_unique=True)) + len(a[1] & b[1])
+    return _exceeds(common, na, nb, threshold)
+
+
+def _slots(grams: tuple) -> np.ndarray:
+    """How many grams fall into each of a fixed number of slots."""
+    mixed = (grams[0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(51)
+    counts = np.bincount(mixed.astype(np.int64), minlength=SLOTS)
+    for g in grams[1]:
+        counts[hash(g) % SLOTS] += 1
+    return counts.astype(np.int32)
 
 
 def dedupe_ranked(df: DataFrame, key: str = "query_id", rank: str = "rank", text: str = "content",
                   threshold: float = 0.70, k: int = 5, prefix: int | None = 500) -> DataFrame:
-    """Walk each ranked list from the top and drop a row too similar to any row kept before it."""
+    """Walk each ranked list from the top and drop a row too similar to any row kept before it.
+
+    The sum of the lesser slot counts bounds what two texts can share, so most pairs need no exact comparison."""
     def step(kept: list, row: dict) -> tuple:
-        mine = _shingle_set(row[text], k, prefix)
-        if any(_similar(mine, other, threshold) for other in kept):
-            return (False,)
-        kept.append(mine)
+        mine = _grams(row[text], k, prefix)
+        n, slots = _size(mine), _slots(mine)
+        for other, m, theirs in kept:
+            if (n == 0 and m == 0) or (_exceeds(int(np.minimum(slots, theirs).sum()), n, m, threshold)
+                                       and _similar(mine, other, threshold)):
+                return (False,)
+        kept.append((mine, n, slots))
         return (True,)
     return ordered_fold(df, [key], [rank], list, step, "_kept boolean").where("_kept").drop("_kept")
 
@@ -176,7 +202,7 @@ def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
 
 def _pair_test(threshold: float, k: int, prefix: int | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        recent = lru_cache(maxsize=64)(lambda text: _shingle_set(text, k, prefix))
+        recent = lru_cache(maxsize=64)(lambda text: _grams(text, k, prefix))
         for batch in batches:
             hits = [_similar(recent(a), recent(b), threshold) for a, b in zip(batch["_text"], batch["_head_text"])]
             yield batch.loc[hits, ["_id", "_head"]]

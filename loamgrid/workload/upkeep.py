@@ -11,7 +11,8 @@ from ..operators import html as hm
 from ..operators import quality as qu
 from ..operators import upsert as up
 from ..operators.rules import classify_chunk
-from .registry import query
+from ..sources import readers, sinks
+from .registry import ORACLE, query
 from .tables import AS_OF, literal, text_time, time_sql, with_tables
 from .texts import LINKS, case_sql
 
@@ -51,6 +52,18 @@ def _(t):
     return text_time(out.select("id", F.md5("content").alias("content_md5"), "namespace", "created_at", "updated_at"), "created_at", "updated_at")
 
 
+ORACLE["a6_upsert_sink"] = ORACLE["g1_upserted_table"]
+
+
+@query("a6_upsert_sink")
+def _(t):
+    """The table after the upsert, written and read back."""
+    path = t.scratch("entries")
+    sinks.write_table(up.apply_upsert(up.plan_upsert(incoming(t), t.entries), t.entries, AS_OF), path)
+    out = readers.read_chunks(t.spark, path)
+    return text_time(out.select("id", F.md5("content").alias("content_md5"), "namespace", "created_at", "updated_at"), "created_at", "updated_at")
+
+
 @query("g1_single_entries", with_tables("entries", """, inc AS (SELECT id AS given, title, content, source_url, source_type, chunk_index, content_hash, namespace FROM entries)
 SELECT CASE WHEN source_type = 'manual' THEN 'by_id' ELSE 'keyed' END AS kind, CASE WHEN source_type = 'manual' THEN CASE WHEN length(content) > 100 THEN 'update' ELSE 'touch' END ELSE
 CASE WHEN o.old_hash IS NULL THEN 'insert' WHEN o.old_hash <> content_hash THEN 'update' ELSE 'touch' END END AS action, count(*) AS n
