@@ -15,6 +15,7 @@ from ..operators.html import extract_pages
 from ..operators.listing import latest_per_key
 from ..operators.upsert import KEY, plan_upsert
 from ..plans.ingest import page_chunks
+from ..session import cut_lineage
 from ..sources.readers import admit_pages
 from ..sources.sinks import append_log
 
@@ -52,13 +53,15 @@ def current_chunks(spark: SparkSession, changes_path: str) -> DataFrame:
 def write_changes(changes_path: str):
     """``foreachBatch`` writer: appends what a micro-batch inserts or updates to a change log.
 
-    The folder of a batch id is overwritten, so a repeated batch has no further effect.  Only keys, ids and hashes
-    of earlier batches are read, and only what changed is written; ``current_chunks`` gives the table."""
+    The folder of a batch id is overwritten, so a repeated batch has no further effect.  Of earlier batches only the
+    keys, ids and hashes of the pages at hand are aggregated, and only what changed is written; ``current_chunks``
+    gives the table."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = page_chunks(batch.select("page_id", "url", "html"), with_keywords=False, drop_repeats=False)
+        new = cut_lineage(page_chunks(batch.select("page_id", "url", "html"), with_keywords=False, drop_repeats=False))
         try:
-            log = spark.read.parquet(changes_path).where(F.col("batch_id") < batch_id)
+            log = (spark.read.parquet(changes_path).where(F.col("batch_id") < batch_id)
+                   .join(new.select("source_url").distinct(), "source_url", "left_semi"))
             known = latest_per_key(log.select(*KEY, "id", "content_hash", "namespace", "created_at", "batch_id"), list(KEY), ["batch_id"])
         except Exception as problem:  # the first batch finds no log
             if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
