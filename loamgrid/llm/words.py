@@ -16,8 +16,8 @@ _BASE = 0x9E3779B97F4A7C15           # odd, and 5 modulo 8: powers have a long p
 _SEED = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -49,9 +49,9 @@ def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes."""
-    white = _WHITE[data]
+def spans(data: np.ndarray, apart: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes; ``apart`` says for each byte value whether it separates words."""
+    white = apart[data]
     edge = np.flatnonzero(white[1:] != white[:-1]) + 1
     if len(data) and not white[0]:
         edge = np.concatenate(([0], edge))
@@ -60,13 +60,21 @@ def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+class RunningHash:
+    """Hashes of stretches of bytes (at most a few pieces long): equal bytes, equal hash."""
+
+    def __init__(self, data: np.ndarray):
+        up, self._down = _power_tables(max(PIECE + 64, len(data) + 1))
+        self._total = np.empty(len(data) + 1, np.uint64)
+        self._total[0] = 0
+        np.cumsum(_SEED[data] * up[:len(data)], out=self._total[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._total[ends] - self._total[starts]) * self._down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the stretches of ``data`` (at most a few pieces long): equal bytes, equal hash."""
-    up, down = _power_tables(max(PIECE + 64, len(data) + 1))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_SEED[data] * up[:len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return RunningHash(data).of(starts, ends)
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +107,7 @@ def words_of(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterato
         begin, end = int(offsets[first]), int(offsets[last])
         cuts, found, firsts = _cuts(data, begin, end) if last == first + 1 else [begin, end], [], []
         for a, b in zip(cuts, cuts[1:]):
-            part = _LOWER[data[a:b]] if lower else data[a:b]
+            part = LOWER[data[a:b]] if lower else data[a:b]
             if last > first + 1:                          # words end where their row does
                 starts, ends = _row_spans(part, offsets[first:last + 1] - begin)
             else:
