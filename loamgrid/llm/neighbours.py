@@ -126,7 +126,7 @@ def _layer(points: np.ndarray, n: int, degree: int, links: int, entries: np.ndar
             more[np.repeat(np.arange(len(part)), count[a:a + 1024]), column[lo:hi]] = source[lo:hi]
             every = np.concatenate((neighbours[part], more), axis=1)
             value = np.where(every >= 0, np.einsum("nd,ncd->nc", points[part], points[np.maximum(every, 0)]), -np.inf)
-            order = np.argsort(-value, axis=1, kind="stable")
+            order = np.lexsort((every, -value), axis=1)
             every, value = np.take_along_axis(every, order, 1), np.take_along_axis(value, order, 1)
             twice = (every[:, 1:] == every[:, :-1]) & (every[:, 1:] >= 0)              # a peer may be there already
             every[:, 1:][twice] = -1

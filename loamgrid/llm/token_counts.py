@@ -71,11 +71,12 @@ class Counter:
         return count[n]
 
     def count(self, text: str) -> int:
-        """Pieces of a text: every blank begins a word, and so does the text."""
+        """Pieces of a text: every blank (or its sign) begins a word, and so does a text that does not begin with one."""
         if not text:
             return 0
         cache, total = self._cache, 0
-        for word in text.split(" "):
+        words = text.replace(SPACE, " ").split(" ")
+        for word in words if words[0] else words[1:]:
             total += cache[SPACE + word] if len(word) <= LONG_WORD else self.pieces(SPACE + word)
         return total
 
