@@ -8,7 +8,7 @@ set is listed under the first shingles only that two similar sets cannot both la
 * a list first compares its least set with the others.  Sets found linked form components, and later only pairs from different components are looked at;
 * such a set's answers are not computed anew: they follow from those of the similar set it is linked with, by the few shingles in which the two differ.
 
-Lists get no shingle that occurs once.  How often one occurs is counted for a fixed share of all hashes over all documents and kept in a sieve of
+Lists get no shingle that occurs once.  How often one occurs is counted over all documents for a fixed share of all hashes, and kept by levels in sieves of
 fixed size; both decide on the order only, so the result is exact at any size."""
 from __future__ import annotations
 
@@ -24,7 +24,14 @@ from loamgrid.llm.words import follow, joined, mix, signed, words_of
 from loamgrid.session import cut_lineage
 
 SHINGLE, SIMILAR, OUT_OF = 5, 8, 10
-COUNTED = np.uint64(0.2 * 2**64)         # hashes below are counted
+LEVELS = (2, 8, 64, 512)                 # a shingle's rank is the number of these that its count reaches
+MIDDLE = 2                               # shingles that are not counted come behind this rank
+LARGE, BLOCK = 256, 4096                 # entries of a component that is compared on its own; entries compared at once
+
+
+def _counted(similar: int, out_of: int) -> np.uint64:
+    """Hashes below are counted: about twice as many of a set as it is listed under."""
+    return np.uint64(min(2**64 - 1, 2**64 * 2 * (out_of - similar) // out_of))
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -47,14 +54,14 @@ def _digest(hashes: np.ndarray) -> tuple[int, int]:
     return int(signed(spread.sum(keepdims=True))[0]), int(signed(np.bitwise_xor.reduce(mix(spread), keepdims=True))[0])
 
 
-def _profiles(docs: DataFrame, size: int) -> DataFrame:
+def _profiles(docs: DataFrame, size: int, counted: np.uint64) -> DataFrame:
     """``doc_id, n, d1, d2, low``: size and digest of each set, and its counted hashes."""
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ns, d1, d2, low = [], [], [], []
         for hashes in shingle_sets(batch.column("text"), size):
             one, two = _digest(hashes)
             ns.append(len(hashes)), d1.append(one), d2.append(two)
-            low.append(signed(hashes[:np.searchsorted(hashes, COUNTED)]))
+            low.append(signed(hashes[:np.searchsorted(hashes, counted)]))
         yield pa.record_batch([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                                lists(low, pa.int64())], names=["doc_id", "n", "d1", "d2", "low"])
     return cut_lineage(arrow_map(docs, scan, "doc_id long, n long, d1 long, d2 long, low array<long>"))
@@ -62,8 +69,9 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
 def _entries(docs: DataFrame, profiles: DataFrame, classes: DataFrame, size: int, similar: int, out_of: int, bits: int) -> DataFrame:
     """``token, id, n, at``: the list entries of one set of each class, of tokens that occur in more than one."""
-    often = profiles.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    held = docs.sparkSession.sparkContext.broadcast(sieve_of(often, "token", bits))
+    often = cut_lineage(profiles.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LEVELS[0]))
+    sieves = [sieve_of(often.where(F.col("n") >= n), "token", bits if n == LEVELS[0] else bits - 2) for n in LEVELS]
+    held, counted = docs.sparkSession.sparkContext.broadcast(sieves), _counted(similar, out_of)
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         ids, ns, ats, tokens = [], [], [], []
@@ -71,13 +79,16 @@ def _entries(docs: DataFrame, profiles: DataFrame, classes: DataFrame, size: int
             n = len(hashes)
             if not n:
                 continue
-            low = int(np.searchsorted(hashes, COUNTED))
-            shared = held.value.holds(hashes[:low])
-            alone = low - int(shared.sum())                      # these come first, and no other set has them
+            low = int(np.searchsorted(hashes, counted))
+            shared = hashes[:low][held.value[0].holds(hashes[:low])]
+            alone = low - len(shared)                            # these come first, and no other set has them
             length = n - (similar * n + out_of - 1) // out_of + 1
             if alone >= length:
                 continue
-            listed = np.concatenate((hashes[low:low + length], hashes[:low][shared]))[:length - alone]
+            rank = 1 + sum(sieve.holds(shared).astype(np.int64) for sieve in held.value[1:])
+            ranked = shared[np.argsort(rank, kind="stable")]
+            rare = int((rank <= MIDDLE).sum())
+            listed = np.concatenate((ranked[:rare], hashes[low:low + length], ranked[rare:]))[:length - alone]
             ids.append(i), ns.append(n), tokens.append(signed(listed)), ats.append(np.arange(alone, alone + len(listed)))
         yield pa.record_batch([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(ns, pa.int64()),
                                lists(ats, pa.int64()), lists(tokens, pa.int64())], names=["id", "n", "at", "token"])
@@ -105,12 +116,21 @@ def _runs(frame: DataFrame, columns: list[str], pairs, schema: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] | None = None
 
+        def table(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(np.concatenate([p[k] for p in found])) for k in (0, 1)], names=["a", "b"])
+
         def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             cuts = np.flatnonzero(np.diff(parts[0])) + 1
-            found = [p for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts[0])]) if b - a > 1 for p in pairs(*[x[a:b] for x in parts])]
-            for k in range(0, len(found), 4096):
-                left, right = (np.concatenate([p[s] for p in found[k:k + 4096]]) for s in (0, 1))
-                yield pa.record_batch([pa.array(left), pa.array(right)], names=["a", "b"])
+            found, held = [], 0
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(parts[0])]):
+                for pair in pairs(*[x[a:b] for x in parts]) if b - a > 1 else ():
+                    found.append(pair)
+                    held += len(pair[0])
+                    if held > 1 << 18:
+                        yield table(found)
+                        found, held = [], 0
+            if found:
+                yield table(found)
 
         for batch in batches:
             now = [c.to_numpy() for c in batch.columns]
@@ -140,18 +160,31 @@ def _across(entries: DataFrame, similar: int, out_of: int) -> DataFrame:
     def pairs(_: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if groups[0] == groups[-1]:
             return
-        cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
-        for k, (a, b) in enumerate(zip(cuts[1:-1], cuts[2:])):          # this component's entries against all before it
-            for x in range(a, b):
-                most = ns[x] * (out_of - similar) // similar - ats[x]   # no position beyond can still fit
-                for c, d in zip(cuts[:k + 1], cuts[1:k + 2]):
-                    d = c + int(np.searchsorted(ats[c:d], most, "right"))
-                    if c == d:
-                        continue
-                    good = _fits(ns[x], ats[x], ns[c:d], ats[c:d], similar, out_of)
-                    if good.any():
-                        other = ids[c:d][good]
-                        yield np.minimum(other, ids[x]), np.maximum(other, ids[x])
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]))
+        large = [np.arange(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= LARGE]
+        small = np.repeat(np.diff(cuts) < LARGE, np.diff(cuts))
+        before = np.flatnonzero(small)
+        before = before[np.argsort(ats[before], kind="stable")]
+        yield from compare(before, before, groups, ats, ids, ns)
+        for block in large:
+            yield from compare(before, block, groups, ats, ids, ns)
+            before = np.concatenate((before, block))
+            before = before[np.argsort(ats[before], kind="stable")]
+
+    def compare(xs: np.ndarray, ys: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of entries of ``xs`` and ``ys`` (each in order of position), block by block; behind a block too deep all are."""
+        most = ns * (out_of - similar) // similar - ats
+        for a in range(0, len(xs), LARGE):
+            x = xs[a:a + LARGE]
+            end = int(np.searchsorted(ats[ys], most[x].max(), "right"))
+            for b in range(0, end, BLOCK):
+                y = ys[b:min(b + BLOCK, end)]
+                good = (groups[x][:, None] != groups[y]) & _fits(ns[x][:, None], ats[x][:, None], ns[y], ats[y], similar, out_of)
+                i, j = np.nonzero(good)
+                if len(i):
+                    one, two = ids[x[i]], ids[y[j]]
+                    keep = (one < two) if xs is ys else (one != two)
+                    yield np.minimum(one, two)[keep], np.maximum(one, two)[keep]
     return _runs(entries, ["token", "group", "at", "id", "n"], pairs, "a long, b long").distinct()
 
 
@@ -166,7 +199,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     when ``out_of * shared >= similar * united``; a component is named by its least doc_id.  Null, empty and white texts have no shingle and stand alone.
     Rows that share a doc_id are one document as to links.  A row without doc_id links with nothing: its component_id is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = _profiles(docs, size)
+    profiles = _profiles(docs, size, _counted(similar, out_of))
     members = profiles.select("doc_id", "n", "d1", "d2")
     named = members.where("n > 0 and doc_id is not null")
     classes = cut_lineage(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
