@@ -21,7 +21,7 @@ from loamgrid.llm.words import LOWER, PIECE, RunningHash, buffers, mix, spans
 
 BITS = 18
 PREFIXES, SUFFIX = (4, 5, 6), 3
-EACH, ROUNDS = 1200, 30              # documents of a class and rounds to learn from
+EACH, LONGEST, ROUNDS = 800, 8_000, 30    # documents of a class, their bytes at most, and rounds to learn from
 THRESHOLD, FOLDS, FOLD = 0.3, 4, 2
 N_FEATURES = 2 + len(PREFIXES)
 _APART = np.ones(256, bool)
@@ -93,7 +93,10 @@ def marginals(emission: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> tu
 
 
 def _emission(field: Field, features: np.ndarray) -> np.ndarray:
-    return field.weights[features].sum(axis=1) + field.bias
+    out = np.full(len(features), field.bias)
+    for column in range(features.shape[1]):
+        out += field.weights[features[:, column]]
+    return out
 
 
 def learn(tokens: Tokens, tags: np.ndarray, rounds: int = ROUNDS) -> Field:
@@ -132,8 +135,9 @@ def token_labels(tokens: Tokens, ys: np.ndarray) -> np.ndarray:
     """Tags for the tokens of documents that are labelled as wholes: greedily the features that occur in most of the toxic documents not yet explained,
     and (almost) only there."""
     rows = np.repeat(np.arange(len(ys)), np.diff(tokens.bounds))
-    keys = np.unique((rows[:, None] * (1 << BITS) + tokens.features).ravel())                          # (document, feature)
-    doc, feature = keys >> BITS, keys & ((1 << BITS) - 1)
+    cuts = tokens.bounds.tolist()
+    each = [np.unique(tokens.features[a:b]) for a, b in zip(cuts, cuts[1:])]                            # a document's features
+    doc, feature = np.repeat(np.arange(len(ys)), [len(x) for x in each]), np.concatenate(each)
     doc, feature = doc[feature > 0], feature[feature > 0]
     toxic = ys[doc] == 1
     clean = np.bincount(feature[~toxic], minlength=1 << BITS) * ((ys == 1).sum() / max(1, (ys == 0).sum()))
@@ -173,7 +177,7 @@ def _logistic(x: np.ndarray, ys: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def fitted(docs: DataFrame, labels: DataFrame, each: int = EACH, folds: int = FOLDS, fold: int = FOLD) -> Field:
     """A field learned from at most ``each`` documents of each class; with one class only, a constant."""
-    rows, counts = sample(docs, labels, "toxic", each, folds, fold)
+    rows, counts = sample(docs, labels, "toxic", each, folds, fold, LONGEST)
     found = rows.toArrow()
     found = found.take(pa.compute.sort_indices(found, [("text", "ascending")])) if found.num_rows else found
     ys = found["y"].to_numpy()
