@@ -99,7 +99,7 @@ def is_boilerplate(col: Column) -> Column:
     return let(strip(F.coalesce(col, F.lit(""))), test)
 
 
-def fingerprint(col: Column, prefix: int | None = 1000) -> Column:
+def fingerprint(col: Column, prefix: int | None = None) -> Column:
     """First 16 hex digits of the MD5 of the lower-cased text with blanks collapsed; ``prefix=None`` takes the
     whole text."""
     text = col if prefix is None else F.left(col, F.lit(prefix))

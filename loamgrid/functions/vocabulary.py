@@ -8,10 +8,12 @@ from typing import NamedTuple
 
 # Words ignored in keyword extraction.
 STOP_WORDS = (
-    "the a an and or but in on at to for of with by from is are was were be been have has had do does did will "
-    "would could should may might shall this that these those it its they their we our you your he she his her "
-    "all any each both more most other some such into about up out as if then than so no not also which who what "
-    "how when where why can page click here read view").split()
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "is", "are", "was", "were",
+    "be", "been", "have", "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "shall", "this",
+    "that", "these", "those", "it", "its", "they", "their", "we", "our", "you", "your", "he", "she", "his", "her", "all", "any",
+    "each", "both", "more", "most", "other", "some", "such", "into", "about", "up", "out", "as", "if", "then", "than", "so", "no",
+    "not", "also", "which", "who", "what", "how", "when", "where", "why", "can", "page", "click", "here", "read", "view",
+)
 
 # Whole-text patterns of navigation and legal remnants.
 BOILERPLATE_PATTERNS = (
@@ -48,7 +50,10 @@ STAGE_TOPIC_SUFFIX = " details requirements process"
 SYNONYM_TRIGGER_PATTERN = r"(?i)\b(dental|bds|pharmacy|nursing|cs|bba)\b"
 CORRECTION_WORDS = ("wrong", "incorrect", "غلط", "درست نہیں")
 PERSONA_PATTERNS = (("visitor", r"apply|admission|fee|program"), ("student", r"exam|result|course|schedule|semester"))
-FILLER_WORDS = ("the a an is are what whats tell me about please kindly can you i want to know of for in").split()
+FILLER_WORDS = (
+    "the", "a", "an", "is", "are", "what", "whats", "tell", "me", "about", "please", "kindly", "can", "you", "i", "want", "to",
+    "know", "of", "for", "in",
+)
 
 # Intents in order of precedence, with their keywords.
 INTENT_KEYWORDS = (
@@ -129,10 +134,6 @@ ROUTING_RULES = (
 )
 DEFAULT_NAMESPACE = "general"
 
-_DEPARTMENT_CS = r"\b(cs|cse|it|software.?eng|computer.?science|information.?technology|bscs|bsit|bsse)\b"
-_DEPARTMENT_BUSINESS = r"\b(bba|mba|business.?admin|management|commerce|bs.?business)\b"
-_DEPARTMENT_PHARMACY = r"pharm(acy|acology|d)|d\.pharm"
-_DEPARTMENT_NURSING = r"nurs(ing|e)|midwifery"
 
 # Page rules; labels are page type, category, department.
 PAGE_RULES = (
@@ -147,10 +148,10 @@ PAGE_RULES = (
     Rule(r"fee|tuition|charges?|payment|finance|cost|dues|prospectus", ("academic", "Finance", "general")),
     Rule(r"contact|location|address|map|phone|email|reach.?us", ("contact", "Contact", "general")),
     Rule(r"facility|facilities|hostel|transport|library|sports|cafeteria|lab", ("general", "Facilities", "general")),
-    Rule(_DEPARTMENT_CS, ("department", "CS & IT", "cs_it")),
-    Rule(_DEPARTMENT_BUSINESS, ("department", "BBA", "bba")),
-    Rule(_DEPARTMENT_PHARMACY, ("department", "Pharmacy", "pharmacy")),
-    Rule(_DEPARTMENT_NURSING + r"|bs.?nursing", ("department", "Nursing", "nursing")),
+    Rule(r"\b(cs|cse|it|software.?eng|computer.?science|information.?technology|bscs|bsit|bsse)\b", ("department", "CS & IT", "cs_it")),
+    Rule(r"\b(bba|mba|business.?admin|management|commerce|bs.?business)\b", ("department", "BBA", "bba")),
+    Rule(r"pharm(acy|acology|d)|d\.pharm", ("department", "Pharmacy", "pharmacy")),
+    Rule(r"nurs(ing|e)|midwifery|bs.?nursing", ("department", "Nursing", "nursing")),
     Rule(r"academic|curriculum|course|syllabus|semester|timetable|schedule|credit|degree|program",
          ("academic", "Academic", "general")),
 )
@@ -159,10 +160,10 @@ PAGE_DEFAULT = ("general", "General", "general")
 PROFILE_URL_PART = "profile.php"
 PROFILE_PATTERN = r"professor|lecturer|instructor|dean"
 PROFILE_DEPARTMENTS = (
-    Rule(_DEPARTMENT_CS, ("cs_it",)),
-    Rule(_DEPARTMENT_BUSINESS, ("bba",)),
-    Rule(_DEPARTMENT_PHARMACY, ("pharmacy",)),
-    Rule(_DEPARTMENT_NURSING, ("nursing",)),
+    Rule(r"\b(cs|cse|it|software.?eng|computer.?science|information.?technology|bscs|bsit|bsse)\b", ("cs_it",)),
+    Rule(r"\b(bba|mba|business.?admin|management|commerce|bs.?business)\b", ("bba",)),
+    Rule(r"pharm(acy|acology|d)|d\.pharm", ("pharmacy",)),
+    Rule(r"nurs(ing|e)|midwifery", ("nursing",)),
 )
 
 # Chunk rules; labels are category, namespace, page type.
@@ -187,8 +188,8 @@ CHUNK_RULES = (
     Rule(r"contact|phone|email|address|location|helpline", ("Contact", "contact", "contact")),
     Rule(r"\b(cs|cse|it|bscs|bsit|bsse|software\s+eng|computer\s+science)\b", ("CS & IT", "dept-cs", "department")),
     Rule(r"\b(bba|mba|business\s+admin|management|commerce)\b", ("BBA", "dept-bba", "department")),
-    Rule(_DEPARTMENT_PHARMACY, ("Pharmacy", "dept-pharmacy", "department")),
-    Rule(_DEPARTMENT_NURSING, ("Nursing", "dept-nursing", "department")),
+    Rule(r"pharm(acy|acology|d)|d\.pharm", ("Pharmacy", "dept-pharmacy", "department")),
+    Rule(r"nurs(ing|e)|midwifery", ("Nursing", "dept-nursing", "department")),
 )
 CHUNK_DEFAULT = ("General", "general", "general")
 
@@ -242,10 +243,14 @@ TYPE_BOOSTS = (
 # Elements, classes, ids and roles that hold no page content.
 BOILERPLATE_TAGS = ("script", "style", "noscript", "iframe", "object", "embed", "nav", "header", "footer", "aside")
 BOILERPLATE_CLASSES = (
-    "nav navbar navigation menu header footer sidebar cookie-banner cookie-notice popup modal overlay social-share "
-    "social-links share-buttons breadcrumb-nav pagination pager wp-caption gallery related-posts post-navigation "
-    "site-header site-footer topbar bottom-bar main-nav footer-bottom scroll-top back-to-top floating-btn").split()
-BOILERPLATE_IDS = "topnav nav header footer sidebar menu topbar top-bar bottom-bar".split()
+    "nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "cookie-banner", "cookie-notice", "popup", "modal",
+    "overlay", "social-share", "social-links", "share-buttons", "breadcrumb-nav", "pagination", "pager", "wp-caption", "gallery",
+    "related-posts", "post-navigation", "site-header", "site-footer", "topbar", "bottom-bar", "main-nav", "footer-bottom",
+    "scroll-top", "back-to-top", "floating-btn",
+)
+BOILERPLATE_IDS = (
+    "topnav", "nav", "header", "footer", "sidebar", "menu", "topbar", "top-bar", "bottom-bar",
+)
 BOILERPLATE_ROLES = ("navigation", "banner", "contentinfo", "complementary")
 SOCIAL_LINK_PATTERN = r"(?i)facebook|twitter|youtube|linkedin|instagram|whatsapp"
 # Where the content of a page is looked for, in this order (tag, role, id or class).
@@ -255,3 +260,16 @@ CONTENT_CONTAINERS = ("main", "article", "role=main", "#content", "#main-content
 BLOCK_TAGS = ("h1", "h2", "h3", "h4", "p", "li", "td", "th", "dt", "dd", "blockquote")
 PROFILE_HEADING_PATTERN = (r"(?i)qualification|education|experience|research|publication|specialization|interest|"
                            r"achievement")
+
+# How a personal page is read.  Field: lines with its label, pattern of the value, group of the pattern.
+HEADING_TAGS = ("h1", "h2", "h3", "h4", "h5", "h6", "strong", "b")
+NAME_SELECTORS = ("h4", ".profile-name", ".name")
+PROFILE_FIELDS = {
+    "email": ("@", r"[\w.-]+@[\w.-]+\.[a-zA-Z]{2,}", 0),
+    "phone": ("(?i)phone|cell|contact", r"[\d+-]{7,}", 0),
+    "designation": ("(?i)designation|lecturer|professor|assistant|associate|instructor", r"(?is)^(?:.*?designation:?)?(.*)$", 1),
+    "department": ("(?i)department|faculty of|dept", r"(?is)^(?:.*?(?:department|dept):?)?(.*)$", 1),
+}
+PROFILE_LINES = (("Designation", "designation"), ("Department", "department"), ("Email", "email"), ("Phone", "phone"))
+PROFILE_TITLE_NOISE = "(?i)profile|[-|:]"
+PROFILE_NO_NAME = "Faculty Member"

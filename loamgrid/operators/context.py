@@ -4,16 +4,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Budget, least rest worth filling, prefix compared, mark of a cut entry.
-MAX_CONTEXT_CHARS, MIN_REST, PREFIX = 24000, 200, 100
+# Budget, least rest worth filling, mark of a cut entry.
+MAX_CONTEXT_CHARS, MIN_REST = 24000, 200
 CUT_MARK = "\n[truncated for context budget]"
 
 
 def context_entries(ranked: DataFrame, budget: int = MAX_CONTEXT_CHARS, rank: str = "final_rank",
-                    prefix: int | None = PREFIX) -> DataFrame:
+                    prefix: int | None = None) -> DataFrame:
     """Entries in rank order that fit: ``query_id, entry_no, id, entry``.
 
-    Rows with an equal beginning (blanks and case aside) count once.  The first entry that overflows is cut at its
+    Rows with equal text (blanks and case aside; with ``prefix`` only its beginning) count once.  The first entry that overflows is cut at its
     last full stop or question mark if more than 200 characters are left; what follows is dropped.  The input is a
     reranked list, at most a dozen rows per question."""
     start = F.col("content") if prefix is None else F.left("content", F.lit(prefix))
@@ -36,7 +36,7 @@ def context_entries(ranked: DataFrame, budget: int = MAX_CONTEXT_CHARS, rank: st
     return (sized.withColumn("entry", fitted).where(F.col("entry").isNotNull()).select("query_id", "entry_no", "id", "entry"))
 
 
-def build_context(ranked: DataFrame, budget: int = MAX_CONTEXT_CHARS, rank: str = "final_rank", prefix: int | None = PREFIX) -> DataFrame:
+def build_context(ranked: DataFrame, budget: int = MAX_CONTEXT_CHARS, rank: str = "final_rank", prefix: int | None = None) -> DataFrame:
     entries = context_entries(ranked, budget, rank, prefix)
     return (entries.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("entry_no", "entry"))).alias("_e"))
             .select("query_id", F.size("_e").alias("entries"), F.array_join(F.col("_e.entry"), "\n\n").alias("context")))

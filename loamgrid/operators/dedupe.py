@@ -27,7 +27,7 @@ def keep_first(df: DataFrame, keys: Sequence[Column], order: Sequence[str], id_c
 
 
 def drop_near_duplicate_pages(pages: DataFrame, content: str = "content", order: Sequence[str] = (),
-                              id_col: str = "page_id", prefix: int | None = 1000) -> DataFrame:
+                              id_col: str = "page_id", prefix: int | None = None) -> DataFrame:
     """First page in crawl order of each fingerprint."""
     return keep_first(pages, [tx.fingerprint(F.col(content), prefix)], order, id_col)
 
@@ -145,7 +145,7 @@ def _slots(grams: tuple) -> np.ndarray:
 
 
 def dedupe_ranked(df: DataFrame, key: str = "query_id", rank: str = "rank", text: str = "content",
-                  threshold: float = 0.70, k: int = 5, prefix: int | None = 500) -> DataFrame:
+                  threshold: float = 0.70, k: int = 5, prefix: int | None = None) -> DataFrame:
     """Walk each ranked list from the top and drop a row too similar to any row kept before it.
 
     The sum of the lesser slot counts bounds what two texts can share, so most pairs need no exact comparison."""
@@ -210,7 +210,7 @@ def _pair_test(threshold: float, k: int, prefix: int | None):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", threshold: float = 0.70, k: int = 5,
-                    prefix: int | None = 500, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
+                    prefix: int | None = None, bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
     """The ranked-list rule over a whole corpus in id order: ``id, kept_id``; kept rows name themselves.
 
     Equal texts are folded first.  Rows that agree in a band of their min-hash signature may be similar; similarity

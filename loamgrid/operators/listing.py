@@ -28,10 +28,10 @@ def matching(df: DataFrame, search: str | None = None, columns: Sequence[str] =
 
 def list_entries(df: DataFrame, search: str | None = None, columns: Sequence[str] = ("title", "content"),
                  filters: Mapping[str, object] | None = None, limit: int = 50, offset: int = 0,
-                 newest_by: str = "updated_at", tiebreak: str = "id", cap: int = 200) -> DataFrame:
-    """One page of matching rows, newest first, nulls last; ``limit`` is capped at ``cap`` rows."""
+                 newest_by: str = "updated_at", tiebreak: str = "id") -> DataFrame:
+    """One page of matching rows, newest first, nulls last."""
     rows = matching(df, search, columns, filters).orderBy(F.col(newest_by).desc_nulls_last(), F.col(tiebreak))
-    return (rows.offset(offset) if offset else rows).limit(min(limit, cap))
+    return (rows.offset(offset) if offset else rows).limit(limit)
 
 
 def count_entries(df: DataFrame, search: str | None = None, columns: Sequence[str] = ("title", "content"),
@@ -51,8 +51,10 @@ def within_days(column: Column, as_of: datetime, days: int) -> Column:
     return column >= F.lit(as_of) - F.expr(f"INTERVAL {days} DAYS")
 
 
-def chunks_of(df: DataFrame, url: str, limit: int = 100, cap: int = 500) -> DataFrame:
-    return with_sizes(df.where(F.col("source_url") == url)).orderBy("chunk_index", "id").limit(min(limit, cap))
+def chunks_of(df: DataFrame, url: str, limit: int | None = None) -> DataFrame:
+    """Chunks of one address in order; all of them unless a limit is given."""
+    rows = with_sizes(df.where(F.col("source_url") == url)).orderBy("chunk_index", "id")
+    return rows if limit is None else rows.limit(limit)
 
 
 def semi(df: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
@@ -100,9 +102,16 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) ->
             .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]))
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The greatest row of each key by ``order``, so that a join on the key neither multiplies rows nor depends on chance."""
+    return latest_per_key(df, keys, [c for c in order if c not in keys] or list(keys)) if set(df.columns) - set(keys) else df.distinct()
+
+
 def resolve_questions(questions: DataFrame, updates: DataFrame, as_of: datetime) -> DataFrame:
-    """Set the resolution flag and entry of the listed questions; only a resolved one gets a time."""
-    new = updates.select("id", F.col("resolved").alias("_resolved"), F.col("resolved_entry_id").alias("_entry"))
+    """Set the resolution flag and entry of the listed questions; only a resolved one gets a time.
+
+    Of several updates of one question the greatest (resolved over not, then by entry) counts."""
+    new = one_per_key(updates, ["id"], ["resolved", "resolved_entry_id"]).select("id", F.col("resolved").alias("_resolved"), F.col("resolved_entry_id").alias("_entry"))
     listed = F.col("_resolved").isNotNull()
     return (questions.join(new, "id", "left")
             .withColumn("resolved", F.coalesce("_resolved", "resolved"))
@@ -112,9 +121,12 @@ def resolve_questions(questions: DataFrame, updates: DataFrame, as_of: datetime)
             .drop("_resolved", "_entry"))
 
 
-def patch(df: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "id") -> DataFrame:
-    """Overwrite the listed columns where the update has a value; keep the old value where it is null."""
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
+def patch(df: DataFrame, updates: DataFrame, columns: Sequence[str], key: str = "id",
+          order: Sequence[str] = ()) -> DataFrame:
+    """Overwrite the listed columns where the update has a value; keep the old value where it is null.
+
+    Of several updates of one key the last by ``order`` (then by the columns themselves) counts."""
+    new = one_per_key(updates, [key], [*order, *columns]).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
     joined = df.join(new, key, "left")
     return joined.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in columns}).drop(
         *[f"_new_{c}" for c in columns])

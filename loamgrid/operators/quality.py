@@ -30,7 +30,7 @@ def entries_of_pages(entries: DataFrame, copies: DataFrame) -> DataFrame:
                         "id")
 
 
-def failures_of_latest_run(failures: DataFrame, runs: DataFrame, limit: int = 20) -> DataFrame:
+def failures_of_latest_run(failures: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
     """Newest failures of the run that started last."""
     latest = runs.agg(F.max_by("id", F.struct("started_at", "id"))).scalar()
     return (failures.where(F.col("run_id") == latest).orderBy(F.desc("attempted_at"), "url").limit(limit))
@@ -104,7 +104,7 @@ def label_with(df: DataFrame, dimension: DataFrame, on: str, columns: Sequence[s
     return joined
 
 
-def learned_corrections(messages: DataFrame, corrections: DataFrame, newest: int = 100, opening: int = 25) -> DataFrame:
+def learned_corrections(messages: DataFrame, corrections: DataFrame, newest: int, opening: int) -> DataFrame:
     """Corrections whose question contains the first ``opening`` characters of a message: ``message_id, answers``.
 
     Only the newest ``newest`` corrections exist for this rule, so they travel with each message as one array."""

@@ -104,8 +104,7 @@ def _scores_broadcast(queries: DataFrame, vectors: DataFrame, k: int) -> DataFra
                 if ns in shared.value:
                     qids, qm = shared.value[ns]
                     yield _best(qids, qm, rows["id"].to_numpy(), _unit(rows["embedding"]), k).assign(namespace=ns)
-    found = vectors.where(F.col("namespace").isin(*by_namespace)) if len(by_namespace) <= 200 else vectors
-    return found.mapInPandas(run, f"_qid bigint, id {id_type}, score double, namespace string")
+    return vectors.mapInPandas(run, f"_qid bigint, id {id_type}, score double, namespace string")
 
 
 def _scores_blocked(queries: DataFrame, vectors: DataFrame, k: int, block_vectors: int, block_queries: int) -> DataFrame:
@@ -235,7 +234,7 @@ def confidence(queries: DataFrame, ranked: DataFrame, high: float = HIGH_SCORE,
 def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: DataFrame,
            paraphrases: DataFrame | None = None, k_vector: int = TOP_K_VECTOR, k_keyword: int = TOP_K_KEYWORD,
            rules: Sequence[Rule] = ROUTING_RULES, all_namespaces: bool = False, dims: int = 256,
-           dedupe_prefix: int | None = 500) -> DataFrame:
+           dedupe_prefix: int | None = None) -> DataFrame:
     """Fused, deduplicated candidates with chunk columns: ``query_id, id, score, keyword_score, rrf_score, rank``."""
     asked = variants(queries.where(F.trim("text") != ""), paraphrases)
     embedded = embed_text(asked, "text", dims)
@@ -253,7 +252,7 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: Dat
 
 def retrieve_staged(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: DataFrame,
                     paraphrases: DataFrame | None = None, rules: Sequence[Rule] = ROUTING_RULES,
-                    topic: str = STAGE_TOPIC_PATTERN, dims: int = 256, dedupe_prefix: int | None = 500) -> tuple[DataFrame, DataFrame]:
+                    topic: str = STAGE_TOPIC_PATTERN, dims: int = 256, dedupe_prefix: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Up to four attempts, each only for questions not settled before; returns (rows, outcome).
 
     A question is settled by high confidence, or medium with three rows.  1: as asked.  2: with synonyms, merged

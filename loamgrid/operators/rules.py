@@ -13,14 +13,9 @@ from ..functions import text as tx
 from ..functions.vocabulary import (CHUNK_DEFAULT, CHUNK_RULES, DEFAULT_NAMESPACE, NAMESPACE_RULES, PAGE_DEFAULT,
                                     PAGE_RULES, PROFILE_DEPARTMENTS, PROFILE_PATTERN, PROFILE_URL_PART, Rule)
 
-MAX_RULES = 2000
-
-
 def rules_from(df: DataFrame, pattern: str, labels: Sequence[str], order: str) -> list[Rule]:
-    """Read a rule table; refuses one that is too long to be a rule table."""
-    rows = df.select(order, pattern, *labels).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a rule table holds at most {MAX_RULES} rules")
+    """Read a rule table.  Its rules become one expression, so it has to be as short as a person can write it."""
+    rows = df.select(order, pattern, *labels).collect()
     return [Rule(r[pattern], tuple(r[c] for c in labels)) for r in sorted(rows, key=lambda r: r[order])]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocabulary import CHUNK_RULES, NAMESPACE_RULES, Rule
 from ..session import with_once
+from .listing import latest_per_key
 from .rules import classify_chunk, namespace_of
 
 KEY = ("source_url", "source_type", "chunk_index")
@@ -18,11 +19,12 @@ def stamp_hash(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.col(content), 256))
 
 
-def plan_upsert(new: DataFrame, old: DataFrame, force: bool | Column = False, keys: Sequence[str] = KEY) -> DataFrame:
+def plan_upsert(new: DataFrame, old: DataFrame, force: bool | Column = False, keys: Sequence[str] = KEY, order: Sequence[str] = ("content_hash",)) -> DataFrame:
     """``keys, id, action, old_namespace``: insert, update (hash differs or forced) or touch for each new row.
 
-    A key stored twice counts through its oldest row.  An inserted row gets an id made from its key, so a repeated
+    Of several new rows of one key the last by ``order`` counts.  A key stored twice counts through its oldest row.  An inserted row gets an id made from its key, so a repeated
     run gives the same id."""
+    new = latest_per_key(new, list(keys), list(order))
     stored = (old.groupBy(*keys).agg(F.min_by(F.struct("id", "content_hash", "namespace"), F.struct("created_at", "id")).alias("_old")))
     forced = F.lit(force) if isinstance(force, bool) else force
     joined = new.join(stored, list(keys), "left")

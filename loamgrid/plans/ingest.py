@@ -18,12 +18,12 @@ from ..sources.readers import admit_pages
 
 
 def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequence[Rule] = PAGE_RULES,
-                namespaces: Sequence[Rule] = NAMESPACE_RULES, fingerprint_prefix: int | None = 1000,
-                snippet: int | None = 1000, with_keywords: bool = True, drop_repeats: bool = True) -> DataFrame:
+                namespaces: Sequence[Rule] = NAMESPACE_RULES, fingerprint_prefix: int | None = None,
+                snippet: int | None = None, with_keywords: bool = True, drop_repeats: bool = True) -> DataFrame:
     """Accepted, distinct, classified pages as chunk rows ready for the upsert.
 
     ``pages``: page_id, url, html.  All steps are row-local but the fingerprint and the keyword count."""
-    taken = admit_pages(extract_pages(pages, site_suffix=site_suffix)).where(F.col("status") == "accepted").drop("html", "blocks", "status", "reason")
+    taken = admit_pages(extract_pages(pages, site_suffix=site_suffix)).where(F.col("status") == "accepted").drop("html", "blocks", "status", "reason", "problem")
     first = drop_near_duplicate_pages(taken, prefix=fingerprint_prefix) if drop_repeats else taken
     looked_at = F.col("content") if snippet is None else F.left("content", F.lit(snippet))
     labelled = with_once(first, "_c", classify_page(F.col("url"), F.col("title"), looked_at, rules))

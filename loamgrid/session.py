@@ -78,10 +78,3 @@ def with_once(df: DataFrame, name: str, value: Column) -> DataFrame:
     Optimizer rules copy a column's expression into every filter and field access above it; they do not reach below
     a generator."""
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
-
-
-def fill_cores(df: DataFrame, split_bytes: int = 4 << 20) -> DataFrame:
-    """Deal out the rows of a scan too small to fill the cores (a file of one split); a large scan is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * split_bytes else df

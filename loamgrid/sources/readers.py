@@ -7,18 +7,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import fill_cores
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """A Parquet table for row work such as parsing: a small one is spread over the cores."""
+    """A Parquet table; name the columns you need and Parquet reads no others."""
     df = spark.read.parquet(path)
-    return fill_cores(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
-def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """The chunk table; name the columns you need and Parquet reads no others."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_chunks(spark: SparkSession, path: str, columns: Sequence[str] | None = None, merge_schema: bool = False) -> DataFrame:
+    """The chunk table; name the columns you need and Parquet reads no others.  Merging schemas opens every file's footer."""
+    df = spark.read.option("mergeSchema", str(merge_schema).lower()).parquet(path)
     return df.select(*columns) if columns else df
 
 
@@ -40,9 +39,12 @@ def admission_status(html: Column, text: Column, min_html: int = 200, min_text:
 
 
 def admit_pages(pages: DataFrame, html: str = "html", text: str = "content", min_html: int = 200, min_text: int = 50) -> DataFrame:
-    """Add ``status`` (accepted or rejected) and ``reason``; rejects are written to their own table."""
-    return (pages.withColumn("reason", admission_status(F.col(html), F.col(text), min_html, min_text))
-            .withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")))
+    """Add ``status`` (accepted, rejected or failed) and ``reason``; what is not accepted is written to its own table.
+
+    Where there is a column ``problem``, a page with one failed, and that is its reason."""
+    problem = F.col("problem") if "problem" in pages.columns else F.lit(None).cast("string")
+    return (pages.withColumn("reason", F.coalesce(problem, admission_status(F.col(html), F.col(text), min_html, min_text)))
+            .withColumn("status", F.when(problem.isNotNull(), "failed").when(F.col("reason").isNull(), "accepted").otherwise("rejected")))
 
 
 def rows_to_text(df: DataFrame, columns: Sequence[str], separator: str = " | ") -> DataFrame:

@@ -1,12 +1,16 @@
 """Writers.  Every writer is a plain Spark write; what is written is planned by the operators."""
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators.listing import latest_per_key
+from ..session import cut_lineage
 
 
 def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
@@ -15,14 +19,33 @@ def write_table(df: DataFrame, path: str, *partition_by: str) -> None:
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def write_vectors(df: DataFrame, path: str, rows_per_file: int = 2_000_000) -> None:
-    """Vectors partitioned by namespace.  Only namespaces present in ``df`` are replaced.
-
-    Rows are dealt to writers by namespace and id, so a namespace that holds much of the table is written by many."""
-    writers = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartition(writers, "namespace", F.pmod(F.xxhash64("id"), F.lit(writers)))
-    (dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .option("maxRecordsPerFile", rows_per_file).partitionBy("namespace").parquet(path))
+def write_vectors(df: DataFrame, path: str, buckets: int = 64, order: Sequence[str] = (), rows_per_file: int = 2_000_000) -> None:
+    """Upsert of vectors by namespace and id; the table is partitioned by namespace and by ``bucket``, a hash of the id.
+
+    Of several incoming rows of one id the last by ``order`` (then by the vector) counts.  Only the partitions that an incoming id falls into are read and
+    written again; stored rows with other ids stay.  A table keeps the number of buckets it was made with."""
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c not in ("id", "namespace")]
+    new = latest_per_key(df, ["id", "namespace"], [*order, *[c for c in rest if c not in order]])
+    new = cut_lineage(new.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")))
+    rows = new
+    if is_table(spark, path):
+        touched = new.select("namespace", "bucket").distinct()
+        stored = spark.read.schema(new.schema).parquet(path).join(touched, ["namespace", "bucket"], "left_semi")
+        rows = cut_lineage(stored.join(new.select("id", "namespace", "bucket"), ["id", "namespace", "bucket"], "left_anti").unionByName(new))
+    (rows.repartition("namespace", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .option("maxRecordsPerFile", rows_per_file).partitionBy("namespace", "bucket").parquet(path))
+
+
+def is_table(spark: SparkSession, path: str) -> bool:
+    """Whether a table lies at the path, on whatever storage the session reads."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return False
+    return True
 
 
 def write_postings(df: DataFrame, table: str, buckets: int = 512) -> None:

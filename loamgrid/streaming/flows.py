@@ -38,9 +38,9 @@ def _start(df: DataFrame, checkpoint: str, mode: str, **sink) -> StreamingQuery:
 
 # ---- ingestion ------------------------------------------------------------------------------------------------
 
-def fresh_pages(pages: DataFrame, seen_at: str = "fetched_at", watermark: str = "1 day", prefix: int | None = 1000) -> DataFrame:
+def fresh_pages(pages: DataFrame, seen_at: str = "fetched_at", watermark: str = "1 day", prefix: int | None = None) -> DataFrame:
     """Accepted pages without near copies that arrive within the watermark of each other."""
-    taken = admit_pages(extract_pages(pages)).where(F.col("status") == "accepted").drop("status", "reason", "blocks", "title")
+    taken = admit_pages(extract_pages(pages)).where(F.col("status") == "accepted").drop("status", "reason", "blocks", "title", "problem")
     marked = taken.withWatermark(seen_at, watermark).withColumn("fingerprint", tx.fingerprint(F.col("content"), prefix))
     return marked.dropDuplicatesWithinWatermark(["fingerprint"])
 
@@ -154,8 +154,11 @@ def log_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return _start(rows, checkpoint, "append", each=lambda batch, _id: append_log(batch, path))
 
 
-def run_to_end(query: StreamingQuery, timeout: int = 600) -> None:
-    if not query.awaitTermination(timeout):
+def run_to_end(query: StreamingQuery, timeout: float | None = None) -> None:
+    """Waits until the stream has taken all there is; only a caller can set a limit (seconds)."""
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("the stream did not finish")
     if query.exception():

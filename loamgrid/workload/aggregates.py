@@ -187,6 +187,9 @@ def _(t):
     return an.difference(t.entries.select("namespace").distinct(), t.vectors, ["namespace"])
 
 
-@query("d25_table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ("customer", "documents", "events", "lineitem", "orders", "pages")))
+ALL_TABLES = ("benchmark", "conversations", "customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+
+
+@query("d25_table_counts", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n FROM {n}" for n in ALL_TABLES))
 def _(t):
-    return an.table_counts({n: getattr(t, n) for n in ("customer", "documents", "events", "lineitem", "orders", "pages")})
+    return an.table_counts({n: getattr(t, n) for n in ALL_TABLES})

@@ -39,7 +39,7 @@ def _(t):
     """Orders as failures, customers as runs: the run that started last is the customer of the newest order."""
     failures = t.orders.select(F.col("o_custkey").alias("run_id"), F.col("o_orderkey").alias("url"), F.col("o_orderdate").alias("attempted_at"))
     runs = t.orders.select(F.col("o_custkey").alias("id"), F.col("o_orderdate").alias("started_at"))
-    return qu.failures_of_latest_run(failures, runs).select(F.col("url").alias("o_orderkey"), F.col("run_id").alias("o_custkey"))
+    return qu.failures_of_latest_run(failures, runs, 20).select(F.col("url").alias("o_orderkey"), F.col("run_id").alias("o_custkey"))
 
 
 @query("c4_vectors_without_entry", with_tables("entries vectors", "SELECT id, namespace FROM vectors WHERE id NOT IN (SELECT id FROM entries WHERE vector_id IS NOT NULL)"))
@@ -90,7 +90,7 @@ SELECT message_id, CAST(count(*) AS INTEGER) AS n_answers, string_agg(answer, '
 def _(t):
     corrections = t.benchmark.select(F.col("item_id").alias("correction_id"), F.col("text").alias("question"),
                                      F.concat(F.lit("a"), F.col("item_id").cast("string")).alias("answer"), F.timestamp_seconds("item_id").alias("created_at"))
-    return qu.learned_corrections(t.benchmark.select(F.col("item_id").alias("message_id"), "text"), corrections)
+    return qu.learned_corrections(t.benchmark.select(F.col("item_id").alias("message_id"), "text"), corrections, newest=100, opening=25)
 
 
 @query("c11_log_with_hits", with_tables("log", "SELECT l.id, l.intent, h.event_id AS hit FROM log l JOIN events h ON l.session_id = CAST(h.user_id AS VARCHAR) AND h.ts = l.created_at"))

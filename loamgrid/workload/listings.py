@@ -60,10 +60,23 @@ def _(t):
 @query("a7_vector_sink", with_tables("vectors", "SELECT namespace, count(*) AS n FROM vectors GROUP BY namespace"))
 def _(t):
     path = t.scratch("vectors")
-    sinks.write_vectors(t.vectors, path)
+    sinks.write_vectors(t.vectors, path, buckets=8)
     return t.spark.read.parquet(path).groupBy("namespace").agg(F.count("*").alias("n"))
 
 
+@query("a7_vector_upsert", with_tables("vectors", """SELECT id, namespace, CASE WHEN CAST(id AS BIGINT) % 3 = 0 THEN 2 * embedding[1] ELSE embedding[1] END AS first FROM vectors
+UNION ALL SELECT 'new-' || id, namespace, embedding[1] FROM vectors WHERE CAST(id AS BIGINT) % 5 = 0"""))
+def _(t):
+    """Vectors of which a third is written again, doubled and twice over, with others that are new."""
+    path, v = t.scratch("vectors"), t.vectors
+    sinks.write_vectors(v, path, buckets=8)
+    changed = v.where("cast(id as long) % 3 = 0")
+    doubled = changed.withColumn("embedding", F.transform("embedding", lambda x: x * F.lit(2).cast("float"))).withColumn("version", F.lit(2))
+    new = v.where("cast(id as long) % 5 = 0").withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("version", F.lit(1))
+    sinks.write_vectors(doubled.unionByName(changed.withColumn("version", F.lit(1))).unionByName(new), path, buckets=8, order=["version"])
+    return t.spark.read.parquet(path).select("id", "namespace", F.col("embedding")[0].alias("first"))
+
+
 @query("a8_log_sink", with_tables("log", "SELECT id AS log_id, CAST(h.hit_no AS INTEGER) AS hit_no, intent || '-' || CAST(h.hit_no AS VARCHAR) AS chunk_id, CAST(retrieval_ms / (h.hit_no + 1) AS DOUBLE) AS score, '' AS source_url FROM log, (SELECT unnest([0, 1]) AS hit_no) h"))
 def _(t):
     path = t.scratch("hits")

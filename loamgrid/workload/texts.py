@@ -143,7 +143,7 @@ def _(t):
 
 @query("f16_page_titles", r"""SELECT page_id, trim(left(trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\s+', ' ', 'g')), 200)) AS title FROM pages""")
 def _(t):
-    return hm.extract_pages(t.pages).select("page_id", "title")
+    return hm.extract_pages(t.pages, title_length=200).select("page_id", "title")
 
 
 LINKS = r"""l AS (SELECT page_id, url, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS root, regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) AS a FROM pages),

@@ -39,6 +39,15 @@ def _(t):
     return up.plan_upsert(incoming(t), t.entries).select("source_url", "source_type", "chunk_index", "id", "action", "old_namespace")
 
 
+@query("g1_repeated_keys", with_tables("entries", PLAN + " SELECT source_url, source_type, chunk_index, id, CASE WHEN old_namespace IS NULL THEN 'insert' ELSE 'update' END AS action FROM plan"))
+def _(t):
+    """The crawl with every row a second time, changed, and in that form the later one."""
+    once = incoming(t).withColumn("version", F.lit(1))
+    again = up.stamp_hash(once.withColumns({"content": F.concat("content", F.lit(" (again)")), "version": F.lit(2)}))
+    plan = up.plan_upsert(once.unionByName(again), t.entries, order=["version"])
+    return plan.select("source_url", "source_type", "chunk_index", "id", "action")
+
+
 @query("g1_upsert_counts", with_tables("entries", PLAN + " SELECT count(*) FILTER (WHERE action = 'insert') AS inserted, count(*) FILTER (WHERE action = 'update') AS updated, count(*) FILTER (WHERE action = 'touch') AS skipped FROM plan"))
 def _(t):
     return up.upsert_counts(up.plan_upsert(incoming(t), t.entries))

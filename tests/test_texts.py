@@ -164,6 +164,22 @@ def test_profile(spark):
     assert "## Education\nPhD in Physics\nMSc in Physics" in row.content
 
 
+def test_links_of_real_markup(spark):
+    html = """<a class=x href=/plain>1</a><A HREF='q?a=1&amp;utm_source=m&amp;b=2'>2</A><!-- <a href="/hidden">no</a> --><a href="../up/./x/">3</a><a href="../../../../far">4</a><a href="mailto:a@b.c">5</a>"""
+    rows = hm.extract_links(spark.createDataFrame([(1, "https://X.org/a/b/c.html", html)], "page_id int, url string, html string")).orderBy("link_no").collect()
+    assert [r.link for r in rows] == ["https://x.org/plain", "https://x.org/a/b/q?a=1&b=2", "https://x.org/a/up/x", "https://x.org/far", None]
+
+
+def test_pages_fail_alone(spark):
+    deep = "<div>" * 3000 + "<p>Some text deep inside</p>"
+    rows = [(1, deep), (2, "<![foo bar]><p>More text than ten</p>"), (3, "<body><p>A plain page of text</p></body>"), (4, None), (5, "<b>" * 2500 + "bold words here")]
+    got = {r.page_id: r for r in hm.extract_pages(spark.createDataFrame(rows, "page_id int, html string")).collect()}
+    assert got[1].content == "Some text deep inside" and got[3].content == "A plain page of text" and got[4].content == "" and got[5].problem is None
+    assert got[2].problem is not None or got[2].content == "More text than ten"
+    status = {r.page_id: r.status for r in admit_pages(hm.extract_pages(spark.createDataFrame(rows, "page_id int, html string")), min_html=1, min_text=1).collect()}
+    assert status[3] == "accepted" and status[2] == ("failed" if got[2].problem else "accepted")
+
+
 def test_admission(spark):
     pages = spark.createDataFrame([("h" * 199, "t" * 60), ("h" * 200, "t" * 49), ("h" * 200, "t" * 50), (None, None)], "html string, content string")
     assert [r.reason for r in admit_pages(pages).collect()] == ["insufficient_html", "insufficient_text", None, "insufficient_html"]

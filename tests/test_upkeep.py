@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loamgrid.functions.text import sha256
+from loamgrid.operators import dedupe as dd
 from loamgrid.operators import frontier as fr
 from loamgrid.operators import listing as ls
 from loamgrid.operators import ordered
@@ -179,13 +180,37 @@ def test_text_corpus(spark, tmp_path):
     assert got == [("bba", "my notes.md", "My Notes", "c"), ("cs", "fee-list.txt", "Fee List", "a\nb")]
 
 
-def test_vector_sink_replaces_only_its_namespaces(spark, tmp_path):
+def test_vector_sink_keeps_other_vectors(spark, tmp_path):
     def rows(*r):
         return spark.createDataFrame(list(r), "id string, namespace string, embedding array<float>")
     path = str(tmp_path / "v")
-    sinks.write_vectors(rows(("1", "a", [1.0]), ("2", "b", [1.0])), path)
-    sinks.write_vectors(rows(("3", "b", [1.0])), path)
-    assert sorted((r.id, r.namespace) for r in spark.read.parquet(path).collect()) == [("1", "a"), ("3", "b")]
+    sinks.write_vectors(rows(*[(str(i), "b", [float(i)]) for i in range(10)], ("1", "a", [1.0])), path, buckets=2)
+    sinks.write_vectors(rows(("3", "b", [7.0]), ("3", "b", [6.0]), ("11", "b", [11.0]), ("1", "c", [5.0])), path, buckets=2)
+    got = sorted((r.namespace, int(r.id), r.embedding[0]) for r in spark.read.parquet(path).collect())
+    assert got == [("a", 1, 1.0), *[("b", i, 7.0 if i == 3 else float(i)) for i in range(10)], ("b", 11, 11.0), ("c", 1, 5.0)]
+
+
+def test_repeated_keys_do_not_multiply(spark):
+    stored = spark.createDataFrame([("1", "u", "webpage", 0, "h", "n", T0)], "id string, source_url string, source_type string, chunk_index int, content_hash string, namespace string, created_at timestamp")
+    new = spark.createDataFrame([("u", "webpage", 0, "h"), ("u", "webpage", 0, "i"), ("v", "webpage", 0, "j"), ("v", "webpage", 0, "j")], "source_url string, source_type string, chunk_index int, content_hash string")
+    assert sorted((r.source_url, r.action) for r in up.plan_upsert(new, stored).collect()) == [("u", "update"), ("v", "insert")]
+    df = spark.createDataFrame([("1", "a", "b")], "id string, x string, y string")
+    assert [tuple(r) for r in ls.patch(df, spark.createDataFrame([("1", "p", None), ("1", "q", None)], "id string, x string, y string"), ["x", "y"]).collect()] == [("1", "q", "b")]
+    asked = spark.createDataFrame([("1", False, None, None)], "id string, resolved boolean, resolved_entry_id string, resolved_at timestamp")
+    updates = spark.createDataFrame([("1", False, None), ("1", True, "e")], "id string, resolved boolean, resolved_entry_id string")
+    assert [(r.resolved, r.resolved_entry_id) for r in ls.resolve_questions(asked, updates, T0).collect()] == [(True, "e")]
+
+
+def test_listings_have_no_hidden_bound(spark):
+    df = spark.range(700).select(F.col("id").cast("string").alias("id"), F.lit("t").alias("title"), F.lit("c").alias("content"), F.lit("u").alias("source_url"),
+                                 F.col("id").cast("int").alias("chunk_index"), F.lit(T0).alias("updated_at"))
+    assert ls.list_entries(df, limit=650).count() == 650 and ls.chunks_of(df, "u").count() == 700
+
+
+def test_defaults_compare_whole_texts(spark):
+    head = "same opening " * 200
+    df = spark.createDataFrame([(1, head + "one"), (2, head + "two"), (3, head + "two")], "page_id long, content string")
+    assert dd.drop_near_duplicate_pages(df, order=["page_id"]).count() == 2
 
 
 def test_patch_and_feedback(spark):
