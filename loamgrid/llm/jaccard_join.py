@@ -6,7 +6,9 @@ set is listed under the first shingles only that two similar sets cannot both la
 * equal sets are one class, listed once;
 * lists are ordered by position, and a block of entries too deep for the sizes at hand is skipped whole;
 * a list first compares its least set with the others.  Sets found linked form components, and later only pairs from different components are looked at;
-* such a set's answers are not computed anew: they follow from those of the similar set it is linked with, by the few shingles in which the two differ.
+* a set that differs from such a set (its hub) in few shingles is known by these.  Two sets of one hub differ in just what one of their two differences has and
+  the other lacks, so they are joined by their differences, however many sets a hub has;
+* the answers of a set of another hub are not computed anew either: they follow from its hub's by the differences.
 
 Lists get no shingle that occurs once.  How often one occurs is counted over all documents for a fixed share of all hashes, and kept by levels in sieves of
 fixed size; both decide on the order only, so the result is exact at any size."""
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.shared import SIEVE_BITS, arrow_map, components, lists, sieve_of
+from loamgrid.llm.shared import SIEVE_BITS, Scratch, arrow_map, components, lists, sieve_of
 from loamgrid.llm.words import follow, joined, mix, signed, words_of
 from loamgrid.session import cut_lineage
 
@@ -64,12 +66,11 @@ def _profiles(docs: DataFrame, size: int, counted: np.uint64) -> DataFrame:
             low.append(signed(hashes[:np.searchsorted(hashes, counted)]))
         yield pa.record_batch([batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()),
                                lists(low, pa.int64())], names=["doc_id", "n", "d1", "d2", "low"])
-    return cut_lineage(arrow_map(docs, scan, "doc_id long, n long, d1 long, d2 long, low array<long>"))
+    return arrow_map(docs, scan, "doc_id long, n long, d1 long, d2 long, low array<long>")
 
 
-def _entries(docs: DataFrame, profiles: DataFrame, classes: DataFrame, size: int, similar: int, out_of: int, bits: int) -> DataFrame:
+def _entries(docs: DataFrame, often: DataFrame, classes: DataFrame, size: int, similar: int, out_of: int, bits: int, scratch: Scratch) -> DataFrame:
     """``token, id, n, at``: the list entries of one set of each class, of tokens that occur in more than one."""
-    often = cut_lineage(profiles.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LEVELS[0]))
     sieves = [sieve_of(often.where(F.col("n") >= n), "token", bits if n == LEVELS[0] else bits - 2) for n in LEVELS]
     held, counted = docs.sparkSession.sparkContext.broadcast(sieves), _counted(similar, out_of)
 
@@ -95,9 +96,9 @@ def _entries(docs: DataFrame, profiles: DataFrame, classes: DataFrame, size: int
 
     listed = arrow_map(docs, scan, "id long, n long, at array<long>, token array<long>").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
     each = listed.select("id", "n", F.explode(F.arrays_zip("token", "at")).alias("e")).select("e.token", "id", "n", "e.at")
-    each = cut_lineage(each)
+    each = scratch.cut(each)
     twice = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
-    return cut_lineage(each.join(twice, "token"))
+    return scratch.cut(each.join(twice, "token"))
 
 
 def _needed(nx: np.ndarray, ny: np.ndarray, similar: int, out_of: int) -> np.ndarray:
@@ -156,22 +157,23 @@ def _stars(entries: DataFrame, similar: int, out_of: int) -> DataFrame:
 
 
 def _across(entries: DataFrame, similar: int, out_of: int) -> DataFrame:
-    """Pairs of one list whose sets lie in different components.  A component's entries are ordered by position, and those too deep are skipped."""
-    def pairs(_: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if groups[0] == groups[-1]:
+    """Pairs of one list whose sets have different hubs and lie in different components.  A hub's entries are ordered by position, and those too deep are skipped."""
+    def pairs(_: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if groups[0] == groups[-1] or (parts == parts[0]).all():
             return
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(groups)) + 1, [len(groups)]))
         large = [np.arange(a, b) for a, b in zip(cuts[:-1], cuts[1:]) if b - a >= LARGE]
         small = np.repeat(np.diff(cuts) < LARGE, np.diff(cuts))
         before = np.flatnonzero(small)
         before = before[np.argsort(ats[before], kind="stable")]
-        yield from compare(before, before, groups, ats, ids, ns)
+        yield from compare(before, before, groups, ats, ids, ns, parts)
         for block in large:
-            yield from compare(before, block, groups, ats, ids, ns)
+            yield from compare(before, block, groups, ats, ids, ns, parts)
             before = np.concatenate((before, block))
             before = before[np.argsort(ats[before], kind="stable")]
 
-    def compare(xs: np.ndarray, ys: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def compare(xs: np.ndarray, ys: np.ndarray, groups: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray,
+                parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of entries of ``xs`` and ``ys`` (each in order of position), block by block; behind a block too deep all are."""
         most = ns * (out_of - similar) // similar - ats
         for a in range(0, len(xs), LARGE):
@@ -179,13 +181,65 @@ def _across(entries: DataFrame, similar: int, out_of: int) -> DataFrame:
             end = int(np.searchsorted(ats[ys], most[x].max(), "right"))
             for b in range(0, end, BLOCK):
                 y = ys[b:min(b + BLOCK, end)]
-                good = (groups[x][:, None] != groups[y]) & _fits(ns[x][:, None], ats[x][:, None], ns[y], ats[y], similar, out_of)
+                good = (groups[x][:, None] != groups[y]) & (parts[x][:, None] != parts[y]) & _fits(ns[x][:, None], ats[x][:, None], ns[y], ats[y], similar, out_of)
                 i, j = np.nonzero(good)
                 if len(i):
                     one, two = ids[x[i]], ids[y[j]]
                     keep = (one < two) if xs is ys else (one != two)
                     yield np.minimum(one, two)[keep], np.maximum(one, two)[keep]
-    return _runs(entries, ["token", "group", "at", "id", "n"], pairs, "a long, b long").distinct()
+    return _runs(entries, ["token", "group", "at", "id", "n", "component"], pairs, "a long, b long").distinct()
+
+
+def _hubs(stars: DataFrame, scratch: Scratch) -> DataFrame:
+    """``id, hub, n, n_hub, minus, plus``: the least near set of each set that has one, and what the set lacks of it and has besides.
+
+    Where a hub has a hub itself its sets pass to that, their differences being put together, as long as they stay less than half of the set."""
+    first = stars.groupBy("b").agg(F.min("a").alias("a")).join(stars, ["a", "b"]).dropDuplicates(["b"])
+    hubs = first.select(F.col("b").alias("id"), F.col("a").alias("hub"), F.col("nb").alias("n"), F.col("na").alias("n_hub"), "minus", "plus")
+    for _ in range(3):
+        hubs = scratch.cut(hubs)
+        up = hubs.select(F.col("id").alias("hub"), F.col("hub").alias("up"), F.col("n_hub").alias("n_up"), F.col("minus").alias("up_minus"), F.col("plus").alias("up_plus"))
+        # What a set lacks of the hub's hub: what the hub lacks of it, unless the set has it besides; and what the set lacks of the hub, unless the hub has it besides.
+        minus = F.concat(F.array_except("up_minus", "plus"), F.array_except("minus", "up_plus"))
+        plus = F.concat(F.array_except("plus", "up_minus"), F.array_except("up_plus", "minus"))
+        joint = hubs.join(up, "hub", "left").withColumns({"m": minus, "p": plus})
+        passes = F.coalesce(2 * (F.size("m") + F.size("p")) <= F.col("n") + F.col("n_up"), F.lit(False))
+        hubs = joint.select("id", F.when(passes, F.col("up")).otherwise(F.col("hub")).alias("hub"), "n", F.when(passes, F.col("n_up")).otherwise(F.col("n_hub")).alias("n_hub"),
+                            F.when(passes, F.col("m")).otherwise(F.col("minus")).alias("minus"), F.when(passes, F.col("p")).otherwise(F.col("plus")).alias("plus"))
+    return scratch.cut(hubs)
+
+
+def _within(hubs: DataFrame, groups: DataFrame, similar: int, out_of: int) -> DataFrame:
+    """``a, b``: links between sets of one hub and different components.
+
+    They differ in d(a) + d(b) - 2 * common shingles, d being the size of their differences from the hub.  Sets that link without a common difference both link with the hub;
+    others are found in lists of differences, what a set has besides its hub first, by positions as in the lists of shingles."""
+    most = F.col("n") * (out_of - similar) / F.lit(similar)
+    sets = hubs.join(groups, "id", "left").select("id", "hub", "n", F.coalesce("component", "id").alias("component"), F.concat(F.array_sort("plus"), F.array_sort("minus")).alias("apart"))
+    each = sets.select("id", "hub", "n", "component", F.size("apart").alias("d"), F.posexplode("apart").alias("at", "item")).where(F.col("at") <= most)
+    listed = each.select(F.xxhash64("hub", "item").alias("token"), F.col("at").cast("long"), "id", "n", F.col("d").cast("long"), "component")
+    twice = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
+
+    def pairs(_: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray, ds: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Entries in order of position; two sets whose first common difference is at i and j can link if i + j does not exceed how far they may differ."""
+        reach = ns * (out_of - similar) // similar - ats
+        for a in range(0, len(ids), LARGE):
+            x = slice(a, a + LARGE)
+            end = int(np.searchsorted(ats, reach[x].max(), "right"))
+            for b in range(0, end, BLOCK):
+                y = slice(b, min(b + BLOCK, end))
+                nx, ny, dx, dy = ns[x][:, None], ns[y], ds[x][:, None], ds[y]
+                common = -(-(dx + dy - (nx + ny - 2 * _needed(nx, ny, similar, out_of))) // 2)
+                i, j = np.nonzero((parts[x][:, None] != parts[y]) & (ids[x][:, None] < ids[y]) & (np.minimum(dx - ats[x][:, None], dy - ats[y]) >= common))
+                if len(i):
+                    yield ids[x][i], ids[y][j]
+    found = _runs(listed.join(twice, "token"), ["token", "at", "id", "n", "d", "component"], pairs, "a long, b long").distinct()
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("id").alias(name), F.col("hub").alias(f"hub_{name}"), F.col("n").alias(f"n{name}"), F.col("apart").alias(f"apart_{name}"))
+    both = found.join(side("a"), "a").join(side("b"), "b").where("hub_a = hub_b")
+    differ = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
+    return both.where(_enough((F.col("na") + F.col("nb") - differ) / 2, F.col("na"), F.col("nb"), similar, out_of)).select("a", "b")
 
 
 def _enough(shared: Column, na: Column, nb: Column, similar: int, out_of: int) -> Column:
@@ -199,11 +253,14 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     when ``out_of * shared >= similar * united``; a component is named by its least doc_id.  Null, empty and white texts have no shingle and stand alone.
     Rows that share a doc_id are one document as to links.  A row without doc_id links with nothing: its component_id is null."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profiles = _profiles(docs, size, _counted(similar, out_of))
-    members = profiles.select("doc_id", "n", "d1", "d2")
+    scratch = Scratch(docs.sparkSession)
+    profiles = scratch.cut(_profiles(docs, size, _counted(similar, out_of)))
+    often = scratch.cut(profiles.select(F.explode("low").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= LEVELS[0]))
+    members = cut_lineage(profiles.select("doc_id", "n", "d1", "d2"))
+    scratch.empty(profiles)
     named = members.where("n > 0 and doc_id is not null")
     classes = cut_lineage(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
-    entries = _entries(docs, profiles, classes, size, similar, out_of, bits)
+    entries = _entries(docs, often, classes, size, similar, out_of, bits, scratch)
 
     # Sets of all that are listed beside another, from the texts, which only a sieve of their ids has to sort out.
     listed = entries.select("id").distinct().select(F.xxhash64("id").alias("key"))
@@ -213,36 +270,43 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
         batch = batch.filter(pa.array(held.value.holds(batch.column("key").to_numpy())))
         parts = [signed(h) for h in shingle_sets(batch.column("text"), size)]
         yield pa.record_batch([batch.column("doc_id"), lists(parts, pa.int64())], names=["id", "items"])
-    sets = cut_lineage(arrow_map(docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")), scan, "id long, items array<long>"))
+    sets = scratch.cut(arrow_map(docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")), scan, "id long, items array<long>"))
 
     def side(name: str) -> DataFrame:
         return sets.select(F.col("id").alias(name), F.col("items").alias(f"items_{name}"))
 
     # Each list's least set against the others.
-    stars = _stars(entries, similar, out_of).join(side("b"), "b").join(side("a"), "a")
-    stars = stars.select("a", "b", "items_a", "items_b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"),
-                         F.size(F.array_intersect("items_a", "items_b")).alias("shared"))
-    stars = cut_lineage(stars.where(_enough(F.col("shared"), F.col("na"), F.col("nb"), similar, out_of)).select(
-        "a", "b", F.array_except("items_a", "items_b").alias("minus"), F.array_except("items_b", "items_a").alias("plus")))
+    stars = _stars(entries, similar, out_of).join(side("b"), "b").join(side("a"), "a").select(
+        "a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"),
+        F.array_except("items_a", "items_b").alias("minus"), F.array_except("items_b", "items_a").alias("plus"))
+    enough = _enough(F.col("na") - F.size("minus"), F.col("na"), F.col("nb"), similar, out_of)
+    stars = scratch.cut(stars.where(enough | F.expr("2 * (size(minus) + size(plus)) <= na + nb")))
+    hubs = _hubs(stars, scratch)
+    linked = stars.where(enough).select("a", "b").union(
+        hubs.where(_enough(F.col("n_hub") - F.size("minus"), F.col("n_hub"), F.col("n"), similar, out_of)).select("hub", "id"))
     same_id = members.where("n > 0").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
     lowest = same_id.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    links = cut_lineage(stars.select("a", "b").union(same_id.join(lowest, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))).distinct())
-    groups = components(links)
+    links = scratch.cut(linked.union(same_id.join(lowest, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))).distinct())
+    groups = scratch.cut(components(links))
+
+    # Sets of one hub, by their differences.
+    links = scratch.cut(links.union(_within(hubs, groups, similar, out_of)).distinct())
+    groups = scratch.cut(components(links))
 
-    # Pairs from different components: from the answers of the set that one of them is linked with.
-    apart = entries.join(groups, "id", "left").select("token", F.coalesce("component", "id").alias("group"), "at", "id", "n")
+    # Sets of different hubs and components: from the answers of the hub of one of them.
+    apart = (entries.join(hubs.select("id", "hub"), "id", "left").join(groups, "id", "left")
+             .select("token", F.coalesce("hub", "id").alias("group"), "at", "id", "n", F.coalesce("component", "id").alias("component")))
     pairs = _across(apart, similar, out_of)
-    hubs = stars.groupBy("b").agg(F.min("a").alias("hub")).join(stars, "b").where("hub = a").select("b", "hub", "minus", "plus").dropDuplicates(["b"])
-    of_a = hubs.select(F.col("b").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("hub", "minus", "plus")))
-    of_b = hubs.select("b", *(F.col(c).alias(f"{c}_b") for c in ("hub", "minus", "plus")))
+    of_a = hubs.select(F.col("id").alias("a"), *(F.col(c).alias(f"{c}_a") for c in ("hub", "minus", "plus")))
+    of_b = hubs.select(F.col("id").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("hub", "minus", "plus")))
     none = F.array().cast("array<long>")
-    turn = F.col("hub_a").isNull() & F.col("hub_b").isNotNull()           # x is the one that is linked with another, if any
+    turn = F.col("hub_a").isNull() & F.col("hub_b").isNotNull()           # x is the one that has a hub, if any
     asked = pairs.join(of_a, "a", "left").join(of_b, "b", "left").select(
         F.when(turn, F.col("b")).otherwise(F.col("a")).alias("x"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("y"),
         F.when(turn, F.col("hub_b")).otherwise(F.coalesce("hub_a", "a")).alias("hub"),
         F.coalesce(F.when(turn, F.col("minus_b")).otherwise(F.col("minus_a")), none).alias("minus"),
         F.coalesce(F.when(turn, F.col("plus_b")).otherwise(F.col("plus_a")), none).alias("plus"))
-    asked = cut_lineage(asked)
+    asked = scratch.cut(asked)
     answers = asked.select("hub", "y").distinct().join(side("hub"), "hub").join(side("y"), "y").select(
         "hub", "y", F.size("items_hub").alias("n_hub"), F.size("items_y").alias("n_y"), F.size(F.array_intersect("items_hub", "items_y")).alias("shared_hub"))
     n_x = F.col("n_hub") - F.size("minus") + F.size("plus")
@@ -250,6 +314,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     shared = F.col("shared_hub") - F.size(F.array_intersect("minus", "items_y")) + F.size(F.array_intersect("plus", "items_y"))
     late = open_.join(side("y"), "y").where(_enough(shared, n_x, F.col("n_y"), similar, out_of)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     final = components(links.union(late))
+    scratch.empty()
 
     reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     return members.join(reps, ["n", "d1", "d2"], "left").select(
@@ -263,4 +328,4 @@ def first_of_each(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR,
     Rows that repeat a doc_id stay together."""
     found = jaccard_components(docs, size, similar, out_of)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

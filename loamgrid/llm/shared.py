@@ -5,10 +5,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.session import cut_lineage
+from loamgrid.session import cut_lineage, shared_path
 
 WORD = r"[^\x20\x09-\x0D]+"
 SIEVE_BITS = 28                      # 32 MB, whatever the input
@@ -57,6 +57,27 @@ def sieve_of(values: DataFrame, column: str, bits: int = SIEVE_BITS) -> Sieve:
     return Sieve(bits, words)
 
 
+class Scratch:
+    """Intermediate tables in the shared folder, which are emptied when no plan needs them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._paths = spark, {}
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """The rows, written once and read from there."""
+        path = shared_path(self._spark, "scratch")
+        df.write.parquet(path)
+        out = self._spark.read.schema(df.schema).parquet(path)
+        self._paths[id(out)] = (path, out)
+        return out
+
+    def empty(self, *tables: DataFrame) -> None:
+        """Gives the files of these tables (all without arguments) back; nothing may be computed from them afterwards."""
+        for key in [id(t) for t in tables] or list(self._paths):
+            path, _ = self._paths.pop(key)
+            self._spark.range(0).coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def components(links: DataFrame) -> DataFrame:
     """``id, component`` for every end of ``links (a, b)``: the least id that can be reached.
 
