@@ -71,7 +71,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all page urls, by rules and by propagation over hosts."""
-    return url_filters.judged(_table(spark, sf_dir, "pages"))
+    return url_filters.judged(_table(spark, sf_dir, "pages"), least=url_filters.LEAST)
 
 
 @_query

@@ -1,8 +1,9 @@
 """URL filters by rules and, where no rule speaks, by link-graph propagation.
 
-Hosts are nodes; an edge stands for the links from one host's pages to another, and for a subdomain and the host above it.  Trust starts from
+Hosts are nodes; an edge stands for the links from one host's pages to another, and for a subdomain and the host above it, level by level.  Trust starts from
 hosts whose pages the rules allow and flows along links (personalised PageRank); distrust starts from hosts whose pages the rules block and
-flows against them: who links to a blocked host is suspect.  A host whose distrust outweighs its trust by a threshold is blocked."""
+flows against them: who links to a blocked host is suspect.  A host whose distrust outweighs its trust by a threshold is blocked, if what reaches it
+from blocked pages is also enough of what would reach it from all pages."""
 from __future__ import annotations
 
 from typing import NamedTuple
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from loamgrid.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-DAMPING, ROUNDS, THRESHOLD = 0.85, 20, 0.5
+DAMPING, ROUNDS, THRESHOLD, LEAST = 0.85, 20, 0.5, 0.5
 HREF = r"""(?i)\b(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
@@ -48,18 +49,21 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """``src, dst, weight`` between different hosts from ``pages (host, html)``: links counted, and 1 each way between a host and the one above it."""
+    """``src, dst, weight`` between different hosts from ``pages (host, html)``: links counted, and 1 each way between a host and the one above it.
+
+    The hosts above are taken at every level, with pages or without, so that subdomains meet in a host that has none."""
     links = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("target"))
     links = links.select("src", F.translate(F.regexp_extract("target", r"//([^/?#]*)", 1), UPPER, LOWER).alias("dst"))
     links = links.where("src <> '' and dst <> '' and src <> dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
     hosts = pages.select("host").distinct().select("host").union(links.select("dst")).distinct()
-    above = hosts.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).where("dst <> ''")
+    levels = hosts.select(F.explode(F.expr("transform(sequence(2, greatest(2, size(split(host, '[.]')))), i -> substring_index(host, '.', -i))")).alias("host")).distinct()
+    above = levels.select(F.col("host").alias("src"), F.regexp_extract("host", r"^[^.]+\.(.+\..+)$", 1).alias("dst")).where("dst <> ''")
     family = above.union(above.select("dst", "src")).distinct().withColumn("weight", F.lit(1.0))
     return links.union(family).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host, trust, distrust``: personalised PageRank from ``seeds (host, trust, distrust)`` along the edges and against them.
+    """``host, trust, distrust, reach``: personalised PageRank from ``seeds (host, trust, distrust, reach)``, trust along the edges, the others against them.
 
     What a host without outgoing edges holds goes back to the seeds' side (it is not passed on).  Both walks take one join a round; every round is written to the shared
     folder, so a lost executor costs one round."""
@@ -71,18 +75,20 @@ def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rou
     for _ in range(rounds):
         flow = steps.join(score.withColumnRenamed("host", "src"), "src").groupBy(F.col("dst").alias("host")).agg(
             F.sum(F.when(F.col("way") == 0, F.col("trust") * F.col("part")).otherwise(0.0)).alias("trust"),
-            F.sum(F.when(F.col("way") == 1, F.col("distrust") * F.col("part")).otherwise(0.0)).alias("distrust"))
-        parts = flow.select("host", *[(F.col(c) * damping).alias(c) for c in ("trust", "distrust")]).union(
-            start.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust")]))
-        score = cut_lineage(parts.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+            *[F.sum(F.when(F.col("way") == 1, F.col(c) * F.col("part")).otherwise(0.0)).alias(c) for c in ("distrust", "reach")])
+        parts = flow.select("host", *[(F.col(c) * damping).alias(c) for c in ("trust", "distrust", "reach")]).union(
+            start.select("host", *[(F.col(c) * (1 - damping)).alias(c) for c in ("trust", "distrust", "reach")]))
+        score = cut_lineage(parts.groupBy("host").agg(*[F.sum(c).alias(c) for c in ("trust", "distrust", "reach")]))
     return score
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD,
+           least: float = 0.0) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row of ``pages (page_id, url, html, ...)``.
 
     A page's verdict is that of the longest rule that fits its url, else that of its host: block if the host's distrust exceeds its trust by more than
-    ``threshold`` times their sum.  Seeds weigh as the share of the host's pages that the rules allow or block, scaled to a sum of one on
+    ``threshold`` times their sum and is more than ``least`` of what the host would have if all pages of all hosts were blocked (a share from 0 to 1: a host's own
+    blocked pages count by their share, and so do those of hosts it links to).  Seeds weigh as the share of the host's pages that the rules allow or block, scaled to a sum of one on
     either side.  Hosts that neither side reaches, and pages without host, are allowed.  Null html has no link."""
     host, path = host_and_path(F.col("url"))
     named = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").select("page_id", host.alias("host"), path.alias("path"), "html")
@@ -91,9 +97,10 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, damping: float = D
     shares = ruled.where("host <> ''").groupBy("host").agg(F.avg((F.coalesce("ruled", F.lit("")) == "allow").cast("double")).alias("trust"),
                                                            F.avg((F.coalesce("ruled", F.lit("")) == "block").cast("double")).alias("distrust"))
     sums = shares.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
-    seeds = shares.where("trust > 0 or distrust > 0").select("host", (F.col("trust") / (sums["t"] or 1.0)).alias("trust"), (F.col("distrust") / (sums["d"] or 1.0)).alias("distrust"))
+    seeds = shares.select("host", (F.col("trust") / (sums["t"] or 1.0)).alias("trust"), (F.col("distrust") / (sums["d"] or 1.0)).alias("distrust"),
+                          F.lit(1.0 / (sums["d"] or 1.0)).alias("reach"))
     scores = propagated(host_edges(named.select("host", "html")), seeds, damping, rounds)
-    blocked = F.col("distrust") - F.col("trust") > threshold * (F.col("distrust") + F.col("trust"))
+    blocked = (F.col("distrust") - F.col("trust") > threshold * (F.col("distrust") + F.col("trust"))) & (F.col("distrust") > least * F.col("reach"))
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("ruled", F.when(blocked, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -320,3 +320,18 @@ def test_url_filters(spark):
 
 def test_url_filters_none(spark):
     assert url_filters.judged(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hosts_are_blocked_by_amount(spark):
+    """A host with few blocked pages stays open, one that links to blocked hosts only does not, and subdomains meet in hosts without pages."""
+    urls = [f"https://blog.example.com/{'de' if k < 2 else 'en'}/{k}" for k in range(16)] + [f"http://bad{k}.net/" for k in range(3)] + ["https://hub.info/x", "https://other.info/x"]
+    rows = [(k, u, "".join(f"<a href='http://bad{j}.net/'>" for j in range(3)) if "hub" in u else "") for k, u in enumerate(urls)]
+    got = {r.page_id: r for r in url_filters.judged(spark.createDataFrame(rows, "page_id long, url string, html string"), least=url_filters.LEAST).collect()}
+    assert [got[k].verdict for k in range(len(urls))] == ["block"] * 2 + ["allow"] * 14 + ["block"] * 3 + ["block", "allow"]
+
+
+def test_family_edges_of_every_level(spark):
+    pages = spark.createDataFrame([("a.b.c.d.com", ""), ("x.c.d.com", ""), ("com", "")], "host string, html string")
+    got = {(r.src, r.dst) for r in url_filters.host_edges(pages).collect()}
+    up = {("a.b.c.d.com", "b.c.d.com"), ("b.c.d.com", "c.d.com"), ("x.c.d.com", "c.d.com"), ("c.d.com", "d.com")}
+    assert got == up | {(b, a) for a, b in up}
