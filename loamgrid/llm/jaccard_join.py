@@ -3,13 +3,16 @@
 Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold.  Sets are put in one order, rare shingles first, and a
 set is listed under the first shingles only that two similar sets cannot both lack.  Relations between sets then save work:
 
-* equal sets are one class, listed once;
+* equal sets are one class, listed once and known by 64 bits of its digest;
 * lists are ordered by position, and a block of entries too deep for the sizes at hand is skipped whole;
 * a list first compares its least set with the others.  Sets found linked form components, and later only pairs from different components are looked at;
 * a set that differs from such a set (its hub) in few shingles is known by these.  Two sets of one hub differ in just what one of their two differences has and
   the other lacks, so they are joined by their differences, however many sets a hub has;
 * the answers of a set of another hub are not computed anew either: they follow from its hub's by the differences.
 
+Where links are counted, pairs within a component are looked at too.  Sets of one hub that link whatever their differences have in common are
+counted by size and number of differences, not listed.
+
 Lists get no shingle that occurs once.  How often one occurs is counted over all documents for a fixed share of all hashes, and kept by levels in sieves of
 fixed size; both decide on the order only, so the result is exact at any size."""
 from __future__ import annotations
@@ -75,7 +78,7 @@ def _entries(docs: DataFrame, often: DataFrame, classes: DataFrame, size: int, s
     held, counted = docs.sparkSession.sparkContext.broadcast(sieves), _counted(similar, out_of)
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids, ns, ats, tokens = [], [], [], []
+        rows, ids, ns, ats, tokens = [], [], [], [], []
         for i, hashes in enumerate(shingle_sets(batch.column("text"), size)):
             n = len(hashes)
             if not n:
@@ -90,11 +93,12 @@ def _entries(docs: DataFrame, often: DataFrame, classes: DataFrame, size: int, s
             ranked = shared[np.argsort(rank, kind="stable")]
             rare = int((rank <= MIDDLE).sum())
             listed = np.concatenate((ranked[:rare], hashes[low:low + length], ranked[rare:]))[:length - alone]
-            ids.append(i), ns.append(n), tokens.append(signed(listed)), ats.append(np.arange(alone, alone + len(listed)))
-        yield pa.record_batch([batch.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(ns, pa.int64()),
-                               lists(ats, pa.int64()), lists(tokens, pa.int64())], names=["id", "n", "at", "token"])
+            rows.append(i), ids.append(_digest(hashes)[0]), ns.append(n), tokens.append(signed(listed)), ats.append(np.arange(alone, alone + len(listed)))
+        yield pa.record_batch([batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()),
+                               lists(ats, pa.int64()), lists(tokens, pa.int64())], names=["doc_id", "id", "n", "at", "token"])
 
-    listed = arrow_map(docs, scan, "id long, n long, at array<long>, token array<long>").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
+    of_class = classes.select(F.col("rep").alias("doc_id"), F.col("d1").alias("id"))
+    listed = arrow_map(docs, scan, "doc_id long, id long, n long, at array<long>, token array<long>").join(of_class, ["doc_id", "id"], "left_semi")
     each = listed.select("id", "n", F.explode(F.arrays_zip("token", "at")).alias("e")).select("e.token", "id", "n", "e.at")
     each = scratch.cut(each)
     twice = each.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
@@ -213,7 +217,7 @@ def _within(hubs: DataFrame, groups: DataFrame, similar: int, out_of: int) -> Da
     """``a, b``: links between sets of one hub and different components.
 
     They differ in d(a) + d(b) - 2 * common shingles, d being the size of their differences from the hub.  Sets that link without a common difference both link with the hub;
-    others are found in lists of differences, what a set has besides its hub first, by positions as in the lists of shingles."""
+    others are found in lists of differences, what a set has besides its hub first, by positions as in the lists of shingles.  Only these are returned."""
     most = F.col("n") * (out_of - similar) / F.lit(similar)
     sets = hubs.join(groups, "id", "left").select("id", "hub", "n", F.coalesce("component", "id").alias("component"), F.concat(F.array_sort("plus"), F.array_sort("minus")).alias("apart"))
     each = sets.select("id", "hub", "n", "component", F.size("apart").alias("d"), F.posexplode("apart").alias("at", "item")).where(F.col("at") <= most)
@@ -230,7 +234,7 @@ def _within(hubs: DataFrame, groups: DataFrame, similar: int, out_of: int) -> Da
                 y = slice(b, min(b + BLOCK, end))
                 nx, ny, dx, dy = ns[x][:, None], ns[y], ds[x][:, None], ds[y]
                 common = -(-(dx + dy - (nx + ny - 2 * _needed(nx, ny, similar, out_of))) // 2)
-                i, j = np.nonzero((parts[x][:, None] != parts[y]) & (ids[x][:, None] < ids[y]) & (np.minimum(dx - ats[x][:, None], dy - ats[y]) >= common))
+                i, j = np.nonzero((parts[x][:, None] != parts[y]) & (ids[x][:, None] < ids[y]) & (common > 0) & (np.minimum(dx - ats[x][:, None], dy - ats[y]) >= common))
                 if len(i):
                     yield ids[x][i], ids[y][j]
     found = _runs(listed.join(twice, "token"), ["token", "at", "id", "n", "d", "component"], pairs, "a long, b long").distinct()
@@ -246,12 +250,39 @@ def _enough(shared: Column, na: Column, nb: Column, similar: int, out_of: int) -
     return (similar + out_of) * shared >= similar * (na + nb)
 
 
+def _counts(hubs: DataFrame, pairs: DataFrame, classes: DataFrame, similar: int, out_of: int) -> DataFrame:
+    """``id, n_others``: rows of the classes that each class links with, ``pairs (a, b)`` being the links that the sizes of sets of one hub do not tell."""
+    rows = classes.select(F.col("d1").alias("id"), "n_rows")
+    roots = hubs.select("hub", F.col("n_hub").alias("n")).distinct().join(hubs.select(F.col("id").alias("hub")), "hub", "left_anti")
+    sets = hubs.select("id", "hub", "n", (F.size("minus") + F.size("plus")).alias("d")).union(roots.select(F.col("hub").alias("id"), "hub", "n", F.lit(0).alias("d"))).join(rows, "id")
+    cells = sets.groupBy("hub", "n", "d").agg(F.sum("n_rows").alias("n_rows"))
+    others = cells.select("hub", F.col("n").alias("n_2"), F.col("d").alias("d_2"), "n_rows")
+    near = _enough((F.col("n") + F.col("n_2") - F.col("d") - F.col("d_2")) / 2, F.col("n"), F.col("n_2"), similar, out_of)
+    reached = cells.drop("n_rows").join(others, "hub").where(near).groupBy("hub", "n", "d").agg(F.sum("n_rows").alias("reached"))
+    itself = F.when(_enough(F.col("n") - F.col("d"), F.col("n"), F.col("n"), similar, out_of), F.col("n_rows")).otherwise(0)
+    told = sets.join(reached, ["hub", "n", "d"]).select("id", (F.col("reached") - itself).alias("n_others"))
+    ways = pairs.union(pairs.select("b", "a"))
+    found = ways.join(rows.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("n_rows").alias("n_others"))
+    return told.union(found).groupBy("id").agg(F.sum("n_others").alias("n_others"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = SIEVE_BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text, ...)``.
 
     Words are runs of bytes other than white space, A-Z lower-cased; shingles are ``size`` words; fewer words are one shingle.  Documents link
     when ``out_of * shared >= similar * united``; a component is named by its least doc_id.  Null, empty and white texts have no shingle and stand alone.
     Rows that share a doc_id are one document as to links.  A row without doc_id links with nothing: its component_id is null."""
+    return _joined(docs, size, similar, out_of, bits, False)
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = SIEVE_BITS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links``: as ``jaccard_components``, with the number of other rows with a doc_id that each row links with.
+
+    All links count, those within a component and those with equal sets too; rows that share a doc_id count each, by their own texts."""
+    return _joined(docs, size, similar, out_of, bits, True)
+
+
+def _joined(docs: DataFrame, size: int, similar: int, out_of: int, bits: int, counted: bool) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scratch = Scratch(docs.sparkSession)
     profiles = scratch.cut(_profiles(docs, size, _counted(similar, out_of)))
@@ -259,17 +290,19 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     members = cut_lineage(profiles.select("doc_id", "n", "d1", "d2"))
     scratch.empty(profiles)
     named = members.where("n > 0 and doc_id is not null")
-    classes = cut_lineage(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")))
+    classes = cut_lineage(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_rows")))
     entries = _entries(docs, often, classes, size, similar, out_of, bits, scratch)
 
-    # Sets of all that are listed beside another, from the texts, which only a sieve of their ids has to sort out.
-    listed = entries.select("id").distinct().select(F.xxhash64("id").alias("key"))
-    held = docs.sparkSession.sparkContext.broadcast(sieve_of(listed, "key", min(bits, 27)))
+    # Sets of all that are listed beside another, from the texts, which only sieves of their rows and classes have to sort out.
+    listed = entries.select("id").distinct().join(classes.select(F.col("d1").alias("id"), F.xxhash64("rep").alias("key")), "id")
+    held = docs.sparkSession.sparkContext.broadcast([sieve_of(listed, c, min(bits, 27)) for c in ("key", "id")])
 
     def scan(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        batch = batch.filter(pa.array(held.value.holds(batch.column("key").to_numpy())))
+        batch = batch.filter(pa.array(held.value[0].holds(batch.column("key").to_numpy())))
         parts = [signed(h) for h in shingle_sets(batch.column("text"), size)]
-        yield pa.record_batch([batch.column("doc_id"), lists(parts, pa.int64())], names=["id", "items"])
+        ids = np.array([_digest(h.view(np.uint64))[0] for h in parts], np.int64)
+        keep = np.flatnonzero(held.value[1].holds(ids))
+        yield pa.record_batch([pa.array(ids[keep]), lists([parts[k] for k in keep], pa.int64())], names=["id", "items"])
     sets = scratch.cut(arrow_map(docs.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")), scan, "id long, items array<long>"))
 
     def side(name: str) -> DataFrame:
@@ -284,14 +317,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     hubs = _hubs(stars, scratch)
     linked = stars.where(enough).select("a", "b").union(
         hubs.where(_enough(F.col("n_hub") - F.size("minus"), F.col("n_hub"), F.col("n"), similar, out_of)).select("hub", "id"))
-    same_id = members.where("n > 0").join(classes, ["n", "d1", "d2"]).select("doc_id", "rep").distinct()
-    lowest = same_id.groupBy("doc_id").agg(F.min("rep").alias("a"))
-    links = scratch.cut(linked.union(same_id.join(lowest, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))).distinct())
-    groups = scratch.cut(components(links))
+    same_id = named.select("doc_id", F.col("d1").alias("b")).distinct()
+    lowest = same_id.groupBy("doc_id").agg(F.min("b").alias("a"))
+    links = scratch.cut(linked.union(same_id.join(lowest, "doc_id").where("b <> a").select("a", "b")).distinct())
+    groups = scratch.cut(links.select(F.col("a").alias("id"), F.col("b").alias("component")).where("false") if counted else components(links))
 
-    # Sets of one hub, by their differences.
-    links = scratch.cut(links.union(_within(hubs, groups, similar, out_of)).distinct())
-    groups = scratch.cut(components(links))
+    # Sets of one hub, by their differences.  Where links are counted each set is taken as a component of its own.
+    within = scratch.cut(_within(hubs, groups, similar, out_of).distinct())
+    links = scratch.cut(links.union(within).distinct())
+    groups = groups if counted else scratch.cut(components(links))
 
     # Sets of different hubs and components: from the answers of the hub of one of them.
     apart = (entries.join(hubs.select("id", "hub"), "id", "left").join(groups, "id", "left")
@@ -313,13 +347,21 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     open_ = asked.join(answers, ["hub", "y"]).where(_enough(F.col("shared_hub") + F.size("plus"), n_x, F.col("n_y"), similar, out_of))
     shared = F.col("shared_hub") - F.size(F.array_intersect("minus", "items_y")) + F.size(F.array_intersect("plus", "items_y"))
     late = open_.join(side("y"), "y").where(_enough(shared, n_x, F.col("n_y"), similar, out_of)).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    late = scratch.cut(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     final = components(links.union(late))
+    others = cut_lineage(_counts(hubs, within.union(late), classes, similar, out_of)) if counted else None
     scratch.empty()
 
-    reps = classes.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
+    ends = classes.select(F.col("d1").alias("id"), "rep").join(final, "id")
+    names = ends.join(ends.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("id").alias("d1"), "component_id")
+    reps = classes.join(names, "d1", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
+    extra = []
+    if counted:
+        reps = reps.join(others.withColumnRenamed("id", "d1"), "d1", "left")
+        extra = [F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("n_rows") - 1 + F.coalesce("n_others", F.lit(0))).otherwise(0).cast("long").alias("n_links")]
     return members.join(reps, ["n", "d1", "d2"], "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"), *extra)
 
 
 def first_of_each(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF) -> DataFrame:

@@ -30,8 +30,8 @@ def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of three-word shingles are similar to 90 %."""
-    return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"), size=3, similar=90, out_of=100)
+    """Components of documents whose sets of three-word shingles are similar to 90 %, and how many links each has."""
+    return jaccard_join.jaccard_links(_table(spark, sf_dir, "documents"), size=3, similar=90, out_of=100)
 
 
 @_query

@@ -117,6 +117,35 @@ def test_jaccard_many_near_copies(spark):
         assert in_order(jaccard_join.jaccard_components(docs, size, similar, out_of).collect()) == in_order(linked(rows, size, similar, out_of))
 
 
+def with_links(rows, size, similar, out_of):
+    """Links of each row by comparing all pairs of rows."""
+    sets = []
+    for _, t, *_ in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k:k + size]) for k in range(len(w) - size + 1)} if len(w) >= size else {tuple(w)} if w else set())
+    n = [sum(a != b and rows[a][0] is not None and rows[b][0] is not None and bool(sets[a]) and bool(sets[b]) and out_of * len(sets[a] & sets[b]) >= similar * len(sets[a] | sets[b])
+             for b in range(len(rows))) for a in range(len(rows))]
+    return [(*row, k) for row, k in zip(linked(rows, size, similar, out_of), n)]
+
+
+@pytest.mark.parametrize("size, similar, out_of", [(1, 8, 10), (2, 7, 10), (3, 90, 100)])
+def test_jaccard_links(spark, edge_rows, size, similar, out_of):
+    """All links within groups of near copies count, of chains, of one hub and across hubs, and of rows that share a doc_id with different texts."""
+    rng = random.Random(7)
+    rows = [(i, t) for i, t, *_ in edge_rows]
+    for _ in range(10):
+        base = [f"w{rng.randrange(60)}" for _ in range(rng.randint(8, 60))]
+        for _ in range(rng.randint(1, 25)):
+            base = list(base)
+            for _ in range(rng.randint(0, 2)):
+                base[rng.randrange(len(base))] = f"w{rng.randrange(60)}"
+            rows.append((1000 + len(rows) // 2 * 2 if rng.random() < 0.1 else 1000 + len(rows), " ".join(base)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = with_links(rows, size, similar, out_of)
+    assert max(n for *_, n in want) > 2
+    assert in_order(jaccard_join.jaccard_links(docs, size, similar, out_of, bits=20).collect()) == in_order(want)
+
+
 def test_first_of_each(edge_docs, edge_rows):
     want = {(i, n, c) for i, n, c in linked(edge_rows, 5, 8, 10) if i is None or c == i}
     got = jaccard_join.first_of_each(edge_docs)
