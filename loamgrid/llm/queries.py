@@ -6,8 +6,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamgrid.llm import (fingerprints, jaccard_join, mixing, neighbours, packing, quality_net, repeats, token_counts, toxicity,
-                          url_filters)
+from loamgrid.llm import (filter_audit, fingerprints, jaccard_join, mixing, neighbours, packing, quality_net, repeats, target_sampling,
+                          token_counts, token_files, toxicity, url_filters)
+from loamgrid.session import shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +85,29 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words removed because a window of 20 words over them also starts earlier."""
     return repeats.without_repeats(_table(spark, sf_dir, "documents"), length=20)
+
+
+@_query
+def op11_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their score towards the benchmark's words; a tenth of the longer ones is drawn and ranked."""
+    return target_sampling.resampled(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op11_target_sampling"] = target_sampling.oracle_sql()
+
+
+@_query
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to Parquet files in their order and read back."""
+    path = shared_path(spark, "tokens")
+    token_files.write_tokens(_table(spark, sf_dir, "documents"), path)
+    return token_files.checksums(token_files.read_tokens(spark, path))
+
+
+@_query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove of all documents, by source, for every order and step."""
+    return filter_audit.interaction_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op13_filter_audit"] = filter_audit.ORACLE_SQL
