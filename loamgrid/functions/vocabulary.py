@@ -253,6 +253,7 @@ BOILERPLATE_IDS = (
 )
 BOILERPLATE_ROLES = ("navigation", "banner", "contentinfo", "complementary")
 SOCIAL_LINK_PATTERN = r"(?i)facebook|twitter|youtube|linkedin|instagram|whatsapp"
+SOCIAL_HOLDERS = ("div", "ul", "li")
 # Where the content of a page is looked for, in this order (tag, role, id or class).
 CONTENT_CONTAINERS = ("main", "article", "role=main", "#content", "#main-content", "#page-content", ".content",
                       ".main-content", ".entry-content", ".post-content", ".page-content", ".article-content",

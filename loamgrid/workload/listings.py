@@ -28,7 +28,8 @@ def _(t):
     return readers.read_text_corpus(t.spark, root).groupBy("department").agg(F.sum(F.length("text")).alias("chars"))
 
 
-@query("a3_admit_pages")
+@query("a3_admit_pages", with_tables("page_tokens page_blocks page_content", """, r AS (SELECT CASE WHEN length(html) < 200 THEN 'insufficient_html' WHEN length(content) < 50 THEN 'insufficient_text' END AS reason FROM page_content)
+SELECT CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS status, reason, count(*) AS n FROM r GROUP BY ALL"""))
 def _(t):
     return readers.admit_pages(extract_pages(t.pages)).groupBy("status", "reason").agg(F.count("*").alias("n"))
 

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import BLOCK_TAGS
+from ..operators.markup import ENDS_PARAGRAPH
 from ..session import shared_path
 from ..sources.readers import read_table
 
@@ -101,6 +103,10 @@ def text_time(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.date_format(n, "yyyy-MM-dd HH:mm:ss") for n in names})
 
 
+def literal(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
 CTE = {
     "entries": r"""entries AS (SELECT CAST(d.doc_id AS VARCHAR) AS id, split_part(text, chr(10), 1) AS title, text AS content, lang AS category,
   'https://kb.example.org/' || lang || '/' || CAST(d.doc_id // 5 AS VARCHAR) AS source_url,
@@ -131,6 +137,27 @@ CTE = {
 }
 
 
+# Pages as tokens, and the blocks of their content: an element ends where it is closed, where its container is, or (a paragraph) where a block begins.  Said for the markup of the given
+# pages, whose content is in ``main`` or ``article``.
+_PLAIN = r"trim(regexp_replace(replace(replace(replace(regexp_replace({0}, '&amp;?', '&', 'g'), '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '\s+', ' ', 'g'))"
+CTE["page_tokens"] = r"""marks AS (SELECT page_id, regexp_extract_all(html, '(?s)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]+>|[^<]+') AS m FROM pages),
+  page_tokens AS (SELECT page_id, pos, lower(regexp_extract(s, '^</?([a-zA-Z][a-zA-Z0-9]*)', 1)) AS tag, s LIKE '</%' AS closes, CASE WHEN s NOT LIKE '<%' THEN s END AS text
+  FROM (SELECT page_id, unnest(m) AS s, generate_subscripts(m, 1) AS pos FROM marks))"""
+CTE["page_blocks"] = rf"""opened AS (SELECT page_id, min_by(pos, (CASE tag WHEN 'main' THEN 0 ELSE 1 END, pos)) AS c_at, min_by(tag, (CASE tag WHEN 'main' THEN 0 ELSE 1 END, pos)) AS c_tag
+  FROM page_tokens WHERE tag IN ('main', 'article') AND NOT closes GROUP BY page_id),
+  container AS (SELECT o.page_id, c_at, coalesce(min(pos) FILTER (WHERE closes AND tag = c_tag AND pos > c_at), max(pos) + 1) AS c_end FROM opened o JOIN page_tokens t ON t.page_id = o.page_id GROUP BY o.page_id, c_at),
+  starts AS (SELECT t.page_id, pos, tag, c_end FROM page_tokens t JOIN container c ON t.page_id = c.page_id AND pos > c_at AND pos < c_end WHERE NOT closes AND tag IN ({", ".join(literal(x) for x in BLOCK_TAGS)})),
+  ends AS (SELECT s.page_id, s.pos, s.tag, least(s.c_end, coalesce(min(t.pos), s.c_end)) AS end_at FROM starts s LEFT JOIN page_tokens t ON t.page_id = s.page_id AND t.pos > s.pos
+    AND ((t.closes AND t.tag = s.tag) OR (s.tag = 'p' AND NOT t.closes AND t.tag IN ({", ".join(literal(x) for x in sorted(ENDS_PARAGRAPH))}))) GROUP BY s.page_id, s.pos, s.tag, s.c_end),
+  page_blocks AS (SELECT e.page_id, e.pos, e.tag, {_PLAIN.format("coalesce(string_agg(t.text, '' ORDER BY t.pos), '')")} AS text
+  FROM ends e LEFT JOIN page_tokens t ON t.page_id = e.page_id AND t.pos > e.pos AND t.pos < e.end_at GROUP BY e.page_id, e.pos, e.tag)"""
+CTE["page_content"] = r"""shown AS (SELECT page_id, pos, tag, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS block_no
+  FROM (SELECT * FROM page_blocks WHERE length(text) >= 10 QUALIFY row_number() OVER (PARTITION BY page_id, text ORDER BY pos) = 1)),
+  page_content AS (SELECT p.page_id, url, html, regexp_replace(regexp_replace(coalesce(string_agg(CASE WHEN tag IN ('h1', 'h2', 'h3') THEN chr(10) || '## ' || text || chr(10)
+    WHEN tag = 'h4' THEN chr(10) || '### ' || text || chr(10) WHEN tag = 'li' THEN '• ' || text WHEN tag IN ('td', 'th') THEN '| ' || text ELSE text END, chr(10) ORDER BY pos), ''), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'),
+    '^\s+|\s+$', '', 'g') AS content FROM pages p LEFT JOIN shown s ON s.page_id = p.page_id GROUP BY p.page_id, url, html)"""
+
+
 def with_tables(names: str, sql: str) -> str:
     return "WITH " + ", ".join(CTE[n] for n in names.split()) + " " + sql
 
@@ -145,7 +172,3 @@ def words_sql(column: str) -> str:
 
 def time_sql(column: str) -> str:
     return f"strftime({column}, '%Y-%m-%d %H:%M:%S')"
-
-
-def literal(value: str) -> str:
-    return "'" + value.replace("'", "''") + "'"

@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
-from ..functions.vocabulary import (CHUNK_DEFAULT, CHUNK_RULES, NAMESPACE_RULES, PAGE_DEFAULT, PAGE_RULES,
-                                    PROFILE_DEPARTMENTS, PROFILE_PATTERN, STOP_WORDS, TRACKING_PARAMETERS)
+from ..functions.vocabulary import (CHUNK_DEFAULT, CHUNK_RULES, HEADING_TAGS, NAMESPACE_RULES, PAGE_DEFAULT, PAGE_RULES, PROFILE_DEPARTMENTS, PROFILE_FIELDS,
+                                    PROFILE_HEADING_PATTERN, PROFILE_LINES, PROFILE_NO_NAME, PROFILE_PATTERN, PROFILE_TITLE_NOISE, STOP_WORDS, TRACKING_PARAMETERS)
 from ..operators import chunking as ch
 from ..operators import dedupe as dd
 from ..operators import html as hm
@@ -136,7 +136,7 @@ def _(t):
     return dd.plan_documents(arriving, registry, "skip").drop("document_hash")
 
 
-@query("f16_page_blocks")
+@query("f16_page_blocks", with_tables("page_tokens page_blocks page_content", "SELECT page_id, CAST(block_no AS INTEGER) AS block_no, tag, md5(text) AS text_md5 FROM shown"))
 def _(t):
     return hm.extract_blocks(t.pages).select("page_id", "block_no", "tag", F.md5("text").alias("text_md5"))
 
@@ -163,7 +163,19 @@ def _(t):
     return t.pages.select("page_id", urls.normalise(F.col("url")).alias("link"))
 
 
-@query("f18_profiles")
+def _field_sql(labels, pattern, group):
+    return rf"coalesce(list_filter(list_transform(list_filter(lines, lambda x: regexp_matches(x, {literal(labels)})), lambda x: trim(regexp_extract(x, {literal(pattern)}, {group}))), lambda v: v <> '')[1], '')"
+
+
+@query("f18_profiles", with_tables("page_tokens page_blocks", rf""", headed AS (SELECT *, count(*) FILTER (WHERE tag IN ({", ".join(literal(x) for x in HEADING_TAGS)})) OVER (PARTITION BY page_id ORDER BY pos) AS head_no FROM page_blocks),
+parts AS (SELECT page_id, head_no, min_by(text, pos) AS head, string_agg(text, chr(10) ORDER BY pos) FILTER (WHERE tag NOT IN ({", ".join(literal(x) for x in HEADING_TAGS)})) AS body FROM headed WHERE head_no > 0 GROUP BY 1, 2),
+secs AS (SELECT page_id, string_agg('## ' || head || chr(10) || body || chr(10), chr(10) ORDER BY head_no) AS secs FROM parts WHERE regexp_matches(head, {literal(PROFILE_HEADING_PATTERN)}) AND body <> '' GROUP BY 1),
+said AS (SELECT page_id, list(text ORDER BY pos) FILTER (WHERE tag = 'p') AS lines FROM page_blocks GROUP BY 1),
+named AS (SELECT page_id, url, trim(regexp_replace(split_part(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;?', '&', 'g'), '\s+', ' ', 'g')), '|', 1), {literal(PROFILE_TITLE_NOISE)}, '', 'g')) AS n FROM pages),
+facts AS (SELECT d.page_id, url, CASE WHEN n <> '' THEN n ELSE {literal(PROFILE_NO_NAME)} END AS name, {", ".join(f"{_field_sql(*PROFILE_FIELDS[f])} AS {f}" for f in PROFILE_FIELDS)}
+FROM named d LEFT JOIN said USING (page_id))
+SELECT page_id, name, email, phone, designation, department, md5(regexp_replace(concat_ws(chr(10), '# Teacher Profile: ' || name, {", ".join(f"CASE WHEN {c} <> '' THEN '- **{label}**: ' || {c} END" for label, c in PROFILE_LINES)},
+'- **Official Profile**: ' || url, secs), '^\s+|\s+$', '', 'g')) AS content_md5 FROM facts LEFT JOIN secs USING (page_id)"""))
 def _(t):
     return hm.extract_profile(t.pages).select("page_id", "name", "email", "phone", "designation", "department", F.md5("content").alias("content_md5"))
 
