@@ -85,12 +85,11 @@ def newest(docs: DataFrame, n: int = 5, score: float = 0.5, by: str = "updated_a
             .select(F.col(key), F.lit(score).alias("score"), F.col(by)))
 
 
-def keyword_or_recent(queries: DataFrame, docs: DataFrame, terms: DataFrame, k: int = 15, recent: int = 5,
-                      key: str = "id") -> DataFrame:
-    """Keyword hits; a question without any gets the ``recent`` newest rows at score 0.5.
+def keyword_or_recent(queries: DataFrame, docs: DataFrame, hits: DataFrame, recent: int = 5, key: str = "id") -> DataFrame:
+    """Keyword ``hits`` of the questions; a question without any gets the ``recent`` newest rows at score 0.5.
 
     The newest rows (a fixed handful) ride along as one array per unmatched question."""
-    hits = keyword_topk(queries, terms, k, key).select("query_id", key, "keyword_score", F.lit(0.0).alias("score"), "rank")
+    hits = hits.select("query_id", key, "keyword_score", F.lit(0.0).alias("score"), "rank")
     latest = newest(docs, recent, key=key)
     packed = latest.agg(F.sort_array(F.collect_list(F.struct(F.col("updated_at"), F.col(key))), asc=False)).scalar()
     unmatched = queries.select("query_id").join(hits.select("query_id").distinct(), "query_id", "left_anti")

@@ -14,6 +14,7 @@ from ..functions.vocabulary import (DEFAULT_NAMESPACE, RETRY_SYNONYMS, ROUTING_R
                                     STAGE_TOPIC_SUFFIX, SYNONYM_TRIGGER_PATTERN, SYNONYMS, Rule)
 from ..session import cut_lineage, fits_broadcast
 from .dedupe import dedupe_ranked
+from .keyword_index import KeywordIndex, keyword_hits
 from .postings import keyword_topk
 from .rules import all_matches, matches
 
@@ -231,11 +232,13 @@ def confidence(queries: DataFrame, ranked: DataFrame, high: float = HIGH_SCORE,
 
 # ---- whole retrieval ------------------------------------------------------------------------------------------
 
-def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: DataFrame,
+def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: KeywordIndex | DataFrame,
            paraphrases: DataFrame | None = None, k_vector: int = TOP_K_VECTOR, k_keyword: int = TOP_K_KEYWORD,
            rules: Sequence[Rule] = ROUTING_RULES, all_namespaces: bool = False, dims: int = 256,
            dedupe_prefix: int | None = None) -> DataFrame:
-    """Fused, deduplicated candidates with chunk columns: ``query_id, id, score, keyword_score, rrf_score, rank``."""
+    """Fused, deduplicated candidates with chunk columns: ``query_id, id, score, keyword_score, rrf_score, rank``.
+
+    ``terms`` is the stored index of the chunks or, for a few chunks, their term uses."""
     asked = variants(queries.where(F.trim("text") != ""), paraphrases)
     embedded = embed_text(asked, "text", dims)
     if all_namespaces:
@@ -245,12 +248,12 @@ def hybrid(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: Dat
     else:
         routed = route(embedded, rules)
     hits = vector_topk(routed, vectors, k_vector)
-    fused = rrf(hits, keyword_topk(queries, terms, k_keyword))
+    fused = rrf(hits, keyword_hits(terms, queries, k_keyword) if isinstance(terms, KeywordIndex) else keyword_topk(queries, terms, k_keyword))
     shown = fused.join(chunks.select("id", "title", "content", "source_url", "page_type", "category", "updated_at"), "id")
     return with_rank(dedupe_ranked(shown, prefix=dedupe_prefix))
 
 
-def retrieve_staged(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: DataFrame,
+def retrieve_staged(queries: DataFrame, chunks: DataFrame, vectors: DataFrame, terms: KeywordIndex | DataFrame,
                     paraphrases: DataFrame | None = None, rules: Sequence[Rule] = ROUTING_RULES,
                     topic: str = STAGE_TOPIC_PATTERN, dims: int = 256, dedupe_prefix: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Up to four attempts, each only for questions not settled before; returns (rows, outcome).

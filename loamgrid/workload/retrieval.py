@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 
 from ..functions import messages as ms
 from ..functions import text as tx
+from ..functions.english import STOP_WORDS, stems_sql
 from ..functions.vocabulary import (DEFAULT_NAMESPACE, RETRY_SYNONYMS, ROUTING_RULES, SYNONYM_TRIGGER_PATTERN, SYNONYMS, TYPE_BOOSTS)
 from ..operators import context as cx
 from ..operators import dedupe as dd
 from ..operators import postings as ps
 from ..operators import rerank as rr
 from ..operators import retrieval as rt
+from ..operators.keyword_index import keyword_hits, search_index
 from ..plans.answer import answer_context
 from ..session import cut_lineage
 from .registry import query
@@ -69,7 +71,22 @@ kw AS (SELECT query_id, id, s / (s + 1.0) AS keyword_score, row_number() OVER (P
 
 @query("e3_keyword_topk", with_tables("entries", ", " + KEYWORD + " SELECT query_id, id, rank, round(keyword_score, 9) AS keyword_score FROM kw"))
 def _(t):
-    return ps.keyword_topk(t.questions, ps.term_uses(t.entries)).withColumn("keyword_score", F.round("keyword_score", 9))
+    return keyword_hits(t.keyword_index("entries"), t.questions).withColumn("keyword_score", F.round("keyword_score", 9))
+
+
+STEMMED = f"""uses AS (SELECT id, 1.0 AS w, unnest({words_sql('title')}) AS term FROM entries WHERE content_hash IS NOT NULL UNION ALL SELECT id, 0.4, unnest({words_sql('category')}) FROM entries
+UNION ALL SELECT id, 0.4, unnest({words_sql('page_type')}) FROM entries UNION ALL SELECT id, 0.2, unnest({words_sql('content')}) FROM entries),
+asked AS (SELECT item_id AS query_id, unnest({words_sql('text')}) AS term FROM benchmark), vocabulary AS (SELECT term FROM uses UNION SELECT term FROM asked),
+{stems_sql('vocabulary', 'term')}, kept AS (SELECT word AS term, stem FROM stems WHERE word NOT IN ({', '.join(literal(w) for w in STOP_WORDS)})),
+su AS (SELECT id, w, stem FROM uses JOIN kept USING (term)), sq AS (SELECT DISTINCT query_id, stem FROM asked JOIN kept USING (term)),
+sums AS (SELECT query_id, id, CAST(sum(w) AS DOUBLE) AS s FROM su JOIN sq USING (stem) GROUP BY 1, 2)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, id) AS rank, round(s / (s + 1.0), 9) AS keyword_score FROM sums QUALIFY rank <= 40"""
+
+
+@query("e3_english_topk", with_tables("entries", ", " + STEMMED))
+def _(t):
+    """By stems of English words, without stop words."""
+    return keyword_hits(t.keyword_index("english"), t.questions).withColumn("keyword_score", F.round("keyword_score", 9))
 
 
 @query("e3_postings", f"""WITH u AS (SELECT doc_id, unnest({words_sql('text')}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM u GROUP BY 1, 2)
@@ -86,19 +103,18 @@ g AS (SELECT c.id, c.term, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (t
 t AS (SELECT query_id, id, sum(gain) AS x FROM g JOIN q USING (term) GROUP BY 1, 2)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(x, 9) DESC, id) AS rank, round(x, 6) AS bm25_score FROM t QUALIFY rank <= 40""")
 def _(t):
-    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return ps.bm25_topk(t.questions, docs).withColumn("bm25_score", F.round("bm25_score", 6))
+    return search_index(t.keyword_index("bm25"), t.questions).select("query_id", "id", "rank", F.round("score", 6).alias("bm25_score"))
 
 
 @query("e4_keyword_or_recent", with_tables("entries", f""", uses AS (SELECT id, unnest({words_sql('title')}) AS term FROM entries), q AS (SELECT item_id AS query_id, unnest(list_distinct({words_sql('text')})) AS term FROM benchmark),
-sums AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS s FROM uses JOIN q USING (term) WHERE length(term) > 9 GROUP BY 1, 2),
+sums AS (SELECT query_id, id, CAST(count(*) AS DOUBLE) AS s FROM uses JOIN q USING (term) GROUP BY 1, 2),
 kw AS (SELECT query_id, id, 0.0 AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s / (s + 1.0), 12) DESC, id) AS rank FROM sums QUALIFY rank <= 15),
 new AS (SELECT id, row_number() OVER (ORDER BY updated_at DESC, id) AS rank FROM entries QUALIFY rank <= 5)
 SELECT * FROM kw UNION ALL SELECT item_id, id, 0.5, rank FROM benchmark, new WHERE item_id NOT IN (SELECT query_id FROM kw)"""))
 def _(t):
-    """Long title words only, so that some questions match nothing."""
-    terms = ps.term_uses(t.entries, fields={"title": 1.0}).where(F.length("term") > 9)
-    return ps.keyword_or_recent(t.questions, t.entries, terms).drop("keyword_score")
+    """Title words only."""
+    hits = ps.keyword_topk(t.questions, ps.term_uses(t.entries, fields={"title": 1.0}), 15)
+    return ps.keyword_or_recent(t.questions, t.entries, hits).drop("keyword_score")
 
 
 FUSED = """vr AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r FROM (SELECT query_id, id, max(score) AS score FROM hits GROUP BY 1, 2)),
@@ -110,7 +126,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf
 
 def fused(t):
     """Vector hits of the label questions fused with keyword hits of the benchmark questions of the same number."""
-    return rt.rrf(rt.vector_topk(centroids(t), t.vectors), ps.keyword_topk(t.questions, ps.term_uses(t.entries)))
+    return rt.rrf(rt.vector_topk(centroids(t), t.vectors), keyword_hits(t.keyword_index("entries"), t.questions))
 
 
 @query("e5_rank_fusion", with_tables("entries vectors", ", " + SCORED + ", " + KEYWORD + ", " + FUSED + " SELECT query_id, id, round(rrf_score, 9) AS rrf_score, rank FROM ranked"))
@@ -119,7 +135,7 @@ def _(t):
 
 
 def _keyword_rows(t):
-    hits = ps.keyword_topk(t.questions, ps.term_uses(t.entries))
+    hits = keyword_hits(t.keyword_index("entries"), t.questions)
     ranked = hits.withColumns({"score": F.lit(None).cast("double"), "rrf_score": F.lit(1.0) / (F.lit(60) + F.col("rank"))})
     shown = t.entries.select("id", "title", "content", "source_url", "page_type", "category", "updated_at", "content_hash")
     return ranked.join(shown, "id")
@@ -205,7 +221,7 @@ def _(t):
 FROM kw LEFT JOIN (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1) l ON kw.id = CAST(l.doc_id AS VARCHAR) WHERE kw.rank <= 10)
 SELECT query_id, id, rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, rank) AS final_rank FROM g QUALIFY final_rank <= 5"""))
 def _(t):
-    hits = ps.keyword_topk(t.questions, ps.term_uses(t.entries))
+    hits = keyword_hits(t.keyword_index("entries"), t.questions)
     marks = t.labels.groupBy("doc_id").agg((F.max("quality") * 6.0 + F.max("toxic") * 3.0).alias("score"))
     scores = marks.join(hits.select("query_id", "id"), F.col("doc_id").cast("string") == F.col("id")).select("query_id", "id", "score")
     return rr.rerank_external(hits, scores).select("query_id", "id", "rerank_score", "final_rank")
@@ -281,12 +297,12 @@ def _(t):
     """Questions against documents through all four stages, on hashed word vectors in the documents' own namespaces."""
     chunks = t.entries
     vectors = cut_lineage(rt.embed_text(chunks.select("id", F.lit(DEFAULT_NAMESPACE).alias("namespace"), "content"), "content").select("id", "namespace", "embedding"))
-    rows, outcome = rt.retrieve_staged(t.questions, chunks, vectors, ps.term_uses(chunks), dedupe_prefix=None)
+    rows, outcome = rt.retrieve_staged(t.questions, chunks, vectors, t.keyword_index("entries"), dedupe_prefix=None)
     return outcome.select("query_id", "stage", "confidence", "n_rows")
 
 
 @query("e_answer_context")
 def _(t):
     """The whole way from questions to context."""
-    out = answer_context(t.questions, t.entries.withColumn("namespace", F.lit(DEFAULT_NAMESPACE)), AS_OF)
+    out = answer_context(t.questions, t.entries.withColumn("namespace", F.lit(DEFAULT_NAMESPACE)), AS_OF, index=t.keyword_index("entries"))
     return out["context"].select("query_id", "entries", F.length("context").alias("chars"))

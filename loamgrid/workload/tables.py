@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocabulary import BLOCK_TAGS
+from ..operators.keyword_index import Bm25, KeywordIndex, build_index
 from ..operators.markup import ENDS_PARAGRAPH
 from ..session import shared_path
 from ..sources.readers import read_table
 
 AS_OF = datetime(2024, 1, 31)
+_INDEXES: dict[tuple[str, str], dict[str, KeywordIndex]] = {}
 TEXTS = ("documents", "pages", "conversations")     # tables with costly work per row
 
 
@@ -53,6 +55,16 @@ class Tables:
             created.alias("created_at"), updated.alias("updated_at"),
             F.when(F.col("toxic") == 0, updated).alias("synced_at"))
 
+    def keyword_index(self, kind: str) -> KeywordIndex:
+        """The stored index of a kind: ``entries`` (fields by weight), ``english`` (the same, by stems) or ``bm25`` (texts); built once per session and folder."""
+        made = _INDEXES.setdefault((self.spark.sparkContext.applicationId, self.dir), {})
+        if kind not in made:
+            if kind == "bm25":
+                made[kind] = build_index(self.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), fields={"content": 1.0}, scoring=Bm25())
+            else:
+                made[kind] = build_index(self.entries, hashed="content_hash", english=kind == "english")
+        return made[kind]
+
     @cached_property
     def vectors(self) -> DataFrame:
         return self.embeddings.select(F.col("vec_id").cast("string").alias("id"),

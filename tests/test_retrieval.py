@@ -167,7 +167,7 @@ def test_keyword_topk_and_recent(spark):
     assert hits == {"a": round(1.6 / 2.6, 9), "b": round(0.2 / 1.2, 9)}
     stored = {r.id: round(r.keyword_score, 9) for r in ps.keyword_topk(queries, ps.postings(docs)).collect()}
     assert stored == hits
-    rest = ps.keyword_or_recent(queries, docs, ps.term_uses(docs), recent=2).where("query_id = 2").orderBy("rank").collect()
+    rest = ps.keyword_or_recent(queries, docs, ps.keyword_topk(queries, ps.term_uses(docs), 15), recent=2).where("query_id = 2").orderBy("rank").collect()
     assert [(r.id, r.score) for r in rest] == [("z", 0.5), ("b", 0.5)]
 
 
