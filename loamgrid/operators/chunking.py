@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import spread
+from ..session import cut_lineage, spread
 from .ordered import running_sum
 
 # Sizes in characters, and the mark of carried-over text.
@@ -139,14 +139,13 @@ def semantic_chunks(df: DataFrame, text: str = "text", target: int = TARGET_CHAR
                     F.col("_c.text").alias("content")))
 
 
-def chunk_paged_documents(df: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text",
-                          pages_per_block: int = 4096) -> DataFrame:
+def chunk_paged_documents(df: DataFrame, doc: str = "doc_id", page: str = "page_no", text: str = "text") -> DataFrame:
     """Chunk each page of a document, keep the page number, number the chunks through the whole document.
 
-    Numbers come from chunk counts per page (one narrow row per page), not from a window over all chunks."""
-    paged = semantic_chunks(df.select(doc, page, text), text)
+    Pages are chunked once and written; numbers come from chunk counts per page (one narrow row per page), not from a window over all chunks."""
+    paged = cut_lineage(semantic_chunks(df.select(doc, page, text), text))
     counts = paged.groupBy(doc, page).agg(F.count("*").alias("_n"))
-    placed = running_sum(counts, [doc], [page], F.col("_n"), F.floor(F.col(page) / pages_per_block), "_upto")
+    placed = running_sum(counts, [doc], [page], F.col("_n"), "_upto")
     sizes = counts.groupBy(doc).agg(F.sum("_n").cast("int").alias("_total"))
     offsets = placed.join(sizes, doc).select(doc, page, (F.col("_upto") - F.col("_n")).cast("int").alias("_before"), "_total")
     return (paged.join(offsets, [doc, page])

@@ -42,12 +42,12 @@ def duplicate_content(df: DataFrame) -> DataFrame:
     return groups.join(df.select(F.col("id").alias("first_id"), F.col("content").alias("content_preview")), "first_id")
 
 
-def group_members(df: DataFrame, keys: Sequence[str], block: Column, extra: Sequence[str] = ("source_url",)) -> DataFrame:
+def group_members(df: DataFrame, keys: Sequence[str], extra: Sequence[str] = ("source_url",)) -> DataFrame:
     """Members of every group with more than one entry, numbered from the oldest: the ordered id list of each
-    group, as rows.  ``block`` is a coarse time (see ``ordered``), so a huge group is spread over many tasks."""
+    group, as rows.  A huge group is spread over many tasks (see ``ordered``), whenever its members were loaded."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > 1).drop("_n")
     members = df.select(*keys, "id", "created_at", *[c for c in extra if c not in keys]).join(sizes, list(keys), "left_semi")
-    return number_rows(members, keys, ["created_at", "id"], block, "member_no")
+    return number_rows(members, keys, ["created_at", "id"], "member_no")
 
 
 def group_sources(df: DataFrame, keys: Sequence[str], value: str = "source_url") -> DataFrame:

@@ -1,6 +1,6 @@
 """Request history: rates, windows, cache hits, sessions, and the last turns of a conversation.
 
-An id may send a large part of all requests, so everything here is cut along time (see ``ordered``)."""
+An id may send a large part of all requests, so everything here is dealt along time (see ``ordered``)."""
 from __future__ import annotations
 
 from typing import Callable
@@ -15,10 +15,6 @@ def _micros(ts: Column) -> Column:
     return F.unix_micros(ts)
 
 
-def _hours(ts: Column) -> Column:
-    return F.floor(F.unix_micros(ts) / F.lit(3_600_000_000))
-
-
 def recent_requests(df: DataFrame, key: str, ts: str, event: str, window_seconds: int = 60, limit: int = 20,
                     block_seconds: int = 3600) -> DataFrame:
     """Requests of the same id in the window that ends at each request; ``refused`` above the limit.
@@ -36,7 +32,7 @@ def recent_requests(df: DataFrame, key: str, ts: str, event: str, window_seconds
 
 def with_gap(df: DataFrame, key: str, ts: str, event: str) -> DataFrame:
     """Add ``previous_at``, the time of the same id's request before."""
-    return previous(df, [key], [ts, event], F.col(ts), _hours(F.col(ts)), "previous_at")
+    return previous(df, [key], [ts, event], F.col(ts), "previous_at")
 
 
 def islands(df: DataFrame, key: str, ts: str, event: str, gap_seconds: int) -> DataFrame:
@@ -44,7 +40,7 @@ def islands(df: DataFrame, key: str, ts: str, event: str, gap_seconds: int) -> D
     gapped = with_gap(df, key, ts, event)
     far = F.col("previous_at").isNull() | (_micros(F.col(ts)) - _micros(F.col("previous_at")) > gap_seconds * 1_000_000)
     marked = gapped.withColumn("_start", F.when(far, F.col(ts)))
-    return running_last(marked, [key], [ts, event], F.col("_start"), _hours(F.col(ts)), "island").drop("_start", "previous_at")
+    return running_last(marked, [key], [ts, event], F.col("_start"), "island").drop("_start", "previous_at")
 
 
 def fixed_windows(df: DataFrame, key: str, ts: str, event: str, window_seconds: int = 60, limit: int = 20) -> DataFrame:
@@ -89,9 +85,9 @@ def last_turns(turns: DataFrame, n: int = 3, key: str = "conv_id", order: str =
             .select(key, F.size("_t").alias("n_turns"), F.array_join(F.col("_t.line"), "\n").alias("history")))
 
 
-def question_answer_pairs(turns: DataFrame, turns_per_block: int = 1024, key: str = "conv_id", order: str = "turn") -> DataFrame:
+def question_answer_pairs(turns: DataFrame, key: str = "conv_id", order: str = "turn") -> DataFrame:
     """Each user turn with the turn after it if that is an answer."""
-    following = previous(turns, [key], [order], F.struct("role", "text"), F.floor(F.col(order) / turns_per_block), "_next", following=True)
+    following = previous(turns, [key], [order], F.struct("role", "text"), "_next", following=True)
     return (following.where(F.col("role") == "user")
             .select(key, order, F.col("text").alias("user_message"),
                     F.when(F.col("_next.role") == "assistant", F.col("_next.text")).alias("bot_response")))

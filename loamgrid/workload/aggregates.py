@@ -90,7 +90,7 @@ def _(t):
 
 @query("d12_group_members", with_tables("entries", """SELECT content_hash, id, row_number() OVER (PARTITION BY content_hash ORDER BY created_at, id) AS member_no FROM entries WHERE content_hash IN (SELECT content_hash FROM entries GROUP BY 1 HAVING count(*) > 1)"""))
 def _(t):
-    return dd.group_members(t.entries, ["content_hash"], F.date_trunc("day", "created_at")).select("content_hash", "id", "member_no")
+    return dd.group_members(t.entries, ["content_hash"]).select("content_hash", "id", "member_no")
 
 
 @query("d12_group_sources", with_tables("entries", """SELECT DISTINCT content_hash, source_url FROM entries WHERE content_hash IN (SELECT content_hash FROM entries GROUP BY 1 HAVING count(*) > 1)"""))
@@ -134,16 +134,15 @@ def _(t):
 
 @query("d19_positions", """SELECT conv_id, turn, row_number() OVER w AS position, CAST(sum(length(text)) OVER w AS BIGINT) AS chars_upto FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)""")
 def _(t):
-    """Position and running length within a conversation, in blocks of turns."""
-    block = F.floor(F.col("turn") / 1024)
-    numbered = ordered.number_rows(t.conversations.select("conv_id", "turn", F.length("text").alias("chars")), ["conv_id"], ["turn"], block, "position")
-    return ordered.running_sum(numbered, ["conv_id"], ["turn"], F.col("chars"), block, "chars_upto").select("conv_id", "turn", "position", "chars_upto")
+    """Position and running length within a conversation, in one pass."""
+    turns = t.conversations.select("conv_id", "turn", F.length("text").alias("chars"))
+    return ordered.scan(turns, ["conv_id"], ["turn"], sums={"position": F.lit(1), "chars_upto": F.col("chars")}).select("conv_id", "turn", "position", "chars_upto")
 
 
 @query("d19_previous_row", """SELECT l_orderkey, l_linenumber, l_partkey, lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS previous_part FROM lineitem""")
 def _(t):
     lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
-    return ordered.previous(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], F.col("l_partkey"), F.floor(F.col("l_linenumber") / 1024), "previous_part")
+    return ordered.previous(lines, ["l_orderkey"], ["l_linenumber", "l_partkey"], F.col("l_partkey"), "previous_part")
 
 
 @query("d19_result_rank", """SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 3""")

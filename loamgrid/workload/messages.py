@@ -88,7 +88,7 @@ c AS (SELECT conv_id, turn, len(list_intersect(sa, sb)) AS i, len(sa) + len(sb)
 SELECT conv_id, turn, round(CASE WHEN u = 0 THEN 1.0 ELSE i / (u - i) END, 9) AS similarity FROM c""")
 def _(t):
     from ..operators.ordered import previous
-    pairs = previous(t.conversations, ["conv_id"], ["turn"], F.col("text"), F.floor(F.col("turn") / 1024), "next_text", following=True)
+    pairs = previous(t.conversations, ["conv_id"], ["turn"], F.col("text"), "next_text", following=True)
     staged = pairs.withColumns({"_a": tx.shingles(F.col("text")), "_b": tx.shingles(F.col("next_text"))})
     return staged.select("conv_id", "turn", F.round(tx.jaccard(F.col("_a"), F.col("_b")), 9).alias("similarity"))
 

@@ -49,7 +49,7 @@ def _(t):
     """Turns of a conversation as raw chunks of one text, each led by the end of the turn before."""
     from ..operators.ordered import previous
     turns = t.conversations.select("conv_id", "turn", "text")
-    led = previous(turns, ["conv_id"], ["turn"], F.right("text", F.lit(ch.OVERLAP_CHARS)), F.floor(F.col("turn") / 1024), "before")
+    led = previous(turns, ["conv_id"], ["turn"], F.right("text", F.lit(ch.OVERLAP_CHARS)), "before")
     same = F.col("text").startswith(F.left("before", F.lit(ch.SAME_START_CHARS)))
     joined = F.when(F.col("before").isNull() | same, F.col("text")).otherwise(F.concat(F.lit(ch.CONTINUED), "before", F.lit("\n\n"), "text"))
     return led.select("conv_id", "turn", F.md5(joined).alias("text_md5"))

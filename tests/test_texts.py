@@ -127,7 +127,7 @@ def test_short_texts(spark, size, kept):
 
 def test_paged_numbering(spark):
     pages = [("d", p, "\n\n".join(f"{chr(97 + p + i) * 1500}" for i in range(p))) for p in (1, 2, 3)] + [("e", 1, "z" * 100)]
-    rows = ch.chunk_paged_documents(spark.createDataFrame(pages, "doc_id string, page_no int, text string"), pages_per_block=2)
+    rows = ch.chunk_paged_documents(spark.createDataFrame(pages, "doc_id string, page_no int, text string"))
     got = sorted((r.doc_id, r.chunk_index, r.page_number, r.total_chunks) for r in rows.collect())
     assert got == [("d", 0, 1, 6), ("d", 1, 2, 6), ("d", 2, 2, 6), ("d", 3, 3, 6), ("d", 4, 3, 6), ("d", 5, 3, 6), ("e", 0, 1, 1)]
 

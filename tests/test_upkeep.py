@@ -76,10 +76,9 @@ def test_ordered_against_windows(spark):
     df = spark.createDataFrame(rows, "k string, o int, v int, m int").cache()
     w = Window.partitionBy("k").orderBy("o")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    block = F.floor(F.col("o") / 16)
-    pairs = [(ordered.running_sum(df, ["k"], ["o"], F.col("v"), block, "x"), F.sum("v").over(upto)), (ordered.number_rows(df, ["k"], ["o"], block, "x"), F.row_number().over(w)),
-             (ordered.previous(df, ["k"], ["o"], F.col("m"), block, "x"), F.lag("m").over(w)), (ordered.previous(df, ["k"], ["o"], F.col("m"), block, "x", following=True), F.lead("m").over(w)),
-             (ordered.running_last(df, ["k"], ["o"], F.col("m"), block, "x"), F.last("m", ignorenulls=True).over(upto))]
+    pairs = [(ordered.running_sum(df, ["k"], ["o"], F.col("v"), "x"), F.sum("v").over(upto)), (ordered.number_rows(df, ["k"], ["o"], "x"), F.row_number().over(w)),
+             (ordered.previous(df, ["k"], ["o"], F.col("m"), "x"), F.lag("m").over(w)), (ordered.previous(df, ["k"], ["o"], F.col("m"), "x", following=True), F.lead("m").over(w)),
+             (ordered.running_last(df, ["k"], ["o"], F.col("m"), "x"), F.last("m", ignorenulls=True).over(upto))]
     for got, want in pairs:
         assert sorted((r.k, r.o, str(r.x)) for r in got.collect()) == sorted((r.k, r.o, str(r.x)) for r in df.withColumn("x", want).collect())
 
