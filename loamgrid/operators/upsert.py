@@ -12,19 +12,27 @@ from ..session import with_once
 from .listing import latest_per_key
 from .rules import classify_chunk, namespace_of
 
-KEY = ("source_url", "source_type", "chunk_index")
+KEY, PAGE = ("source_url", "source_type", "chunk_index"), ("source_url", "source_type")
 
 
 def stamp_hash(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.col(content), 256))
 
 
-def plan_upsert(new: DataFrame, old: DataFrame, force: bool | Column = False, keys: Sequence[str] = KEY, order: Sequence[str] = ("content_hash",)) -> DataFrame:
+def latest_version(rows: DataFrame, version: Sequence[str], page: Sequence[str] = PAGE) -> DataFrame:
+    """The rows of each page's greatest ``version`` (a time, a run): a page's chunks all come from one fetch."""
+    newest = rows.groupBy(*page).agg(F.max(F.struct(*version)).alias("_newest"))
+    same = F.col("_newest") == F.struct(*version)
+    return rows.join(newest, list(page)).where(same).drop("_newest")
+
+
+def plan_upsert(new: DataFrame, old: DataFrame, force: bool | Column = False, keys: Sequence[str] = KEY, version: Sequence[str] = (), page: Sequence[str] = PAGE) -> DataFrame:
     """``keys, id, action, old_namespace``: insert, update (hash differs or forced) or touch for each new row.
 
-    Of several new rows of one key the last by ``order`` counts.  A key stored twice counts through its oldest row.  An inserted row gets an id made from its key, so a repeated
-    run gives the same id."""
-    new = latest_per_key(new, list(keys), list(order))
+    Where pages come in several versions, ``version`` names the columns that order them (time first): only the last version of a page counts, whole.  Rows that
+    repeat a key within one version are one row, the one of the greatest hash.  A key stored twice counts through its oldest row.  An inserted row gets an id made
+    from its key, so a repeated run gives the same id."""
+    new = latest_per_key(latest_version(new, version, page) if version else new, list(keys), ["content_hash"])
     stored = (old.groupBy(*keys).agg(F.min_by(F.struct("id", "content_hash", "namespace"), F.struct("created_at", "id")).alias("_old")))
     forced = F.lit(force) if isinstance(force, bool) else force
     joined = new.join(stored, list(keys), "left")
@@ -35,6 +43,12 @@ def plan_upsert(new: DataFrame, old: DataFrame, force: bool | Column = False, ke
             .withColumn("old_namespace", F.col("_old.namespace")).drop("_old"))
 
 
+def lost_chunks(new: DataFrame, old: DataFrame, keys: Sequence[str] = KEY, page: Sequence[str] = PAGE) -> DataFrame:
+    """Stored rows of pages that come anew but have that chunk no longer: what an upsert of a shorter page leaves behind."""
+    pages = new.select(*page).distinct()
+    return old.join(pages, list(page), "left_semi").join(new.select(*keys), list(keys), "left_anti")
+
+
 def upsert_counts(plan: DataFrame) -> DataFrame:
     return plan.agg(F.count_if(F.col("action") == "insert").alias("inserted"), F.count_if(F.col("action") == "update").alias("updated"),
                     F.count_if(F.col("action") == "touch").alias("skipped"))

@@ -11,26 +11,31 @@ from ..functions.vocabulary import CHUNK_RULES, NAMESPACE_RULES, PAGE_RULES, Rul
 from ..operators.analytics import ingest_summary
 from ..operators.chunking import chunk_paged_documents, keyword_lists, semantic_chunks
 from ..operators.dedupe import drop_near_duplicate_pages, new_content_only
-from ..operators.html import extract_pages
+from ..operators.html import extract_by_kind
 from ..operators.rules import classify_chunk, classify_page, namespace_of
 from ..session import with_once
-from ..sources.readers import admit_pages
+from ..sources.readers import MIN_HTML, admit_pages
 
 
 def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequence[Rule] = PAGE_RULES,
                 namespaces: Sequence[Rule] = NAMESPACE_RULES, fingerprint_prefix: int | None = None,
-                snippet: int | None = None, with_keywords: bool = True, drop_repeats: bool = True) -> DataFrame:
+                snippet: int | None = None, with_keywords: bool = True, drop_repeats: bool = True, text: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Accepted, distinct, classified pages as chunk rows ready for the upsert.
 
-    ``pages``: page_id, url, html.  All steps are row-local but the fingerprint and the keyword count."""
-    taken = admit_pages(extract_pages(pages, site_suffix=site_suffix)).where(F.col("status") == "accepted").drop("html", "blocks", "status", "reason", "problem")
+    ``pages``: page_id, url, html and, where documents are fetched too, the column ``text`` with what they say (null for pages).  Personal pages are read as profiles.  The
+    columns ``carried`` go with the chunks.  All steps are row-local but the fingerprint and the keyword count."""
+    read = extract_by_kind(pages.select("page_id", "url", "html", *([text] if text else []), *carried), text=text, site_suffix=site_suffix)
+    shown = F.when(F.col("kind") != "document", F.col("html")) if text else F.col("html")
+    least = F.when(F.col("kind") == "document", F.lit(0)).otherwise(F.lit(MIN_HTML))
+    taken = (admit_pages(read.withColumn("html", shown), min_html=least).where(F.col("status") == "accepted")
+             .drop("html", "kind", "status", "reason", "problem", *([text] if text else [])))
     first = drop_near_duplicate_pages(taken, prefix=fingerprint_prefix) if drop_repeats else taken
     looked_at = F.col("content") if snippet is None else F.left("content", F.lit(snippet))
     labelled = with_once(first, "_c", classify_page(F.col("url"), F.col("title"), looked_at, rules))
     described = labelled.select(
         F.col("page_id").cast("string").alias("parent_page_id"), F.col("url").alias("source_url"), F.col("title").alias("page_title"),
         F.col("_c.page_type").alias("page_type"), F.col("_c.category").alias("category"), F.col("_c.department").alias("department"),
-        tx.breadcrumb(F.col("url")).alias("breadcrumb"), namespace_of(F.col("_c.category"), namespaces).alias("namespace"), "content")
+        tx.breadcrumb(F.col("url")).alias("breadcrumb"), namespace_of(F.col("_c.category"), namespaces).alias("namespace"), "content", *carried)
     chunks = semantic_chunks(described, "content")
     rows = chunks.withColumnsRenamed({"section": "section_heading"}).withColumns({
         "source_type": F.lit("webpage"), "content_hash": tx.sha256(F.col("content")),

@@ -32,13 +32,17 @@ def read_text_corpus(spark: SparkSession, root: str, suffixes: Sequence[str] = (
                       F.col("value").alias("text"))
 
 
-def admission_status(html: Column, text: Column, min_html: int = 200, min_text: int = 50) -> Column:
+# Least characters of a page's markup and of its text.
+MIN_HTML, MIN_TEXT = 200, 50
+
+
+def admission_status(html: Column, text: Column, min_html: int | Column = MIN_HTML, min_text: int = MIN_TEXT) -> Column:
     """Reason a page is not taken in, null if it is."""
     return (F.when(F.length(F.coalesce(html, F.lit(""))) < min_html, "insufficient_html")
             .when(F.length(F.coalesce(text, F.lit(""))) < min_text, "insufficient_text"))
 
 
-def admit_pages(pages: DataFrame, html: str = "html", text: str = "content", min_html: int = 200, min_text: int = 50) -> DataFrame:
+def admit_pages(pages: DataFrame, html: str = "html", text: str = "content", min_html: int | Column = MIN_HTML, min_text: int = MIN_TEXT) -> DataFrame:
     """Add ``status`` (accepted, rejected or failed) and ``reason``; what is not accepted is written to its own table.
 
     Where there is a column ``problem``, a page with one failed, and that is its reason."""

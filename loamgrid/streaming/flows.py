@@ -17,7 +17,7 @@ from ..operators.upsert import KEY, plan_upsert
 from ..plans.ingest import page_chunks
 from ..session import cut_lineage
 from ..sources.readers import admit_pages
-from ..sources.sinks import append_log
+from ..sources.sinks import append_log, is_table
 
 
 def read_events(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", files_per_trigger: int = 1000, ts: str = "ts") -> DataFrame:
@@ -45,32 +45,71 @@ def fresh_pages(pages: DataFrame, seen_at: str = "fetched_at", watermark: str =
     return marked.dropDuplicatesWithinWatermark(["fingerprint"])
 
 
+MARK = -1                            # chunk number of the row that says when a page was last taken
+BUCKETS = 64
+
+
+def _state(spark: SparkSession, changes_path: str, buckets: list[int] | None = None, below: int | None = None) -> DataFrame | None:
+    """The last change of each key, marks and removals included, from the newest snapshot and the log behind it; ``buckets`` are the only ones read.
+
+    Nothing is there before the first batch: None."""
+    def part(name: str) -> DataFrame | None:
+        path = f"{changes_path}/{name}"
+        if not is_table(spark, path):
+            return None
+        rows = spark.read.parquet(path).withColumn("batch_id", F.col("batch_id").cast("long"))
+        return rows if buckets is None else rows.where(F.col("bucket").isin(buckets))
+    snapshot, log = part("snapshot"), part("log")
+    if log is not None and below is not None:
+        log = log.where(F.col("batch_id") < below)
+    if snapshot is not None:
+        upto = spark.read.parquet(f"{changes_path}/snapshot").agg(F.max("batch_id")).first()[0]
+        snapshot = snapshot.where(F.col("batch_id") == upto)
+        log = log.where(F.col("batch_id") > upto) if log is not None else None
+    both = snapshot if log is None else log if snapshot is None else snapshot.unionByName(log)
+    return None if both is None else latest_per_key(both, list(KEY), ["fetched_at", "batch_id"])
+
+
 def current_chunks(spark: SparkSession, changes_path: str) -> DataFrame:
-    """State of the chunk table: the latest change of each key."""
-    return latest_per_key(spark.read.parquet(changes_path).withColumn("batch_id", F.col("batch_id").cast("long")), list(KEY), ["batch_id"])
+    """State of the chunk table: the last change of each key, by the time its page was fetched; removed chunks are gone."""
+    return _state(spark, changes_path).where((F.col("chunk_index") != MARK) & (F.col("action") != "delete"))
+
+
+def compact_changes(spark: SparkSession, changes_path: str) -> None:
+    """Write the state as one snapshot, bucketed like the log; later batches read it instead of the log before it, whose folders may then be removed."""
+    upto = spark.read.parquet(f"{changes_path}/log").agg(F.max(F.col("batch_id").cast("long"))).first()[0]
+    state = cut_lineage(_state(spark, changes_path).withColumn("batch_id", F.lit(upto)))
+    (state.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "bucket").parquet(f"{changes_path}/snapshot"))
 
 
-def write_changes(changes_path: str):
-    """``foreachBatch`` writer: appends what a micro-batch inserts or updates to a change log.
+def write_changes(changes_path: str, buckets: int = BUCKETS):
+    """``foreachBatch`` writer: appends what a micro-batch inserts, updates or removes to a change log.
 
-    The folder of a batch id is overwritten, so a repeated batch has no further effect.  Of earlier batches only the
-    keys, ids and hashes of the pages at hand are aggregated, and only what changed is written; ``current_chunks``
-    gives the table."""
+    Of a page that comes several times the last by ``fetched_at`` counts, whole; a page fetched before what is stored of it is passed over; chunks that a shorter page
+    has lost are removed.  The log is dealt into buckets by source, and only buckets that the batch falls into are read.  The folder of a batch id is overwritten, so a repeated
+    batch has no further effect; ``current_chunks`` gives the table, ``compact_changes`` shortens the log."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        new = cut_lineage(page_chunks(batch.select("page_id", "url", "html"), with_keywords=False, drop_repeats=False))
-        try:
-            log = (spark.read.parquet(changes_path).where(F.col("batch_id") < batch_id)
-                   .join(new.select("source_url").distinct(), "source_url", "left_semi"))
-            known = latest_per_key(log.select(*KEY, "id", "content_hash", "namespace", "created_at", "batch_id"), list(KEY), ["batch_id"])
-        except Exception as problem:  # the first batch finds no log
-            if "PATH_NOT_FOUND" not in str(problem) and "UNABLE_TO_INFER_SCHEMA" not in str(problem):
-                raise
-            known = spark.createDataFrame([], "source_url string, source_type string, chunk_index int, id string, "
-                                              "content_hash string, namespace string, created_at timestamp, batch_id long")
-        plan = plan_upsert(new, known).where(F.col("action") != "touch").withColumn("created_at", F.current_timestamp())
-        (plan.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(changes_path))
+        place = F.pmod(F.xxhash64("source_url"), F.lit(buckets)).cast("int")
+        pages = latest_per_key(batch.select("page_id", "url", "html", "fetched_at"), ["url"], ["fetched_at", "page_id"])
+        new = cut_lineage(page_chunks(pages, with_keywords=True, drop_repeats=False, carried=("fetched_at",)).withColumn("bucket", place))
+        marks = pages.select(F.col("url").alias("source_url"), F.lit("webpage").alias("source_type"), F.lit(MARK).alias("chunk_index"), "fetched_at").withColumn("bucket", place)
+        touched = [r["bucket"] for r in marks.select("bucket").distinct().collect()]          # at most ``buckets`` numbers
+        known = _state(spark, changes_path, touched, batch_id)
+        if known is None:
+            known = new.limit(0).withColumns({"id": F.lit(None).cast("string"), "action": F.lit(None).cast("string"), "old_namespace": F.lit(None).cast("string"),
+                                              "created_at": F.lit(None).cast("timestamp"), "batch_id": F.lit(None).cast("long")})
+        stored = known.groupBy("source_url").agg(F.max("fetched_at").alias("_stored"))
+        late = marks.join(stored, "source_url").where(F.col("fetched_at") < F.col("_stored")).select("source_url")
+        new, marks = new.join(late, "source_url", "left_anti"), marks.join(late, "source_url", "left_anti")
+        living = known.where((F.col("chunk_index") != MARK) & (F.col("action") != "delete"))
+        plan = plan_upsert(new, living, version=["fetched_at"]).where(F.col("action") != "touch")
+        came = marks.select("source_url", "source_type", F.col("fetched_at").alias("_at"))
+        gone = (living.join(came, ["source_url", "source_type"]).join(new.select(*KEY), list(KEY), "left_anti")
+                .withColumns({"action": F.lit("delete"), "fetched_at": F.col("_at"), "content": F.lit(None).cast("string")}).drop("_at", "batch_id", "created_at"))
+        rows = (plan.unionByName(gone, allowMissingColumns=True).unionByName(marks.withColumn("action", F.lit("mark")), allowMissingColumns=True)
+                .withColumns({"created_at": F.current_timestamp(), "batch_id": F.lit(batch_id)}))
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "bucket").parquet(f"{changes_path}/log"))
     return write
 
 

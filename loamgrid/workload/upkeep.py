@@ -44,7 +44,7 @@ def _(t):
     """The crawl with every row a second time, changed, and in that form the later one."""
     once = incoming(t).withColumn("version", F.lit(1))
     again = up.stamp_hash(once.withColumns({"content": F.concat("content", F.lit(" (again)")), "version": F.lit(2)}))
-    plan = up.plan_upsert(once.unionByName(again), t.entries, order=["version"])
+    plan = up.plan_upsert(once.unionByName(again), t.entries, version=["version"])
     return plan.select("source_url", "source_type", "chunk_index", "id", "action")
 
 
