@@ -7,7 +7,7 @@ the runs, so that a key of any number of rows is cut like any other."""
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from loamgrid.llm.shared import arrow_map
-from loamgrid.session import cut_lineage, shuffle_width
+from loamgrid.session import shared_path, shuffle_width
 
-SAMPLES = 1 << 17                    # rows that reach the driver, whatever the input
+SAMPLES = 1 << 17                    # rows that reach the driver, or eight for each run if that is more
 PLACE, SEGMENT = "place_", "segment_"
 _IN_RUN = (1 << 33) - 1              # the low bits of a place: the position in its run
 
@@ -35,11 +35,15 @@ def sorted_runs(rows: DataFrame, keys: dict[str, Column], segment_rows: int, sam
     """``rows`` with the columns ``keys`` (whole numbers, none null, compared in ascending order), sorted within each task and written to the shared folder.
 
     There are as many segments as shuffle partitions, or more if they would exceed ``segment_rows`` on average; a segment of N rows in all has at most
-    N / segments + (runs + 1) * N / samples."""
+    N / segments + (runs + 1) * N / samples.  At most ``samples`` rows, or eight for each run, reach the driver."""
     names = list(keys)
-    table = cut_lineage(rows.withColumns(keys).sortWithinPartitions(*names).withColumn(PLACE, F.monotonically_increasing_id()))
-    n = table.count()
-    segments, stride = max(shuffle_width(table), -(-n // segment_rows)), max(1, n // samples)
+    placed = rows.withColumns(keys).sortWithinPartitions(*names).withColumn(PLACE, F.monotonically_increasing_id())
+    path = shared_path(rows.sparkSession, "runs")
+    placed.write.option("compression", "zstd").parquet(path)
+    table = rows.sparkSession.read.schema(placed.schema).parquet(path)
+    facts = table.agg(F.count("*").alias("n"), F.coalesce(F.max(F.shiftright(PLACE, 33)), F.lit(0)).alias("last")).first()
+    n, samples = facts["n"], max(samples, 8 * (facts["last"] + 1))
+    segments, stride = max(shuffle_width(table), -(-n // segment_rows)), max(1, -(-n // samples))
     chosen = table.where((F.col(PLACE).bitwiseAND(F.lit(_IN_RUN)) % stride) == stride - 1).select(*names, PLACE).toArrow()
     regular = sorted(zip(*[chosen.column(c).to_pylist() for c in [*names, PLACE]]))
     cuts = sorted({len(regular) * i // segments for i in range(1, segments)} - {0})
@@ -80,11 +84,12 @@ def segment_sums(runs: Runs, weight: str | None = None) -> list[int]:
     return sums
 
 
-def merged(runs: Runs, sums: list[int], before: str, weight: str | None = None, most: int | None = None, below: str | None = None) -> DataFrame:
+def merged(runs: Runs, sums: list[int], before: str, weight: str | None = None, most: int | None = None, below: str | None = None,
+           last: tuple[Callable[[pa.RecordBatch], pa.RecordBatch], str] | None = None) -> DataFrame:
     """The rows of the first segments, one partition per segment, in the order of the keys, with ``before``: the sum of ``weight`` (rows, without one) ahead of each.
 
     With ``most`` only segments that begin before that sum are exchanged; the others, whose rows all come later, are left where they are: ``below`` then names a
-    column that is true for the rows returned of them, in no order and with ``before`` null."""
+    column that is true for the rows returned of them, in no order and with ``before`` null.  ``last`` is a function of the finished batches, with the schema it gives."""
     held = runs.table.sparkSession.sparkContext.broadcast(runs.splitters)
     bare = runs._replace(table=None)
     offsets = [0, *np.cumsum(np.array(sums, np.int64)).tolist()]
@@ -114,12 +119,13 @@ def merged(runs: Runs, sums: list[int], before: str, weight: str | None = None,
                     total = base + np.cumsum(sizes[a:b])
                     ahead[a:b] = total - sizes[a:b]
                     sums_here[s] = int(total[-1])
-            yield pa.record_batch([*[batch.column(c) for c in names], pa.array(ahead)], names=[*names, before])
+            out = pa.record_batch([*[batch.column(c) for c in names], pa.array(ahead)], names=[*names, before])
+            yield last[0](out) if last else out
 
     table = arrow_map(runs.table, place, placed) if runs.splitters else runs.table.withColumn(SEGMENT, F.lit(0))
     ahead = table.where(F.col(SEGMENT) < wanted) if wanted < len(sums) else table
     ordered = (ahead.repartitionById(wanted, F.col(SEGMENT)).sortWithinPartitions(SEGMENT, *runs.keys, PLACE)
-               .mapInArrow(number, numbered))
+               .mapInArrow(number, last[1] if last else numbered))
     if below is None:
         return ordered
     ordered = ordered.withColumn(below, F.lit(False))

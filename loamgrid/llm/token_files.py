@@ -23,29 +23,32 @@ END_ID = 2
 FILE_DOCUMENTS = 200_000             # rows of a file, on average; there are as many files as shuffle partitions, if that is more
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
 STORED = "doc_id long, start long, n_tokens long, ids array<int>"
-_encoders: dict[tuple[str, str, str], ByteBpe] = {}
+_encoders: dict[tuple[str, str, str, int], tuple[ByteBpe, int]] = {}
 
 
-def _encoder(*paths: str) -> ByteBpe:
-    if paths not in _encoders:
-        json_path, ranks_path, pattern = paths
+def _encoder(json_path: str, ranks_path: str, pattern: str, end_id: int) -> tuple[ByteBpe, int]:
+    """The encoder, and the bytes of an id: 2 if the vocabulary and ``end_id`` allow it, else 4."""
+    key = (json_path, ranks_path, pattern, end_id)
+    if key not in _encoders:
         with open(json_path) as file:
-            added = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
-        _encoders[paths] = ByteBpe(ranks_path, pattern, added)
-    return _encoders[paths]
+            tokenizer = json.load(file)
+        added = {t["content"]: t["id"] for t in tokenizer["added_tokens"]}
+        width = 2 if max(end_id, *tokenizer["model"]["vocab"].values(), *added.values()) < 1 << 16 else 4
+        _encoders[key] = ByteBpe(ranks_path, pattern, added, by_word=False, width=width), width
+    return _encoders[key]
 
 
 def encoded(docs: DataFrame, end_id: int = END_ID, json_path: str | None = None, ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids`` of ``docs (doc_id, text, ...)``: the ids of the whole text and ``end_id``, as little-endian unsigned 32-bit numbers.
+    """``doc_id, n_tokens, ids`` of ``docs (doc_id, text, ...)``: the ids of the whole text and ``end_id``, as little-endian unsigned numbers of 2 or 4 bytes.
 
     The ids are those of the tokenizer in ``json_path`` without special tokens being added; its added tokens inside a text are ids of their own."""
     paths = (json_path or public_tokenizers.path("byte_bpe_50k.json"), ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-    end = int(end_id).to_bytes(4, "little")
 
     def encode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids_of = _encoder(*paths).ids
-        ids = [ids_of(t.as_py() or "") + end for t in batch.column("text")]
-        yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+        encoder, width = _encoder(*paths, end_id)
+        end = int(end_id).to_bytes(width, "little")
+        ids = [encoder.ids(t.as_py() or "") + end for t in batch.column("text")]
+        yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), encode, "doc_id long, n_tokens long, ids binary")
 
@@ -59,15 +62,16 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = END_ID, file_document
     ``row_group`` and ``page`` are bytes, ``page_rows`` rows."""
     order = {"with_": F.col("doc_id").isNotNull().cast("long"), "id_": F.coalesce("doc_id", F.lit(0)), "digest_": F.xxhash64("ids")}
     runs = sorted_runs(encoded(docs, end_id, **tokenizer), order, file_documents)
-    ordered = merged(runs, segment_sums(runs, "n_tokens"), "start", weight="n_tokens")
 
-    def listed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        ids = lists([np.frombuffer(x.as_buffer(), "<u4").view(np.int32) for x in batch.column("ids")], pa.int32())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), ids], names=["doc_id", "start", "n_tokens", "ids"])
+    def listed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sizes, column = batch.column("n_tokens").to_numpy(), batch.column("ids")
+        ids = lists([np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // n}").astype(np.int32) for x, n in zip(column, sizes.tolist())], pa.int32())
+        return pa.record_batch([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), ids], names=["doc_id", "start", "n_tokens", "ids"])
 
+    ordered = merged(runs, segment_sums(runs, "n_tokens"), "start", weight="n_tokens", last=(listed, STORED))
     options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "v2",
-               "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true"}
-    arrow_map(ordered.select("doc_id", "start", "n_tokens", "ids"), listed, STORED).write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
+               "parquet.enable.dictionary": "false", "parquet.enable.dictionary#ids.list.element": "true", "compression": "zstd"}
+    ordered.write.options(**{k: str(v) for k, v in options.items()}).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -40,22 +40,24 @@ def stretches(text: str) -> Iterator[str]:
 
 
 class ByteBpe:
-    """Ids of a byte-level BPE vocabulary given as ranks, as unsigned 32-bit little-endian bytes.
+    """Ids of a byte-level BPE vocabulary given as ranks, as unsigned little-endian numbers of ``width`` bytes (4, or 2 if all ids fit).
 
     The vocabulary's pattern never lets a piece run from a character that is not white into white space, so words with the blanks before them are encoded on
-    their own; texts with other white space than blanks and line ends are encoded as they are.  Texts are split at the strings in ``added`` first, each of which is one id."""
+    their own; texts with other white space than blanks and line ends are encoded as they are.  Without ``by_word`` all texts are, which is faster where words seldom
+    come again, and nothing is kept.  Texts are split at the strings in ``added`` first, each of which is one id."""
 
-    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None):
+    def __init__(self, ranks_path: str, pattern: str, added: dict[str, int] | None = None, by_word: bool = True, width: int = 4):
         import tiktoken
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._cache = Cache(self._plain)
-        self._added = {content: int(id_).to_bytes(4, "little") for content, id_ in (added or {}).items()}
+        self._code = {2: "H", 4: "I"}[width]
+        self._cache = Cache(self._plain) if by_word else None
+        self._added = {content: int(id_).to_bytes(width, "little") for content, id_ in (added or {}).items()}
         self._split = re.compile("(" + "|".join(re.escape(c) for c in sorted(self._added, key=len, reverse=True)) + ")") if added else None
 
     def _plain(self, text: str) -> bytes:
-        return array("I", self._encoding.encode_ordinary(text)).tobytes()
+        return array(self._code, self._encoding.encode_ordinary(text)).tobytes()
 
     def ids(self, text: str) -> bytes:
         if self._split and self._split.search(text):
@@ -63,6 +65,8 @@ class ByteBpe:
         return self._between(text)
 
     def _between(self, text: str) -> bytes:
+        if self._cache is None:
+            return b"".join(map(self._plain, stretches(text)))
         if _OTHER_WHITE.search(text):
             return self._plain(text)
         cache = self._cache

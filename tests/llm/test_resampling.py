@@ -27,7 +27,7 @@ def some_labels(spark):
 
 # ---- parallel sort ---------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("samples", [1 << 17, 40, 5])
+@pytest.mark.parametrize("samples", [1 << 14, 40, 5])
 @pytest.mark.parametrize("segment_rows", [50, 100_000])
 def test_parallel_sort(spark, samples, segment_rows):
     rng = random.Random(samples)
