@@ -19,7 +19,7 @@ from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from loamgrid.llm.shared import arrow_map
 from loamgrid.session import shared_path, shuffle_width
 
-SAMPLES = 1 << 17                    # rows that reach the driver, or eight for each run if that is more
+SAMPLES = 1 << 14                    # rows that reach the driver, or eight for each run if that is more
 PLACE, SEGMENT = "place_", "segment_"
 _IN_RUN = (1 << 33) - 1              # the low bits of a place: the position in its run
 
