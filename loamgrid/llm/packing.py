@@ -15,18 +15,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamgrid.llm.tokens import ByteBpe
+from loamgrid.llm.tokens import ByteBpe, added_tokens
 from loamgrid.session import cut_lineage
 
 CAPACITY, OPEN, MERGED = 2048, 8, 64
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_encoders: dict[tuple[str, str], ByteBpe] = {}
+_encoders: dict[tuple[str, str, str], ByteBpe] = {}
 
 
-def _encoder(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _encoders:
-        _encoders[path, pattern] = ByteBpe(path, pattern)
-    return _encoders[path, pattern]
+def _encoder(path: str, pattern: str, json_path: str) -> ByteBpe:
+    key = (path, pattern, json_path)
+    if key not in _encoders:
+        _encoders[key] = ByteBpe(path, pattern, added_tokens(json_path))
+    return _encoders[key]
 
 
 class _Packer:
@@ -82,14 +83,16 @@ class _Packer:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, merged: int = MERGED, end_id: int = 1,
-         ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+         ranks_path: str | None = None, pattern: str | None = None, json_path: str | None = None) -> DataFrame:
     """Pieces of ``docs (doc_id, text, ...)`` in sequences of at most ``capacity`` tokens.
 
-    Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  A document is the ids of its text, then ``end_id``; a null or empty text is ``end_id``
+    Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.  A document is the ids of its text (those of the tokenizer in ``json_path``, whose added tokens
+    are ids of their own), then ``end_id``; a null or empty text is ``end_id``
     alone; repeated rows are packed each.  All sequences are full but the last of every ``merged`` partitions (at most ``merged * most_open`` open
     sequences meet in a task).  The sequence's ids are unique, not dense.  An empty table gives no row."""
     ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pattern = pattern or public_tokenizers.PATTERN
+    json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
     end = int(end_id).to_bytes(4, "little")
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "part"]
     kinds = [pa.int64()] * 7 + [pa.binary(), pa.int64()]
@@ -100,7 +103,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, merge
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encode, packer = _encoder(ranks_path, pattern).ids, _Packer(part << 32, capacity, most_open)
+        encode, packer = _encoder(ranks_path, pattern, json_path).ids, _Packer(part << 32, capacity, most_open)
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 packer.add(doc_id, encode(text.as_py() or "") + end)

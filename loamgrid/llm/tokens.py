@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -27,6 +28,12 @@ class Cache(dict):
         return out
 
 
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Strings that a tokenizer's file adds to its vocabulary, with their ids."""
+    with open(json_path) as file:
+        return {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+
+
 def stretches(text: str) -> Iterator[str]:
     """The text in parts of about a million characters, cut before white space that follows a word."""
     begin = 0

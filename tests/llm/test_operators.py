@@ -121,14 +121,12 @@ def test_likeness():
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
-    out = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
 def encoder():
-    return tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
 
 
 @settings(max_examples=400, deadline=None)
@@ -137,6 +135,15 @@ def test_ids_are_the_tokenizers(tokenizer, encoder, text):
     assert np.frombuffer(encoder.ids(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("by_word", [True, False])
+@pytest.mark.parametrize("width", [2, 4])
+def test_added_tokens_are_ids(tokenizer, by_word, width):
+    added = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = tokens.ByteBpe(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, added, by_word, width)
+    for text in ("a<|endoftext|>b", "<|endoftext|>", " x  <|endoftext|> \n y\t<|endoftext|><|endoftext|>'s", "<|endoftext", "", "plain words"):
+        assert np.frombuffer(encoder.ids(text), f"<u{width}").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_ids_of_a_long_text(tokenizer, encoder, monkeypatch):
     text = "a few words,\nand 12 more  of  them; " * 300
     monkeypatch.setattr(tokens, "STRETCH", 100)
