@@ -280,10 +280,13 @@ def _(t):
     return rt.coverage_test(tests, t.vectors)
 
 
-@query("e17_retrieval_trace")
+@query("e17_retrieval_trace", with_tables("entries", ", " + KEYWORD + ", " + RERANKED + """, sizes AS (SELECT query_id, count(*) AS candidates FROM kw GROUP BY 1)
+SELECT rer.query_id, final_rank, rer.id, 0.0 AS score, round(kw.keyword_score, 6) AS keyword_score, round(1.0 / (60 + kw.rank), 6) AS rrf_score, round(rer.score, 4) AS rerank_score, candidates
+FROM rer JOIN kw ON kw.query_id = rer.query_id AND kw.id = rer.id JOIN sizes ON sizes.query_id = rer.query_id"""))
 def _(t):
     rows = cut_lineage(_rerank_input(t))
-    return rt.explain_retrieval(t.questions, rows, rr.rerank(rows, AS_OF))
+    trace = rt.explain_retrieval(t.questions, rows, rr.rerank(rows, AS_OF))
+    return trace.withColumns({"keyword_score": F.round("keyword_score", 6), "rrf_score": F.round("rrf_score", 6), "rerank_score": F.round("rerank_score", 4)})
 
 
 @query("e18_text_vectors")

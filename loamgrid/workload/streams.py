@@ -55,12 +55,22 @@ def _(t):
     return text_time(stored(t, stream, "sliding"), "window_start")
 
 
-@query("j3b_fixed_windows")
+def fixed_sql(key: str, span_seconds: int, columns: str) -> str:
+    """A window opens at a key's first request and, after it has closed, at the next one."""
+    span = span_seconds * 1_000_000
+    return f"""WITH RECURSIVE asked AS (SELECT event_id, {key} AS k, epoch_us(ts) AS t FROM events),
+opened AS (SELECT k, min(t) AS s FROM asked GROUP BY k UNION ALL SELECT a.k, min(a.t) FROM opened o JOIN asked a ON a.k = o.k AND a.t > o.s + {span} GROUP BY a.k, o.s),
+placed AS (SELECT event_id, a.k, t, max(s) AS s FROM asked a JOIN opened o ON o.k = a.k AND o.s <= a.t GROUP BY ALL),
+numbered AS (SELECT event_id, CAST(row_number() OVER (PARTITION BY k, s ORDER BY t, event_id) AS INTEGER) AS request_no FROM placed)
+SELECT event_id, {columns} FROM numbered"""
+
+
+@query("j3b_fixed_windows", fixed_sql("user_id", 36000, "request_no, request_no > 2 AS refused"))
 def _(t):
     return rq.fixed_windows(timed(t), "user_id", "ts", "event_id", window_seconds=36000, limit=2).select("event_id", "request_no", "refused")
 
 
-@query("j3b_fixed_windows_stream")
+@query("j3b_fixed_windows_stream", fixed_sql("user_id", 36000, "request_no, request_no > 2 AS refused"))
 def _(t):
     stream = fl.limited_requests(event_stream(t), "user_id", window_seconds=36000, limit=2)
     return stored(t, stream, "limited").select("event_id", "request_no", "refused")
@@ -72,7 +82,7 @@ def _(t):
     return rq.cache_hits(keyed, "cache_key", "ts", "event_id").select("event_id", "cache_hit")
 
 
-@query("j4_cache_hits_fixed")
+@query("j4_cache_hits_fixed", fixed_sql("event_type || '|' || props", 3600, "request_no > 1 AS cache_hit"))
 def _(t):
     keyed = t.events.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("|", "event_type", "props").alias("cache_key"))
     return rq.cache_hits(keyed, "cache_key", "ts", "event_id", renewed_on_read=False).select("event_id", "cache_hit")
