@@ -7,21 +7,23 @@ set is listed under the first shingles only that two similar sets cannot both la
 * lists are ordered by position, and a block of entries too deep for the sizes at hand is skipped whole;
 * a list first compares its least set with the others.  Sets found linked form components, and later only pairs from different components are looked at;
 * a set that differs from such a set (its hub) in few shingles is known by these.  Two sets of one hub differ in just what one of their two differences has and
-  the other lacks, so they are joined by their differences, however many sets a hub has;
+  the other lacks, so they are joined by their differences, however many sets a hub has.  What most sets of a hub have in common takes the hub's place, which leaves
+  the differences that few sets share;
 * the answers of a set of another hub are not computed anew either: they follow from its hub's by the differences.
 
 Where links are counted, pairs within a component are looked at too.  Sets of one hub that link whatever their differences have in common are
-counted by size and number of differences, not listed.
+counted by sums over their slacks; the others are counted in the lists, which return a number for each set, not the pairs.
 
 Lists get no shingle that occurs once.  How often one occurs is counted over all documents for a fixed share of all hashes, and kept by levels in sieves of
 fixed size; both decide on the order only, so the result is exact at any size."""
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamgrid.llm.shared import SIEVE_BITS, Scratch, arrow_map, components, lists, sieve_of
@@ -32,6 +34,7 @@ SHINGLE, SIMILAR, OUT_OF = 5, 8, 10
 LEVELS = (2, 8, 64, 512)                 # a shingle's rank is the number of these that its count reaches
 MIDDLE = 2                               # shingles that are not counted come behind this rank
 LARGE, BLOCK = 256, 4096                 # entries of a component that is compared on its own; entries compared at once
+PART, STRIP, ITEMS = 4096, 1024, 512     # sets of a list of differences that one task compares; sets and items at once
 
 
 def _counted(similar: int, out_of: int) -> np.uint64:
@@ -213,57 +216,198 @@ def _hubs(stars: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(hubs)
 
 
-def _within(hubs: DataFrame, groups: DataFrame, similar: int, out_of: int) -> DataFrame:
-    """``a, b``: links between sets of one hub and different components.
+def _enough(shared: Column, na: Column, nb: Column, similar: int, out_of: int) -> Column:
+    return (similar + out_of) * shared >= similar * (na + nb)
 
-    They differ in d(a) + d(b) - 2 * common shingles, d being the size of their differences from the hub.  Sets that link without a common difference both link with the hub;
-    others are found in lists of differences, what a set has besides its hub first, by positions as in the lists of shingles.  Only these are returned."""
-    most = F.col("n") * (out_of - similar) / F.lit(similar)
-    sets = hubs.join(groups, "id", "left").select("id", "hub", "n", F.coalesce("component", "id").alias("component"), F.concat(F.array_sort("plus"), F.array_sort("minus")).alias("apart"))
-    each = sets.select("id", "hub", "n", "component", F.size("apart").alias("d"), F.posexplode("apart").alias("at", "item")).where(F.col("at") <= most)
-    listed = each.select(F.xxhash64("hub", "item").alias("token"), F.col("at").cast("long"), "id", "n", F.col("d").cast("long"), "component")
-    twice = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
 
-    def pairs(_: np.ndarray, ats: np.ndarray, ids: np.ndarray, ns: np.ndarray, ds: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Entries in order of position; two sets whose first common difference is at i and j can link if i + j does not exceed how far they may differ."""
-        reach = ns * (out_of - similar) // similar - ats
-        for a in range(0, len(ids), LARGE):
-            x = slice(a, a + LARGE)
-            end = int(np.searchsorted(ats, reach[x].max(), "right"))
-            for b in range(0, end, BLOCK):
-                y = slice(b, min(b + BLOCK, end))
-                nx, ny, dx, dy = ns[x][:, None], ns[y], ds[x][:, None], ds[y]
-                common = -(-(dx + dy - (nx + ny - 2 * _needed(nx, ny, similar, out_of))) // 2)
-                i, j = np.nonzero((parts[x][:, None] != parts[y]) & (ids[x][:, None] < ids[y]) & (common > 0) & (np.minimum(dx - ats[x][:, None], dy - ats[y]) >= common))
-                if len(i):
-                    yield ids[x][i], ids[y][j]
-    found = _runs(listed.join(twice, "token"), ["token", "at", "id", "n", "d", "component"], pairs, "a long, b long").distinct()
+def _slack(n: Column, d: Column, similar: int, out_of: int) -> Column:
+    """How far a set may be from others, known by the size of its difference from what its group has in common.
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("id").alias(name), F.col("hub").alias(f"hub_{name}"), F.col("n").alias(f"n{name}"), F.col("apart").alias(f"apart_{name}"))
-    both = found.join(side("a"), "a").join(side("b"), "b").where("hub_a = hub_b")
-    differ = F.size("apart_a") + F.size("apart_b") - 2 * F.size(F.array_intersect("apart_a", "apart_b"))
-    return both.where(_enough((F.col("na") + F.col("nb") - differ) / 2, F.col("na"), F.col("nb"), similar, out_of)).select("a", "b")
+    Two sets with differences of d1 and d2, k of them common, link when the sum of their slacks and 2 * k * (similar + out_of) is not negative."""
+    return ((out_of - similar) * n - (similar + out_of) * d).cast("long")
 
 
-def _enough(shared: Column, na: Column, nb: Column, similar: int, out_of: int) -> Column:
-    return (similar + out_of) * shared >= similar * (na + nb)
+def _apart(hubs: DataFrame, classes: DataFrame, similar: int, out_of: int, scratch: Scratch) -> DataFrame:
+    """``id, hub, n, d, slack, n_rows, shared``: the sets of each hub (itself among them, unless it has another), known by what they do not have in common.
 
-
-def _counts(hubs: DataFrame, pairs: DataFrame, classes: DataFrame, similar: int, out_of: int) -> DataFrame:
-    """``id, n_others``: rows of the classes that each class links with, ``pairs (a, b)`` being the links that the sizes of sets of one hub do not tell."""
+    What over half of a hub's sets have takes the hub's place, so that a set's ``d`` differences are what it alone or a minority has or lacks.  ``shared`` are those that other
+    sets of the hub have as well, the rarest first, with the number of sets: those of one set alone come before them and make no list."""
+    roots = hubs.select("hub", "n_hub").distinct().join(hubs.select(F.col("id").alias("hub")), "hub", "left_anti")
+    members = scratch.cut(hubs.select("id", "hub", "n", F.concat("minus", "plus").alias("apart")).union(
+        roots.select(F.col("hub").alias("id"), "hub", F.col("n_hub").alias("n"), F.array().cast("array<long>").alias("apart"))))
+    sizes = members.groupBy("hub").agg(F.count("*").alias("m"))
+    counts = scratch.cut(members.select("hub", F.explode("apart").alias("item")).groupBy("hub", "item").agg(F.count("*").alias("c")).where("c > 1").join(sizes, "hub"))
+    flips = counts.where("2 * c > m").groupBy("hub").agg(F.collect_list("item").alias("flip"))      # at most twice the mean difference
+    turned = F.concat(F.array_except("apart", "flip"), F.array_except("flip", "apart"))
+    sets = scratch.cut(members.join(flips, "hub", "left").select("id", "hub", "n", F.when(F.col("flip").isNull(), F.col("apart")).otherwise(turned).alias("apart")))
+    often = counts.select("hub", "item", F.when(F.expr("2 * c > m"), F.col("m") - F.col("c")).otherwise(F.col("c")).alias("c")).where("c > 1")
+    shared = (sets.select("id", "hub", F.explode("apart").alias("item")).join(often, ["hub", "item"])
+              .groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "item"))).alias("shared")))
     rows = classes.select(F.col("d1").alias("id"), "n_rows")
-    roots = hubs.select("hub", F.col("n_hub").alias("n")).distinct().join(hubs.select(F.col("id").alias("hub")), "hub", "left_anti")
-    sets = hubs.select("id", "hub", "n", (F.size("minus") + F.size("plus")).alias("d")).union(roots.select(F.col("hub").alias("id"), "hub", "n", F.lit(0).alias("d"))).join(rows, "id")
-    cells = sets.groupBy("hub", "n", "d").agg(F.sum("n_rows").alias("n_rows"))
-    others = cells.select("hub", F.col("n").alias("n_2"), F.col("d").alias("d_2"), "n_rows")
-    near = _enough((F.col("n") + F.col("n_2") - F.col("d") - F.col("d_2")) / 2, F.col("n"), F.col("n_2"), similar, out_of)
-    reached = cells.drop("n_rows").join(others, "hub").where(near).groupBy("hub", "n", "d").agg(F.sum("n_rows").alias("reached"))
-    itself = F.when(_enough(F.col("n") - F.col("d"), F.col("n"), F.col("n"), similar, out_of), F.col("n_rows")).otherwise(0)
-    told = sets.join(reached, ["hub", "n", "d"]).select("id", (F.col("reached") - itself).alias("n_others"))
-    ways = pairs.union(pairs.select("b", "a"))
-    found = ways.join(rows.withColumnRenamed("id", "b"), "b").select(F.col("a").alias("id"), F.col("n_rows").alias("n_others"))
-    return told.union(found).groupBy("id").agg(F.sum("n_others").alias("n_others"))
+    d = F.size("apart")
+    return scratch.cut(sets.join(shared, "id", "left").join(rows, "id").select(
+        "id", "hub", "n", d.alias("d"), _slack(F.col("n"), d, similar, out_of).alias("slack"), "n_rows", F.coalesce("shared", F.array().cast("array<struct<c:long,item:long>>")).alias("shared")))
+
+
+def _told_links(sets: DataFrame) -> DataFrame:
+    """``a, b``: links of sets of one hub that their slacks tell, as stars: who links with any links with the set of the greatest slack."""
+    top = sets.groupBy("hub").agg(F.max(F.struct("slack", "id")).alias("top"))
+    return (sets.join(top, "hub").where((F.col("slack") + F.col("top.slack") >= 0) & (F.col("id") != F.col("top.id")))
+            .select(F.col("top.id").alias("a"), F.col("id").alias("b")))
+
+
+def _told_counts(sets: DataFrame) -> DataFrame:
+    """``id, n_others``: rows of the sets of one hub that each links with by their slacks, from sums over the different slacks of a hub."""
+    cells = sets.groupBy("hub", "slack").agg(F.sum("n_rows").alias("n_rows"))
+    line = cells.select("hub", F.col("slack").alias("v"), "n_rows", F.lit(None).cast("long").alias("asks")).union(
+        cells.select("hub", -F.col("slack"), F.lit(0).cast("long"), F.col("slack")))
+    upto = Window.partitionBy("hub").orderBy(F.desc("v"), F.col("asks").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    reached = line.withColumn("reached", F.sum("n_rows").over(upto)).where("asks is not null").select("hub", F.col("asks").alias("slack"), "reached")
+    itself = F.when(F.col("slack") >= 0, F.col("n_rows")).otherwise(0)
+    return sets.join(reached, ["hub", "slack"]).select("id", (F.col("reached") - itself).alias("n_others"))
+
+
+def _within(sets: DataFrame, groups: DataFrame, similar: int, out_of: int, counted: bool) -> DataFrame:
+    """``a, b, n``: what lists of shared differences say of sets of one hub whose slacks do not tell that they link.
+
+    A set is listed under its differences as far as a similar set can first share one with it.  A task compares the entries of a list by their whole differences and takes a
+    pair where its first common difference is.  It returns pairs (``n`` null) that join what it found linked, one fewer than sets at most, and, if ``counted``, for each set
+    the rows of the sets it links with (``b`` null): rows out grow with the entries, however many pairs link.  Otherwise sets of one component are not compared.
+    A long list is dealt out by pairs of parts of ``PART`` sets, so no task holds it whole."""
+    tops = sets.groupBy("hub").agg(F.max("slack").alias("top"))
+    # With what it shares at least with any set that it links with, a set's first common difference is not among its last.
+    least = F.greatest(F.lit(1), F.ceil(-(F.col("slack") + F.col("top")) / F.lit(2.0 * (similar + out_of))))
+    alone = F.col("d") - F.size("shared")
+    listed = F.least(F.floor(F.col("n") * (out_of - similar) / F.lit(similar)) - alone, F.size("shared") - least) + 1
+    ahead = (sets.join(tops, "hub").join(groups, "id", "left").select(
+        "id", "hub", "n", "slack", "n_rows", F.coalesce("component", "id").alias("component"), alone.alias("alone"), F.transform("shared", lambda e: e["item"]).alias("items"),
+        F.slice("shared", F.lit(1), F.greatest(listed, F.lit(0)).cast("int")).alias("front")).where(F.size("front") > 0))
+    each = ahead.select("id", "hub", "n", "slack", "n_rows", "component", "alone", "items", F.posexplode("front").alias("k", "e"))
+    parts = F.ceil(F.col("e.c") / F.lit(float(PART))).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda q: F.struct(F.least("own", q).alias("low"), F.greatest("own", q).alias("high")))
+    dealt = (each.withColumn("own", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("cell", F.explode(cells))
+             .select(F.xxhash64("hub", "e.item", "cell.low", "cell.high").alias("token"), (F.col("alone") + F.col("k")).cast("long").alias("at"), "id", "hub", "n", "slack", "n_rows",
+                     "component", F.when(F.col("cell.low") == F.col("cell.high"), 2).when(F.col("own") == F.col("cell.low"), 0).otherwise(1).cast("long").alias("side"),
+                     F.col("k").cast("long").alias("k"), "items"))
+    names = ["token", "at", "id", "hub", "n", "slack", "n_rows", "component", "side", "k"]
+    ordered = dealt.repartition("token").sortWithinPartitions("token", "at", "id")
+    weight = 2 * (similar + out_of)
+
+    def compare(columns: dict[str, np.ndarray], bounds: np.ndarray, items: np.ndarray) -> Iterator[tuple[list[int], list[int | None], list[int | None]]]:
+        """One list: entries in order of position, with their shared differences."""
+        size, at, side = len(bounds) - 1, columns["at"], columns["side"]
+        if not counted and (columns["component"] == columns["component"][0]).all():
+            return
+        reach = columns["n"] * (out_of - similar) // similar - at
+        sums, part = np.zeros(size, np.int64), list(range(size))
+
+        def root(i: int) -> int:
+            while part[i] != i:
+                part[i] = part[part[i]]
+                i = part[i]
+            return i
+
+        def spots_of(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Row, item and place within the row of all items of some entries, by item."""
+            lengths = bounds[rows + 1] - bounds[rows]
+            owner = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+            place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            mine = items[place + np.repeat(bounds[rows], lengths)]
+            order = np.argsort(mine, kind="stable")
+            return owner[order], mine[order], (place < np.repeat(columns["k"][rows], lengths))[order]
+
+        def together(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """How many items each two entries share, and how many of them stand ahead of the list's own in both; some items at a time."""
+            shared, ahead = np.zeros((2, len(xs), len(ys)), np.float32)
+            (ox, ix, fx), (oy, iy, fy) = spots_of(xs), spots_of(ys)
+            known = np.intersect1d(ix, iy)
+            for at_ in range(0, len(known), ITEMS):
+                now = known[at_:at_ + ITEMS]
+                sides = []
+                for owner, mine, front, size_ in ((ox, ix, fx, len(xs)), (oy, iy, fy, len(ys))):
+                    low, high = np.searchsorted(mine, now[0]), np.searchsorted(mine, now[-1], "right")
+                    to = np.searchsorted(now, mine[low:high])
+                    good = now[to] == mine[low:high]
+                    both = np.zeros((2, size_, len(now)), np.float32)
+                    both[0, owner[low:high][good], to[good]] = 1
+                    both[1, owner[low:high][good], to[good]] = front[low:high][good]
+                    sides.append(both)
+                shared += sides[0][0] @ sides[1][0].T
+                ahead += sides[0][1] @ sides[1][1].T
+            return shared, ahead
+
+        links: list[tuple[int, int]] = []
+        for a in range(0, size, LARGE):
+            xs = np.arange(a, min(a + LARGE, size))
+            end = int(np.searchsorted(at, reach[xs].max(), "right"))
+            for b in range(a, end, STRIP):
+                ys = np.arange(b, min(b + STRIP, end))
+                if not len(ys):
+                    continue
+                open_ = columns["slack"][xs][:, None] + columns["slack"][ys]
+                wanted = ((xs[:, None] < ys) & (open_ < 0) & (at[xs][:, None] + at[ys] <= np.maximum(columns["n"][xs][:, None], columns["n"][ys]) * (out_of - similar) // similar)
+                          & (columns["hub"][xs][:, None] == columns["hub"][ys]) & ((side[xs][:, None] != side[ys]) | (side[xs][:, None] == 2)))
+                if not counted:
+                    wanted &= columns["component"][xs][:, None] != columns["component"][ys]
+                if not wanted.any():
+                    continue
+                shared, ahead = together(xs, ys)
+                good = wanted & (open_ + weight * np.rint(shared).astype(np.int64) >= 0) & (ahead < 0.5)
+                if not good.any():
+                    continue
+                sums[xs] += good @ columns["n_rows"][ys]
+                sums[ys] += columns["n_rows"][xs] @ good
+                rows, others = _same_part(good)
+                ends = np.flatnonzero(others >= 0)
+                for i, j in chain(zip((a + rows).tolist(), xs.tolist()), zip((a + others[ends]).tolist(), ys[ends].tolist())):
+                    one, two = root(i), root(j)
+                    if one != two:
+                        part[max(one, two)] = min(one, two)
+                        links.append((i, j))
+        ids = columns["id"].tolist()
+        if links:
+            yield [ids[i] for i, _ in links], [ids[j] for _, j in links], [None] * len(links)
+        if counted and sums.any():
+            used = np.flatnonzero(sums).tolist()
+            yield [ids[i] for i in used], [None] * len(used), sums[used].tolist()
+
+    def lists_of(table: pa.RecordBatch, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        column = table.column("items")
+        offsets, values = column.offsets.to_numpy(), column.values.to_numpy()
+        whole = {c: table.column(c).to_numpy() for c in names}
+        out: tuple[list, list, list] = ([], [], [])
+        for a, b in zip(cuts, cuts[1:]):
+            if b - a > 1:
+                for found in compare({c: x[a:b] for c, x in whole.items()}, offsets[a:b + 1] - offsets[a], values[offsets[a]:offsets[b]]):
+                    for to, more in zip(out, found):
+                        to += more
+        yield pa.record_batch([pa.array(x, pa.int64()) for x in out], names=["a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.RecordBatch | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            tokens = table.column("token").to_numpy()
+            cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist()]
+            if len(cuts) > 1:
+                yield from lists_of(table, cuts)
+            rest = table.slice(cuts[-1])                             # the last list may go on in the next batch
+        if rest is not None:
+            yield from lists_of(rest, [0, rest.num_rows])
+    return ordered.mapInArrow(run, "a long, b long, n long")
+
+
+def _same_part(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a matrix of links the least row that it is joined to by links; columns without a link have none (-1)."""
+    rows, none = np.arange(len(linked)), len(linked)
+    while True:
+        columns = np.where(linked, rows[:, None], none).min(axis=0)
+        lower = np.minimum(rows, np.where(linked, columns, none).min(axis=1))
+        if (lower == rows).all():
+            return rows, np.where(columns == none, -1, columns)
+        rows = lower
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = SIEVE_BITS) -> DataFrame:
@@ -323,8 +467,9 @@ def _joined(docs: DataFrame, size: int, similar: int, out_of: int, bits: int, co
     groups = scratch.cut(links.select(F.col("a").alias("id"), F.col("b").alias("component")).where("false") if counted else components(links))
 
     # Sets of one hub, by their differences.  Where links are counted each set is taken as a component of its own.
-    within = scratch.cut(_within(hubs, groups, similar, out_of).distinct())
-    links = scratch.cut(links.union(within).distinct())
+    alike = _apart(hubs, classes, similar, out_of, scratch)
+    within = scratch.cut(_within(alike, groups, similar, out_of, counted))
+    links = scratch.cut(links.union(_told_links(alike)).union(within.where("n is null").select("a", "b")).distinct())
     groups = groups if counted else scratch.cut(components(links))
 
     # Sets of different hubs and components: from the answers of the hub of one of them.
@@ -349,7 +494,11 @@ def _joined(docs: DataFrame, size: int, similar: int, out_of: int, bits: int, co
     late = open_.join(side("y"), "y").where(_enough(shared, n_x, F.col("n_y"), similar, out_of)).select(F.col("x").alias("a"), F.col("y").alias("b"))
     late = scratch.cut(late.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     final = components(links.union(late))
-    others = cut_lineage(_counts(hubs, within.union(late), classes, similar, out_of)) if counted else None
+    if counted:
+        rows = classes.select(F.col("d1").alias("b"), "n_rows")
+        others = cut_lineage(_told_counts(alike).union(within.where("n is not null").select(F.col("a").alias("id"), "n"))
+                             .union(late.union(late.select("b", "a")).join(rows, "b").select(F.col("a").alias("id"), "n_rows"))
+                             .groupBy("id").agg(F.sum("n_others").alias("n_others")))
     scratch.empty()
 
     ends = classes.select(F.col("d1").alias("id"), "rep").join(final, "id")
