@@ -34,6 +34,7 @@ SHINGLE, SIMILAR, OUT_OF = 5, 8, 10
 LEVELS = (2, 8, 64, 512)                 # a shingle's rank is the number of these that its count reaches
 MIDDLE = 2                               # shingles that are not counted come behind this rank
 LARGE, BLOCK = 256, 4096                 # entries of a component that is compared on its own; entries compared at once
+BITS = SIEVE_BITS - 1                    # of the largest sieve; a fuller one spares less work and changes no result
 PART, STRIP, ITEMS = 4096, 1024, 512     # sets of a list of differences that one task compares; sets and items at once
 
 
@@ -201,9 +202,19 @@ def _hubs(stars: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, hub, n, n_hub, minus, plus``: the least near set of each set that has one, and what the set lacks of it and has besides.
 
     Where a hub has a hub itself its sets pass to that, their differences being put together, as long as they stay less than half of the set."""
+    # A set that lists compare with two least sets tells how these two differ, so that the sets of one group come to one hub.
+    least = stars.groupBy("b").agg(F.min("a").alias("low"))
+    via = stars.join(least, "b").where("a <> low").groupBy("a").agg(F.min(F.struct("low", "b")).alias("via")).select("a", "via.low", "via.b")
+    lower = stars.select(F.col("a").alias("low"), "b", F.col("na").alias("n_low"), F.col("minus").alias("low_minus"), F.col("plus").alias("low_plus"))
+    told = via.join(stars, ["a", "b"]).join(lower, ["low", "b"]).select(
+        F.col("low").alias("new_a"), F.col("a").alias("new_b"), F.col("n_low").alias("new_na"), F.col("na").alias("new_nb"),
+        F.concat(F.array_except("low_minus", "minus"), F.array_except("plus", "low_plus")).alias("new_minus"),
+        F.concat(F.array_except("low_plus", "plus"), F.array_except("minus", "low_minus")).alias("new_plus"))
+    told = told.where("2 * (size(new_minus) + size(new_plus)) <= new_na + new_nb").select(*[F.col(f"new_{c}").alias(c) for c in ("a", "b", "na", "nb", "minus", "plus")])
+    stars = scratch.cut(stars.select("a", "b", "na", "nb", "minus", "plus").union(told))
     first = stars.groupBy("b").agg(F.min("a").alias("a")).join(stars, ["a", "b"]).dropDuplicates(["b"])
     hubs = first.select(F.col("b").alias("id"), F.col("a").alias("hub"), F.col("nb").alias("n"), F.col("na").alias("n_hub"), "minus", "plus")
-    for _ in range(3):
+    for _ in range(4):
         hubs = scratch.cut(hubs)
         up = hubs.select(F.col("id").alias("hub"), F.col("hub").alias("up"), F.col("n_hub").alias("n_up"), F.col("minus").alias("up_minus"), F.col("plus").alias("up_plus"))
         # What a set lacks of the hub's hub: what the hub lacks of it, unless the set has it besides; and what the set lacks of the hub, unless the hub has it besides.
@@ -410,7 +421,7 @@ def _same_part(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = lower
 
 
-def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = SIEVE_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs (doc_id, text, ...)``.
 
     Words are runs of bytes other than white space, A-Z lower-cased; shingles are ``size`` words; fewer words are one shingle.  Documents link
@@ -419,7 +430,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, similar: int = SIMI
     return _joined(docs, size, similar, out_of, bits, False)
 
 
-def jaccard_links(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = SIEVE_BITS) -> DataFrame:
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, similar: int = SIMILAR, out_of: int = OUT_OF, bits: int = BITS) -> DataFrame:
     """``doc_id, n_shingles, component_id, n_links``: as ``jaccard_components``, with the number of other rows with a doc_id that each row links with.
 
     All links count, those within a component and those with equal sets too; rows that share a doc_id count each, by their own texts."""
