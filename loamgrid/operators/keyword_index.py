@@ -19,6 +19,8 @@ from ..session import cut_lineage, shared_path, shuffle_width, with_once
 from .postings import FIELD_WEIGHTS, query_terms, top_per_query
 
 SHARD_ROWS, BLOCK, QUESTIONS = 20_000, 128, 5_000       # chunks of a shard; chunks of a block; questions that meet a shard at once
+UNITS = 10 ** 9                                         # weights of fields are added as whole numbers of this part, so that equal uses weigh the same in any order
+DIGITS, SLACK = 9, 2e-9                                 # sums that agree in these digits are ties; what sums may differ by and still be ties
 
 
 class Bm25(NamedTuple):
@@ -38,7 +40,7 @@ class KeywordIndex(NamedTuple):
 def term_counts(df: DataFrame, key: str, fields: Mapping[str, float]) -> DataFrame:
     """``key, length, terms``: the different words of a row with the sum of their fields' weights, and the number of uses.  Nothing leaves the row."""
     def weighted(column: str, weight: float) -> Column:
-        return F.transform(tx.words(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(float(weight)).alias("weight")))
+        return F.transform(tx.words(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(round(weight * UNITS)).cast("long").alias("weight")))
     uses = F.array_sort(F.concat(*[weighted(c, w) for c, w in fields.items()]))
     staged = with_once(df.select(key, *[c for c in fields if c != key]), "_uses", uses).select(key, "_uses", F.size("_uses").alias("length"))
 
@@ -49,7 +51,7 @@ def term_counts(df: DataFrame, key: str, fields: Mapping[str, float]) -> DataFra
     staged = with_once(staged, "_starts", starts)
     ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array("length"))
     terms = F.transform(F.arrays_zip(F.col("_starts").alias("a"), F.when(F.size("_starts") > 0, ends).otherwise(F.col("_starts")).alias("b")), lambda r: F.struct(
-        at(r["a"])["term"].alias("term"), F.aggregate(F.slice("_uses", r["a"] + 1, r["b"] - r["a"]), F.lit(0.0), lambda s, u: s + u["weight"]).alias("weight")))
+        at(r["a"])["term"].alias("term"), (F.aggregate(F.slice("_uses", r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), lambda s, u: s + u["weight"]) / F.lit(float(UNITS))).alias("weight")))
     return staged.select(key, "length", terms.alias("terms"))
 
 
@@ -114,8 +116,8 @@ def _best(docs: np.ndarray, weights: np.ndarray, bounds: np.ndarray, tops: np.nd
         done, step = stop, step * 2
         if done < len(tops) and size > k:
             kth = np.partition(total, size - k)[size - k]
-            if kth > rest[done - 1] + 1e-9:
-                open_ = total + rest[done - 1] >= kth - 1e-9
+            if kth > rest[done - 1] + SLACK:
+                open_ = total + rest[done - 1] >= kth - SLACK
                 a = bounds[done]
                 held = open_[docs[a:]]
                 total += np.bincount(docs[a:][held], weights[a:][held], size)
@@ -124,8 +126,8 @@ def _best(docs: np.ndarray, weights: np.ndarray, bounds: np.ndarray, tops: np.nd
     found = np.flatnonzero(total > 0)
     if len(found) > k:
         least = np.partition(total[found], len(found) - k)[len(found) - k]
-        found = found[total[found] >= least - 1e-9]
-    order = np.lexsort((found, -np.round(total[found], 12)))[:k]
+        found = found[total[found] >= least - SLACK]
+    order = np.lexsort((found, -np.round(total[found], DIGITS)))[:k]
     return found[order], total[found[order]]
 
 
@@ -162,7 +164,8 @@ def _search(table: pa.Table, k: int) -> pa.Table:
 
 
 def search_index(index: KeywordIndex, queries: DataFrame, k: int = 40) -> DataFrame:
-    """``query_id, key, score, rank``: each question's ``k`` chunks of the greatest sum of weights of its words, exactly; ties go to the smaller key.
+    """``query_id, key, score, rank``: each question's ``k`` chunks of the greatest sum of weights of its words, exactly; ties (sums alike in ``DIGITS`` digits)
+    go to the smaller key.
 
     Questions meet a shard in lots of about ``QUESTIONS``; a lot's words are joined to the blocks by Spark, so no table passes through the driver."""
     spark = queries.sparkSession
@@ -177,10 +180,10 @@ def search_index(index: KeywordIndex, queries: DataFrame, k: int = 40) -> DataFr
         return _search(table, k)
     found = met.groupBy("rep", "lot").applyInArrow(run, f"query_id {kind}, shard int, no int, score double")
     named = found.join(index.chunks, ["shard", "no"]).select("query_id", index.key, "score")
-    return top_per_query(named, F.round("score", 12), k, key=index.key)
+    return top_per_query(named, F.round("score", DIGITS), k, key=index.key)
 
 
 def keyword_hits(index: KeywordIndex, queries: DataFrame, k: int = 40) -> DataFrame:
     """As ``postings.keyword_topk``, from the index: ``query_id, key, keyword_score, rank`` with the sum squashed to s/(s+1)."""
-    found = search_index(index, queries, k)
+    found = search_index(index, queries, k).withColumn("score", F.round("score", DIGITS))
     return found.select("query_id", index.key, (F.col("score") / (F.col("score") + 1.0)).alias("keyword_score"), "rank")

@@ -101,3 +101,18 @@ def test_english_search(spark):
     asked = spark.createDataFrame([(1, "the fee"), (2, "rule studies"), (3, "the and of"), (4, "STUDENT")], "query_id long, text string")
     index = ki.build_index(docs, fields={"content": 1.0}, english=True)
     assert sorted((r.query_id, r.id) for r in ki.keyword_hits(index, asked).collect()) == [(1, "a"), (1, "b"), (2, "c"), (4, "a"), (4, "b")]
+
+
+def test_equal_sums_are_ties_however_they_come_about(spark):
+    """20,000 uses at 0.2 weigh as much as 4,000 at 1.0; a sum of doubles is off by more than the digits that count."""
+    docs = spark.createDataFrame([("a", "w1 " * 4000, "w2"), ("b", "", "w1 " * 20000 + "w2"), ("c", "w1 " * 2000, "w1 " * 10000 + "w2"), ("d", "w1 " * 4000, "")], "id string, title string, content string")
+    index = ki.build_index(docs, fields=FIELDS, shard_rows=1)
+    asked = spark.createDataFrame([(1, "w1 w2"), (2, "w1")], "query_id long, text string")
+    found = ki.keyword_hits(index, asked, 4).orderBy("query_id", "rank").collect()
+    assert [r.id for r in found] == list("abcd") * 2
+    assert len({r.keyword_score for r in found if r.query_id == 2}) == 1
+
+
+def test_bm25_ties_are_sums_alike_in_nine_digits():
+    nos, scores = ki._best(np.array([1, 0, 2]), np.array([5.0, 5.0 - 2e-11, 4.0]), np.array([0, 3]), np.array([5.0]), np.array([0.0]), 3, 2)
+    assert nos.tolist() == [0, 1] and scores[0] < scores[1]
