@@ -8,7 +8,7 @@ from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -164,39 +164,58 @@ def dedupe_ranked(df: DataFrame, key: str = "query_id", rank: str = "rank", text
 # ---- whole corpus ---------------------------------------------------------------------------------------------
 
 BANDS, ROWS_PER_BAND = 110, 6   # a pair at 0.70 shares no band with probability (1 - 0.7^6)^110, about 1e-6
+SKETCH_DEVIATIONS = 6.5         # so far under its similarity, in standard deviations, a pair's sketches agree with a probability of about 1e-9
+WIDER = 8                       # how many times as many heads a band has in each further round
+LOT_CELLS = 1 << 15             # cells of 4 bytes that the permutations of a text fill at once
 
 
 def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
     n = bands * rows
     rng = np.random.default_rng(20240131)
-    mult = rng.integers(1, 2 ** 63, n, dtype=np.uint64) | np.uint64(1)
-    add = rng.integers(0, 2 ** 63, n, dtype=np.uint64)
+    mult = rng.integers(0, 2 ** 32, (n, 1), dtype=np.uint32) | np.uint32(1)
+    add = rng.integers(0, 2 ** 32, (n, 1), dtype=np.uint32)
 
-    def one(text: str) -> np.ndarray:
+    def one(text: str) -> tuple[int, bytes, np.ndarray]:
         points = np.frombuffer((text or "")[:prefix].lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         count = len(points) - k + 1
         if count < 1:
-            return np.zeros(bands, dtype=np.int64)
+            return 0, bytes(n), np.zeros(bands, dtype=np.int64)
         grams = np.zeros(count, dtype=np.uint64)
         for i in range(k):
             grams = grams * np.uint64(0x9E3779B97F4A7C15) + points[i:i + count]
-        grams = np.unique(grams)
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        grams = (grams ^ (grams >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        # Grams are mixed once, to 32 bits; a permutation of them is then one multiplication and one addition, in lots that stay in a core's cache.
+        mixed = np.unique((grams >> np.uint64(32)).astype(np.uint32))
+        lot = max(1, min(n, LOT_CELLS // len(mixed)))
+        cells = np.empty((lot, len(mixed)), dtype=np.uint32)
         mins = np.empty(n, dtype=np.uint64)
-        for start in range(0, n, 64):
-            mixed = grams[None, :] * mult[start:start + 64, None] + add[start:start + 64, None]
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= np.uint64(0xBF58476D1CE4E5B9)
-            mins[start:start + 64] = (mixed ^ (mixed >> np.uint64(29))).min(axis=1)
+        for start in range(0, n, lot):
+            part = cells[:min(lot, n - start)]
+            np.multiply(mixed, mult[start:start + lot], out=part)
+            part += add[start:start + lot]
+            mins[start:start + lot] = part.min(axis=1)
         banded = mins.reshape(bands, rows)
         out = np.arange(bands, dtype=np.uint64)
         for i in range(rows):
             out = (out ^ banded[:, i]) * np.uint64(0x94D049BB133111EB)
             out ^= out >> np.uint64(32)
-        return out.view(np.int64)
+        return len(mixed), (mins >> np.uint64(12)).astype(np.uint8).tobytes(), out.view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"_id": batch["_id"], "_bands": [one(t) for t in batch["_text"]]})
+            signatures = [one(t) for t in batch["_text"]]
+            yield pd.DataFrame({"_id": batch["_id"], "_size": np.array([s[0] for s in signatures], dtype=np.int32),
+                                "_sketch": [s[1] for s in signatures], "_bands": [s[2] for s in signatures]})
+    return run
+
+
+def _sketch_test(least: float):
+    """Pairs whose sketches agree in at least the share ``least``."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            hits = [(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).mean() >= least for a, b in zip(batch["_sketch"], batch["_head_sketch"])]
+            yield batch.loc[hits, ["_id", "_head"]]
     return run
 
 
@@ -214,9 +233,12 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
     """The ranked-list rule over a whole corpus in id order: ``id, kept_id``; kept rows name themselves.
 
     Equal texts are folded first.  Rows that agree in a band of their min-hash signature may be similar; similarity
-    is then tested exactly.  Rounds: in every band the least undecided row is the head; a head of all its bands has
-    no earlier rival, so it is kept, and all rows of its bands are tested against it.  Each round emits one pair per
-    row and band at most, however large a group of copies is."""
+    is then tested exactly, once per pair, unless their sketches (a byte of each minimum) agree in too few places.
+    Rounds: in every band the least undecided rows are heads, one in the first round and ``WIDER`` times as many in each
+    further one, and all rows of the band are tested against them.  A row that is a head in all its bands has no untested
+    earlier rival: without a similar undecided one it is kept, and rows similar to it are dropped.  The first round
+    empties groups of copies, however large, at one pair per row and band; once all rows are heads, what is left are
+    rounds over similar pairs alone."""
     ids = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     folded = ids.withColumn("_key", F.sha2(F.lower(ids["_text"] if prefix is None else F.left("_text", F.lit(prefix))), 256))
     first = folded.groupBy("_key").agg(F.min("_id").alias("_rep"))
@@ -224,24 +246,44 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
     texts = ids.join(copies.where("_id = _rep").select("_id"), "_id", "left_semi")
 
     id_type = ids.schema["_id"].dataType.simpleString()
-    signed = spread(texts, "_id").mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _bands array<bigint>")
-    members = signed.select("_id", F.explode("_bands").alias("_band"))
+    signed = spread(texts, "_id").mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _size int, _sketch binary, _bands array<bigint>")
+    signed = cut_lineage(signed)
+    members = signed.select("_id", "_size", F.explode("_bands").alias("_band"))
     shared = members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
-    live = cut_lineage(members.join(shared, "_band", "left_semi").select("_id", "_band"))
-    decided = None
-    while not live.isEmpty():
-        heads = live.groupBy("_band").agg(F.min("_id").alias("_head"))
-        placed = live.join(heads, "_band")
-        top = placed.groupBy("_id").agg(F.min(F.col("_head") == F.col("_id")).alias("_top")).where("_top").select("_id")
-        pairs = (placed.where("_head <> _id").select("_id", "_head").distinct()
-                 .join(top.select(F.col("_id").alias("_head")), "_head", "left_semi"))
-        tested = (pairs.join(texts, "_id").join(texts.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")
-                  .select("_id", "_head", "_text", "_head_text")
-                  .mapInPandas(_pair_test(threshold, k, prefix), f"_id {id_type}, _head {id_type}"))
-        dropped = tested.groupBy("_id").agg(F.min("_head").alias("_kept"))
-        now = cut_lineage(top.select("_id", F.col("_id").alias("_kept")).unionByName(dropped))
+    live = cut_lineage(members.join(shared, "_band", "left_semi").select("_id", "_size", "_band"))
+    undecided = live.select("_id").distinct()
+    least = Window.partitionBy("_band").orderBy("_id")
+    width, all_tested, tested, similar, decided = 1, False, None, None, None
+    while not undecided.isEmpty():
+        ready = undecided
+        if not all_tested:
+            placed = cut_lineage(live.withColumn("_place", F.row_number().over(least)).where(F.col("_place") <= width + 1))
+            heads = placed.where(F.col("_place") <= width).select("_band", F.col("_id").alias("_head"), F.col("_size").alias("_head_size"))
+            beyond = placed.where(F.col("_place") > width).select("_band", F.col("_id").alias("_from"))
+            # Gram counts are those of hashed grams, so a pair goes untested only if it is under the bound by more than these may be off.
+            low, high = F.least("_size", "_head_size"), F.greatest("_size", "_head_size")
+            pairs = (live.join(heads, "_band").where((F.col("_head") < F.col("_id")) & (low * 1.001 + 2 >= high * threshold))
+                     .select("_id", "_head").distinct())
+            pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["_id", "_head"], "left_anti"))
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            sketches = signed.select("_id", "_sketch")
+            close = cut_lineage(pairs.join(sketches, "_id").join(sketches.select(F.col("_id").alias("_head"), F.col("_sketch").alias("_head_sketch")), "_head")
+                                .select("_id", "_head", "_sketch", "_head_sketch")
+                                .mapInPandas(_sketch_test(threshold - SKETCH_DEVIATIONS * (threshold * (1 - threshold) / (bands * rows)) ** 0.5), f"_id {id_type}, _head {id_type}"))
+            found = (close.join(texts, "_id").join(texts.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")
+                     .select("_id", "_head", "_text", "_head_text").mapInPandas(_pair_test(threshold, k, prefix), f"_id {id_type}, _head {id_type}"))
+            similar = cut_lineage(found if similar is None else similar.unionByName(found))
+            ready = undecided.join(live.join(beyond, "_band").where("_id >= _from").select("_id"), "_id", "left_anti")
+            all_tested = beyond.isEmpty()
+            width *= WIDER
+        kept = ready.join(similar.select("_id"), "_id", "left_anti")
+        dropped = similar.join(kept.select(F.col("_id").alias("_head")), "_head", "left_semi").groupBy("_id").agg(F.min("_head").alias("_kept"))
+        now = cut_lineage(kept.select("_id", F.col("_id").alias("_kept")).unionByName(dropped))
         decided = now if decided is None else decided.unionByName(now)
-        live = cut_lineage(live.join(now, "_id", "left_anti"))
+        undecided = cut_lineage(undecided.join(now, "_id", "left_anti"))
+        similar = cut_lineage(similar.join(now, "_id", "left_anti").join(now.select(F.col("_id").alias("_head")), "_head", "left_anti"))
+        if not all_tested:
+            live = cut_lineage(live.join(now, "_id", "left_anti"))
     if decided is None:
         return copies.select(F.col("_id").alias(id_col), F.col("_rep").alias("kept_id"))
     return (copies.join(decided.select(F.col("_id").alias("_rep"), "_kept"), "_rep", "left")

@@ -71,6 +71,16 @@ def test_corpus_dedupe_all_distinct(spark):
     assert dd.near_duplicates(df).where("id <> kept_id").count() == 0
 
 
+def test_corpus_dedupe_takes_few_rounds(spark, monkeypatch):
+    """A chain of rows that share bands with their neighbours but are not similar: its length is no number of rounds."""
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:6] for i in range(640)]
+    df = spark.createDataFrame([(i, " ".join(words[10 * i:10 * i + 40])) for i in range(60)], "id int, content string")
+    written, cut = [], dd.cut_lineage
+    monkeypatch.setattr(dd, "cut_lineage", lambda rows: written.append(1) or cut(rows))
+    assert dd.near_duplicates(df).where("id <> kept_id").count() == 0
+    assert len(written) < 40
+
+
 def vectors(spark, seed=1, n=300, q=40, dims=16):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dims)).astype("float32")
