@@ -77,15 +77,13 @@ class _Reader(HTMLParser):
         self._add(None, {}, data)
 
 
-@F.arrow_udf(PAGE)
-def markup_tokens(html: pa.Array) -> pa.Array:
-    """``problem, tokens`` of each page: ``at, end, depth, tag, id, class, role, href, property, content, text`` in document order.
+LOT_PAGES = 64                  # pages whose tokens are Python objects at once
 
-    Elements have a tag and texts a text; ``end`` is the position behind the last token within.  A page that cannot be read has a ``problem`` and no tokens, and the
-    others are not touched by it; a null page has none."""
+
+def _read_lot(sources: pa.Array) -> pa.Array:
     flat: dict[str, list] = {n: [] for n in ("at", "end", "depth", *_STRINGS)}
     bounds, problems = [0], []
-    for source in html.to_pylist():
+    for source in sources.to_pylist():
         reader, problem = _Reader(), None
         try:
             reader.feed(source or "")
@@ -104,6 +102,15 @@ def markup_tokens(html: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(problems, pa.string()), lists], names=["problem", "tokens"])
 
 
+@F.arrow_udf(PAGE)
+def markup_tokens(html: pa.Array) -> pa.Array:
+    """``problem, tokens`` of each page: ``at, end, depth, tag, id, class, role, href, property, content, text`` in document order.
+
+    Elements have a tag and texts a text; ``end`` is the position behind the last token within.  A page that cannot be read has a ``problem`` and no tokens, and the
+    others are not touched by it; a null page has none.  Of a batch, only ``LOT_PAGES`` pages are lists at once; the rest are Arrow columns."""
+    return pa.concat_arrays([_read_lot(html[i:i + LOT_PAGES]) for i in range(0, max(len(html), 1), LOT_PAGES)])
+
+
 def has_class(token: Column, *names: str) -> Column:
     return F.coalesce(token["class"].rlike(r"(^|\s)(" + "|".join(names) + r")(\s|$)"), F.lit(False))
 

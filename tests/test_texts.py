@@ -193,3 +193,15 @@ def test_page_classes(spark):
     assert got == [("faculty", "Faculty", "cs_it"), ("alumni", "Alumni", "general"), ("academic", "Finance", "general"), ("faculty", "Faculty", "pharmacy"),
                    ("general", "General", "general")]
     assert one(spark, rl.namespace_of, "Policy", "policies", None, "CS & IT") == ["policies", "general", "general", "dept-cs"]
+
+
+def test_markup_is_read_in_lots(monkeypatch):
+    """Only a few pages of a batch are Python objects at once; the tokens are the same."""
+    import pyarrow as pa
+
+    from loamgrid.operators import markup as mk
+    lots, read = [], mk._read_lot
+    monkeypatch.setattr(mk, "_read_lot", lambda pages: lots.append(len(pages)) or read(pages))
+    pages = pa.array(["<p class=x>one<li>two", None, ""] * 70)
+    assert mk.markup_tokens.func(pages).equals(read(pages)) and sum(lots) == len(pages) and max(lots) <= mk.LOT_PAGES
+    assert len(mk.markup_tokens.func(pages[:0])) == 0
