@@ -24,15 +24,46 @@ def ascii_words(pattern: str) -> str:
     return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
 
 
+def alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, those within brackets left together."""
+    out, depth, at = [""], 0, 0
+    while at < len(pattern):
+        step = pattern[at:at + 2] if pattern[at] == "\\" else pattern[at]
+        depth += (step in "([") - (step in ")]")
+        if step == "|" and depth == 0:
+            out.append("")
+        else:
+            out[-1] += step
+        at += len(step)
+    return out
+
+
+def needed_words(alternative: str) -> list[str]:
+    """Lower-case strings of which every match of the alternative holds at least one; empty if none can be told.
+
+    Read are letters, digits and blanks, escapes, classes and groups without groups of their own; a group between word
+    borders needs one of its branches, any other group nothing."""
+    if re.search(r"[{}^$]|\(\?|\([^()]*\(", alternative):
+        return []
+    whole = re.fullmatch(r"\\b\(([^()]*)\)\\b", alternative)
+    found = []
+    for branch in whole[1].split("|") if whole else [alternative]:
+        bare = re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?|\\.[?*+]?|.[?*]|[^A-Za-z0-9 ]", "\n", branch)
+        found.append(max(bare.split("\n"), key=len).lower())
+    return found if all(found) else []
+
+
 def matches(low: Column, pattern: str) -> Column:
     """Does the rule's pattern occur in the lower-case text?  Plain words among its alternatives are looked for as
-    substrings, which is many times faster than a regular expression."""
-    if "(" in pattern:
-        return low.rlike("(?i)" + ascii_words(pattern))
-    alternatives = pattern.split("|")
-    plain = [a for a in alternatives if re.fullmatch(r"[A-Za-z0-9 ]+", a)]
-    rest = [a for a in alternatives if a not in plain]
-    tests = [F.contains(low, F.lit(word.lower())) for word in plain]
+    substrings, which is many times faster than a regular expression; others are tried only where words they need occur."""
+    tests, rest = [], []
+    for alternative in alternatives(pattern):
+        words = [alternative.lower()] if re.fullmatch(r"[A-Za-z0-9 ]+", alternative) else needed_words(alternative)
+        if not words:
+            rest.append(alternative)
+            continue
+        held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(word)) for word in words])
+        tests.append(held if words == [alternative.lower()] else held & low.rlike("(?i)" + ascii_words(alternative)))
     if rest:
         tests.append(low.rlike("(?i)" + ascii_words("|".join(rest))))
     return reduce(lambda a, b: a | b, tests)

@@ -205,3 +205,22 @@ def test_markup_is_read_in_lots(monkeypatch):
     pages = pa.array(["<p class=x>one<li>two", None, ""] * 70)
     assert mk.markup_tokens.func(pages).equals(read(pages)) and sum(lots) == len(pages) and max(lots) <= mk.LOT_PAGES
     assert len(mk.markup_tokens.func(pages[:0])) == 0
+
+
+def test_needed_words_of_patterns():
+    """Patterns in brackets are tried only where a word they need occurs (they were tried on every text)."""
+    assert rl.alternatives(r"a(b|c)?d|[|]x|e\|f\(|g") == [r"a(b|c)?d", "[|]x", r"e\|f\(", "g"]
+    assert rl.needed_words(r"\bexam(ination)?s?\b") == ["exam"] and rl.needed_words("re-?checking") == ["checking"]
+    assert rl.needed_words(r"\b(bba|business\s+admin)\b") == ["bba", "business"] and rl.needed_words(r"financial[\s.-]?aid") == ["financial"]
+    assert rl.needed_words("(a|b)") == rl.needed_words("(a(b|c))d") == rl.needed_words("x{0}y") == rl.needed_words(r"\d+") == []
+    assert rl.needed_words("colou?rs") == ["colo"] and rl.needed_words("ab*cde") == ["cde"] and rl.needed_words("abc+d") == ["abc"]
+
+
+def test_matches_equals_the_whole_pattern(spark):
+    import loamgrid.functions.vocabulary as vocabulary
+    texts = ["", "exams are held", "reexamined", "re-checking", "the bba program", "xbba", "it is", "digit", "business  admin", "businessadmin", "financial-aid", "financialaid", "financial  aid",
+             "need based", "pharmd", "d.pharm", "dxpharm", "nursing", "merit \n award", "cost of", "answer\tsheet", "exam_", "éexamé", "mba\n", "news  letter", "code of conduct"]
+    df = spark.createDataFrame([(x,) for x in texts], "low string").coalesce(1)
+    patterns = [r.pattern for r in (*vocabulary.CHUNK_RULES, *vocabulary.PAGE_RULES, *vocabulary.ROUTING_RULES, *vocabulary.PROFILE_DEPARTMENTS)] + [vocabulary.PROFILE_PATTERN]
+    got = df.select(F.array(*[rl.matches(F.col("low"), p) for p in patterns]), F.array(*[F.col("low").rlike("(?i)" + rl.ascii_words(p)) for p in patterns])).collect()
+    assert all(row[0] == row[1] for row in got)
