@@ -46,7 +46,7 @@ def sha256(col: Column) -> Column:
 
 def words(col: Column) -> Column:
     """Lower-case words of letters and digits of any script, in text order, repeats kept."""
-    return F.filter(F.split(F.lower(col), WORD_BREAK), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(col), WORD_BREAK), "")
 
 
 def query_tokens(col: Column, min_length: int = 3) -> Column:

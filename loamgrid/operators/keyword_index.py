@@ -5,20 +5,23 @@ texts again.  The blocks of the words asked for are read where they lie: the tab
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions.english import STOP_WORDS, with_stems
-from ..session import cut_lineage, shared_path, shuffle_width, with_once
+from ..session import cut_lineage, fits_broadcast, shared_path, shuffle_width
 from .postings import FIELD_WEIGHTS, query_terms, top_per_query
 
 SHARD_ROWS, BLOCK, QUESTIONS = 20_000, 128, 5_000       # chunks of a shard; chunks of a block; questions that meet a shard at once
+SHARD_WORDS, LOT_WORDS = 200, 1_000_000                 # different words of a chunk above which shards hold fewer chunks; words counted at once
+ASKED = 500_000                                         # words of questions (some 30 MB) that every task may be given
 UNITS = 10 ** 9                                         # weights of fields are added as whole numbers of this part, so that equal uses weigh the same in any order
 DIGITS, SLACK = 9, 2e-9                                 # sums that agree in these digits are ties; what sums may differ by and still be ties
 
@@ -37,22 +40,67 @@ class KeywordIndex(NamedTuple):
     english: bool
 
 
+def _counted(batch: pa.RecordBatch, units: Mapping[str, int]) -> pa.RecordBatch:
+    """``length, terms`` beside the first column: the different words of each row, from one list of words per field."""
+    rows, words, edges = [], [], [0]
+    for field in units:
+        lists = batch[field]
+        rows.append(np.repeat(np.arange(len(batch)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
+        words.append(lists.flatten())
+        edges.append(edges[-1] + len(words[-1]))
+    coded = pa.concat_arrays(words).dictionary_encode()
+    known = max(1, len(coded.dictionary))
+    row = np.concatenate(rows)
+    places, which = np.unique(row * known + coded.indices.to_numpy(), return_inverse=True)
+    weights = np.zeros(len(places), dtype=np.int64)
+    for unit, a, b in zip(units.values(), edges, edges[1:]):
+        weights += np.bincount(which[a:b], minlength=len(places)) * unit
+    terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(places % known)), pa.array(weights / UNITS)], ["term", "weight"])
+    bounds = np.searchsorted(places, np.arange(len(batch) + 1) * known).astype(np.int32)
+    return pa.RecordBatch.from_arrays([batch[0], pa.array(np.bincount(row, minlength=len(batch)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), terms)],
+                                      [batch.schema.names[0], "length", "terms"])
+
+
 def term_counts(df: DataFrame, key: str, fields: Mapping[str, float]) -> DataFrame:
-    """``key, length, terms``: the different words of a row with the sum of their fields' weights, and the number of uses.  Nothing leaves the row."""
-    def weighted(column: str, weight: float) -> Column:
-        return F.transform(tx.words(F.coalesce(F.col(column), F.lit(""))), lambda w: F.struct(w.alias("term"), F.lit(round(weight * UNITS)).cast("long").alias("weight")))
-    uses = F.array_sort(F.concat(*[weighted(c, w) for c, w in fields.items()]))
-    staged = with_once(df.select(key, *[c for c in fields if c != key]), "_uses", uses).select(key, "_uses", F.size("_uses").alias("length"))
-
-    def at(i: Column) -> Column:
-        return F.get(F.col("_uses"), i)
-    starts = F.when(F.col("length") > 0, F.filter(F.sequence(F.lit(0), F.greatest(F.col("length") - 1, F.lit(0))), lambda i: (i == 0) | (at(i)["term"] != at(i - 1)["term"]))
-                    ).otherwise(F.array().cast("array<int>"))
-    staged = with_once(staged, "_starts", starts)
-    ends = F.concat(F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))), F.array("length"))
-    terms = F.transform(F.arrays_zip(F.col("_starts").alias("a"), F.when(F.size("_starts") > 0, ends).otherwise(F.col("_starts")).alias("b")), lambda r: F.struct(
-        at(r["a"])["term"].alias("term"), (F.aggregate(F.slice("_uses", r["a"] + 1, r["b"] - r["a"]), F.lit(0).cast("long"), lambda s, u: s + u["weight"]) / F.lit(float(UNITS))).alias("weight")))
-    return staged.select(key, "length", terms.alias("terms"))
+    """``key, length, terms``: the different words of a row with the sum of their fields' weights, and the number of uses.  Nothing leaves the row.
+
+    Words are counted in lots of rows that have about ``LOT_WORDS`` words."""
+    names = [f"_{i}" for i in range(len(fields))]
+    units = {name: round(weight * UNITS) for name, weight in zip(names, fields.values())}
+    listed = df.select(key, *[tx.words(F.coalesce(F.col(c), F.lit(""))).alias(name) for name, c in zip(names, fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            upto = np.cumsum(sum(batch[name].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for name in names))
+            start = 0
+            while start < len(batch):
+                stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + LOT_WORDS, "right")))
+                yield _counted(batch.slice(start, stop - start), units)
+                start = stop
+    return listed.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, length int, terms array<struct<term: string, weight: double>>")
+
+
+def _shard_blocks(table: pa.Table, key: str, block: int, scoring: Bm25 | None, mean: float) -> pa.Table:
+    """The blocks of one shard, whose chunks are numbered by key."""
+    numbers = np.empty(len(table), dtype=np.int32)
+    numbers[pc.sort_indices(table[key]).to_numpy()] = np.arange(len(table), dtype=np.int32)
+    lists = table["terms"].combine_chunks()
+    sizes, flat = lists.value_lengths().to_numpy(), lists.flatten()
+    nos, weights = np.repeat(numbers, sizes), flat.field("weight").to_numpy()
+    if scoring:
+        k1, b = scoring
+        weights = weights * (k1 + 1.0) / (weights + k1 * ((1.0 - b) + b * np.repeat(table["length"].to_numpy(), sizes) / mean))
+    coded = flat.field("term").dictionary_encode()
+    codes = coded.indices.to_numpy()
+    order = np.lexsort((nos, -weights, codes))
+    codes, nos, weights = codes[order], nos[order], weights[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(first, np.diff(np.append(first, len(codes))))
+    starts = np.flatnonzero(place % block == 0)
+    bounds = pa.array(np.append(starts, len(codes)).astype(np.int32))
+    return pa.table({"shard": pa.repeat(table["shard"][0], len(starts)), "rep": pa.repeat(table["rep"][0], len(starts)), "term": coded.dictionary.take(pa.array(codes[starts])),
+                     "block": pa.array((place[starts] // block).astype(np.int32)), "top": pa.array(weights[starts]),
+                     "nos": pa.ListArray.from_arrays(bounds, pa.array(nos)), "weights": pa.ListArray.from_arrays(bounds, pa.array(weights))})
 
 
 def build_index(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FIELD_WEIGHTS, hashed: str | None = None, scoring: Bm25 | None = None,
@@ -62,33 +110,30 @@ def build_index(df: DataFrame, key: str = "id", fields: Mapping[str, float] = FI
     With ``english`` stop words are not searchable, and a word asks for all words of its stem; stems are made once per different word, not per use.
 
     A word weighs the sum of its fields' weights over its uses or, with ``scoring``, what Okapi BM25 gives its uses (``factor`` being its rarity).  Of the texts only counts per word are
-    shuffled, once to their shards.  A shard's lists are ordered by weight; its chunks are numbered by key, so that ties go to the smaller key."""
+    shuffled, once to their shards, which are made into blocks and written there.  A shard holds about ``shard_rows`` chunks, and fewer if these have many different words.  Its lists
+    are ordered by weight; its chunks are numbered by key, so that ties go to the smaller key."""
     spark = df.sparkSession
     rows = df if hashed is None else df.where(F.col(hashed).isNotNull())
-    shards = max(shuffle_width(df), -(-rows.select(key).count() // shard_rows))
-    in_shard = Window.partitionBy("shard").orderBy(key)
-    counted = (term_counts(rows, key, fields).withColumn("shard", F.pmod(F.hash(key), F.lit(shards))).repartition(shards, "shard")
-               .withColumns({"no": F.row_number().over(in_shard) - 1, "rep": F.first(key).over(in_shard)}))
-    counted = cut_lineage(counted)
-    facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    counted = cut_lineage(term_counts(rows, key, fields))
+    facts = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), F.sum(F.size("terms")).alias("uses")).first()
     n, mean = facts["n"], facts["mean"] or 1.0
+    shards = max(shuffle_width(df), -(-n // shard_rows), -(-(facts["uses"] or 0) // (SHARD_ROWS * SHARD_WORDS)))
+    counted = counted.withColumn("shard", F.pmod(F.hash(key), F.lit(shards)))
+    chunks = cut_lineage(counted.select("shard", (F.row_number().over(Window.partitionBy("shard").orderBy(key)) - 1).alias("no"), key))
     terms = counted.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("chunks"))
     rarity = F.ln(F.lit(1.0) + (n - F.col("chunks") + 0.5) / (F.col("chunks") + 0.5)) if scoring else F.lit(1.0)
     terms = terms.withColumn("factor", rarity)
     terms = cut_lineage(with_stems(terms.where(~F.col("term").isin(*STOP_WORDS)), "term", "stem") if english else terms)
 
-    weight = F.col("t.weight")
-    if scoring:
-        k1, b = scoring
-        weight = weight * (k1 + 1.0) / (weight + k1 * (F.lit(1.0 - b) + F.lit(b) * F.col("length") / mean))
-    posted = counted.select("shard", "rep", "no", "length", F.explode("terms").alias("t")).select("shard", "rep", "no", F.col("t.term").alias("term"), weight.alias("weight"))
-    place = F.row_number().over(Window.partitionBy("shard", "term").orderBy(F.desc("weight"), "no")) - 1
-    hits = F.array_sort(F.collect_list(F.struct("no", "weight")))
-    blocks = (posted.withColumn("block", F.floor(place / block).cast("int")).groupBy("shard", "rep", "term", "block").agg(F.max("weight").alias("top"), hits.alias("_hits"))
-              .select("shard", "rep", "term", "block", "top", F.col("_hits.no").alias("nos"), F.col("_hits.weight").alias("weights")))
+    def run(table: pa.Table) -> pa.Table:
+        return _shard_blocks(table, key, block, scoring, mean)
+    kind = df.schema[key].dataType.simpleString()
+    reps = F.broadcast(chunks.where("no = 0").select("shard", F.col(key).alias("rep")))                  # one row per shard; its hash is the shard's number
+    blocks = (counted.join(reps, "shard").repartition(shards, "rep").groupBy("rep")
+              .applyInArrow(run, f"shard int, rep {kind}, term string, block int, top double, nos array<int>, weights array<double>"))
     name = f"keyword_blocks_{uuid.uuid4().hex}"
-    blocks.repartition(shards, "rep").write.bucketBy(shards, "rep").sortBy("rep", "term", "block").option("path", shared_path(spark, name)).saveAsTable(name)
-    return KeywordIndex(cut_lineage(counted.select("shard", "no", key)), terms, name, key, english)
+    blocks.write.bucketBy(shards, "rep").sortBy("rep", "term", "block").option("path", shared_path(spark, name)).saveAsTable(name)
+    return KeywordIndex(chunks, terms, name, key, english)
 
 
 def asked_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
@@ -171,8 +216,10 @@ def search_index(index: KeywordIndex, queries: DataFrame, k: int = 40) -> DataFr
     spark = queries.sparkSession
     asked = asked_terms(index, queries)
     lots = max(1, -(-queries.select("query_id").count() // QUESTIONS))
-    per_term = (asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")).groupBy("term", "lot")
-                .agg(F.collect_list(F.struct("query_id", "factor")).alias("asked")))
+    asked = cut_lineage(asked.withColumn("lot", F.pmod(F.xxhash64("query_id"), F.lit(lots)).cast("int")))
+    per_term = asked.groupBy("term", "lot").agg(F.collect_list(F.struct("query_id", "factor")).alias("asked"))
+    if fits_broadcast(asked, ASKED):
+        per_term = F.broadcast(per_term)                     # the blocks stay where they lie
     met = spark.table(index.blocks).join(per_term, "term").select("shard", "rep", "lot", "term", "block", "top", "nos", "weights", F.when(F.col("block") == 0, F.col("asked")).alias("asked"))
     kind = queries.schema["query_id"].dataType.simpleString()
 

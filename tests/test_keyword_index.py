@@ -116,3 +116,13 @@ def test_equal_sums_are_ties_however_they_come_about(spark):
 def test_bm25_ties_are_sums_alike_in_nine_digits():
     nos, scores = ki._best(np.array([1, 0, 2]), np.array([5.0, 5.0 - 2e-11, 4.0]), np.array([0, 3]), np.array([5.0]), np.array([0.0]), 3, 2)
     assert nos.tolist() == [0, 1] and scores[0] < scores[1]
+
+
+def test_blocks_asked_for_are_read_where_they_lie(docs, questions, monkeypatch):
+    """The blocks of an index are as large as its texts: a search for few words does not deal them out again, whatever lots words are counted in."""
+    monkeypatch.setattr(ki, "LOT_WORDS", 50)
+    index = ki.build_index(docs, fields=FIELDS, shard_rows=100)
+    found = ki.keyword_hits(index, questions, 7)
+    plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" not in plan.split("keyword_blocks_")[0] and "hashpartitioning(rep" not in plan
+    assert ranked(found.collect(), "keyword_score") == ranked(ps.keyword_topk(questions, ps.term_uses(docs, fields=FIELDS), 7).collect(), "keyword_score")
