@@ -7,7 +7,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocabulary import BOILERPLATE_PATTERNS, STOP_WORDS
+from .vocabulary import BOILERPLATE_PATTERNS
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -112,11 +112,9 @@ def slug(col: Column, max_length: int = 40) -> Column:
     return F.left(dashed, F.lit(max_length))
 
 
-def keyword_words(col: Column) -> Column:
-    """Candidate keyword tokens in text order: ASCII, over three characters, no stop word, not a bare number."""
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    raw = F.split(F.regexp_replace(F.lower(col), r"[^a-z0-9 \t\n\r\f-]", " "), r"[ \t\n\r\f]+")
-    return F.filter(raw, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w) & ~w.rlike(r"^[0-9]+$"))
+def ascii_words(col: Column) -> Column:
+    """Lower-case runs of ASCII letters, digits and dashes in text order; what is no such character separates."""
+    return F.split(F.regexp_replace(F.lower(col), r"[^a-z0-9 \t\n\r\f-]", " "), r"[ \t\n\r\f]+")
 
 
 def title_words(col: Column) -> Column:

@@ -1,11 +1,15 @@
 """Text to chunks.  A document never leaves its row until the chunks are final, so nothing shuffles."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage, spread
+from ..functions.vocabulary import STOP_WORDS
+from ..session import cut_lineage
 from .ordered import running_sum
 
 # Sizes in characters, and the mark of carried-over text.
@@ -153,29 +157,61 @@ def chunk_paged_documents(df: DataFrame, doc: str = "doc_id", page: str = "page_
                     F.col("_total").alias("total_chunks"), "section", "content"))
 
 
-def keywords(df: DataFrame, key: str = "id", text: str = "content", n: int = 8) -> DataFrame:
-    """Top ``n`` keywords per row: ``key, rank, keyword, weight``.
+LOT_WORDS = 1_000_000                # words ranked at once
+
+
+def _ranked_keywords(lists: pa.ListArray, n: int) -> pa.ListArray:
+    """The ``n`` best of each list of words, which are words and pairs of neighbours among those that can be keywords."""
+    coded = lists.flatten().dictionary_encode()
+    known, sizes = coded.dictionary, pc.utf8_length(coded.dictionary).to_numpy().astype(np.int64)
+    number = pc.match_substring_regex(known, "^[0-9]+$").to_numpy(zero_copy_only=False)
+    good = (sizes > 3) & ~number & ~pc.is_in(known, pa.array(list(STOP_WORDS), pa.string())).to_numpy(zero_copy_only=False)
+    codes = coded.indices.to_numpy().astype(np.int64)
+    kept = good[codes]
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[kept]
+    codes = codes[kept]
+    both = sizes[codes[:-1]] + 1 + sizes[codes[1:]]
+    at = np.flatnonzero((rows[:-1] == rows[1:]) & (both > 8) & (both < 40))
+    width = max(1, len(known))
+    _, first, uses = np.unique(rows * width + codes, return_index=True, return_counts=True)
+    _, opening, pair_uses = np.unique((rows[at] * width + codes[at]) * width + codes[at + 1], return_index=True, return_counts=True)
+    firsts, pair = np.concatenate([first, at[opening]]), np.repeat([0, 1], [len(first), len(opening)])
+    halves, count = np.concatenate([2 * uses, 3 * pair_uses]), len(codes) + 1          # weights in halves: 1 and 1.5 a use
+    order = np.lexsort(((-2 * halves + pair) * count + firsts, rows[firsts]))
+    row = rows[firsts][order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    chosen, row, place = order[place < n], row[place < n], place[place < n]
+    words = known.take(pa.array(codes[firsts[chosen]]))
+    following = known.take(pa.array(codes[np.minimum(firsts[chosen] + 1, max(0, len(codes) - 1))]))
+    shown = pc.if_else(pa.array(pair[chosen] == 1), pc.binary_join_element_wise(words, following, " "), words)
+    entries = pa.StructArray.from_arrays([pa.array((place + 1).astype(np.int32)), shown, pa.array(halves[chosen] / 2.0)], ["rank", "keyword", "weight"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(lists) + 1)).astype(np.int32)), entries)
+
+
+def ranked_keywords(text: Column, n: int = 8) -> Column:
+    """The top ``n`` keywords of a text as ``array<struct<rank, keyword, weight>>``, found inside the row.
 
     A word counts 1 per use, a pair of neighbouring words of 9 to 39 characters 1.5.  Ties go to words before
-    pairs, then to the first use.  Rows are spread by key once; counting and ranking need no further shuffle."""
-    # Neighbours are joined inside the row, so an exploded use carries two strings, not the array
-    pairs = F.transform("_w", lambda w, i: F.struct(w.alias("word"), F.concat_ws(" ", w, F.get("_w", i + 1)).alias("pair"),
-                                                    (i + 1 < F.size("_w")).alias("has_next")))
-    tokens = (spread(df.select(key, text), key).withColumn("_w", tx.keyword_words(F.col(text)))
-              .select(key, F.posexplode_outer(pairs).alias("_i", "_u")).where(F.col("_u").isNotNull()))
-    uses = tokens.select(key, "_i", F.explode(F.array(
-        F.struct(F.col("_u.word").alias("t"), F.lit(0).alias("pair"), F.lit(1.0).alias("weight")),
-        F.struct(F.col("_u.pair").alias("t"), F.lit(1).alias("pair"), F.lit(1.5).alias("weight")))).alias("u"), "_u.has_next")
-    valid = (F.col("u.pair") == 0) | (F.col("has_next") & (F.length("u.t") > 8) & (F.length("u.t") < 40))
-    scored = (uses.where(valid).groupBy(key, F.col("u.t").alias("keyword"), F.col("u.pair").alias("_pair"))
-              .agg(F.sum("u.weight").alias("weight"), F.min("_i").alias("_first")))
-    ranked = Window.partitionBy(key).orderBy(F.desc("weight"), "_pair", "_first")
-    return (scored.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= n)
-            .select(key, "rank", "keyword", "weight"))
-
-
-def keyword_lists(df: DataFrame, key: str = "id", text: str = "content", n: int = 8) -> DataFrame:
-    """``key, keywords`` with the list in rank order; rows without any keyword are absent."""
-    return (keywords(df, key, text, n).groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "keyword"))).alias("_k"))
-            .select(key, F.col("_k.keyword").alias("keywords")))
+    pairs, then to the first use.  Words are ranked in lots of texts that have about ``LOT_WORDS`` words."""
+    lot = LOT_WORDS
+
+    @F.arrow_udf("array<struct<rank: int, keyword: string, weight: double>>")
+    def ranked(lists: pa.Array) -> pa.Array:
+        upto, out, start = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), [], 0
+        while start < len(lists):
+            stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + lot, "right")))
+            out.append(_ranked_keywords(lists.slice(start, stop - start), n))
+            start = stop
+        return pa.concat_arrays(out) if out else _ranked_keywords(lists, n)
+    return ranked(tx.ascii_words(text))
+
+
+def keywords(df: DataFrame, key: str = "id", text: str = "content", n: int = 8) -> DataFrame:
+    """Top ``n`` keywords per row: ``key, rank, keyword, weight``; nothing is shuffled."""
+    return (df.select(key, ranked_keywords(F.col(text), n).alias("_k")).select(key, F.explode_outer("_k").alias("_u")).where(F.col("_u").isNotNull())
+            .select(key, "_u.rank", "_u.keyword", "_u.weight"))
+
+
+def with_keywords(df: DataFrame, text: str = "content", out: str = "keywords", n: int = 8) -> DataFrame:
+    """Add the list of keywords in rank order, null without any."""
+    return df.withColumn("_k", ranked_keywords(F.col(text), n)).withColumn(out, F.when(F.size("_k") > 0, F.col("_k.keyword"))).drop("_k")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.vocabulary import CHUNK_RULES, NAMESPACE_RULES, PAGE_RULES, Rule
 from ..operators.analytics import ingest_summary
-from ..operators.chunking import chunk_paged_documents, keyword_lists, semantic_chunks
+from ..operators.chunking import chunk_paged_documents, semantic_chunks, with_keywords as add_keywords
 from ..operators.dedupe import drop_near_duplicate_pages, new_content_only
 from ..operators.html import extract_by_kind
 from ..operators.rules import classify_chunk, classify_page, namespace_of
@@ -23,7 +23,7 @@ def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequenc
     """Accepted, distinct, classified pages as chunk rows ready for the upsert.
 
     ``pages``: page_id, url, html and, where documents are fetched too, the column ``text`` with what they say (null for pages).  Personal pages are read as profiles.  The
-    columns ``carried`` go with the chunks.  All steps are row-local but the fingerprint and the keyword count."""
+    columns ``carried`` go with the chunks.  All steps are row-local but the fingerprint."""
     read = extract_by_kind(pages.select("page_id", "url", "html", *([text] if text else []), *carried), text=text, site_suffix=site_suffix)
     shown = F.when(F.col("kind") != "document", F.col("html")) if text else F.col("html")
     least = F.when(F.col("kind") == "document", F.lit(0)).otherwise(F.lit(MIN_HTML))
@@ -40,10 +40,7 @@ def page_chunks(pages: DataFrame, site_suffix: str | None = None, rules: Sequenc
     rows = chunks.withColumnsRenamed({"section": "section_heading"}).withColumns({
         "source_type": F.lit("webpage"), "content_hash": tx.sha256(F.col("content")),
         "title": F.concat("page_title", F.lit(" ["), (F.col("chunk_index") + 1).cast("string"), F.lit("/"), F.col("total_chunks").cast("string"), F.lit("]"))})
-    if not with_keywords:
-        return rows
-    keyed = rows.withColumn("_key", F.concat_ws("#", "parent_page_id", "chunk_index"))
-    return keyed.join(keyword_lists(keyed, "_key"), "_key", "left").drop("_key")
+    return add_keywords(rows) if with_keywords else rows
 
 
 def document_chunks(pages_of_documents: DataFrame, stored: DataFrame, rules: Sequence[Rule] = CHUNK_RULES) -> tuple[DataFrame, DataFrame]:

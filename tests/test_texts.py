@@ -224,3 +224,28 @@ def test_matches_equals_the_whole_pattern(spark):
     patterns = [r.pattern for r in (*vocabulary.CHUNK_RULES, *vocabulary.PAGE_RULES, *vocabulary.ROUTING_RULES, *vocabulary.PROFILE_DEPARTMENTS)] + [vocabulary.PROFILE_PATTERN]
     got = df.select(F.array(*[rl.matches(F.col("low"), p) for p in patterns]), F.array(*[F.col("low").rlike("(?i)" + rl.ascii_words(p)) for p in patterns])).collect()
     assert all(row[0] == row[1] for row in got)
+
+
+def test_keywords_stay_in_the_row(spark, monkeypatch):
+    """Ranks by weight, words before pairs, then first use; no text is shuffled, and lots of texts change nothing."""
+    from loamgrid.operators import chunking as ch
+    texts = [(1, "Tuition fees and tuition waiver 2024: tuition-fees"), (2, None), (3, ""), (4, "the and 12345 abc"), (5, "exam results exam results"), (6, "solo"), (7, "x" * 20 + " " + "y" * 20)]
+    df = spark.createDataFrame(texts, "id long, content string")
+    want = {(1, 1, "tuition", 2.0), (1, 2, "tuition fees", 1.5), (1, 3, "fees tuition", 1.5), (1, 4, "tuition waiver", 1.5), (1, 5, "waiver tuition-fees", 1.5), (1, 6, "fees", 1.0),
+            (1, 7, "waiver", 1.0), (1, 8, "tuition-fees", 1.0), (5, 1, "exam results", 3.0), (5, 2, "exam", 2.0), (5, 3, "results", 2.0), (5, 4, "results exam", 1.5), (6, 1, "solo", 1.0),
+            (7, 1, "x" * 20, 1.0), (7, 2, "y" * 20, 1.0)}
+    for lot in (1, 4, 1_000_000):
+        monkeypatch.setattr(ch, "LOT_WORDS", lot)
+        found = ch.keywords(df)
+        assert {tuple(r) for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    lists = {r.id: r.keywords for r in ch.with_keywords(df).collect()}
+    assert lists[2] is lists[3] is lists[4] is None and lists[5] == ["exam results", "exam", "results", "results exam"] and ch.keywords(df.where("id < 0")).count() == 0
+
+
+def test_page_chunks_read_each_page_once(spark):
+    """The markup is read by one Python step: chunks are not made a second time for their keywords."""
+    from loamgrid.plans.ingest import page_chunks
+    pages = spark.createDataFrame([(1, "https://a.org/x", "<html></html>")], "page_id long, url string, html string")
+    plan = page_chunks(pages, drop_repeats=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapIn") + plan.count("LogicalRDD") <= 2 and "Join" not in plan
