@@ -21,7 +21,7 @@ def answer_context(queries: DataFrame, chunks: DataFrame, as_of: datetime, vecto
     ``queries``: query_id, text.  ``chunks``: the chunk table with ``keywords``.  ``index``: its stored keyword index, made here if there is none."""
     index = index or build_index(chunks)
     if vectors is None:
-        vectors = embed_text(chunks.select("id", "namespace", "content"), "content", dims).select("id", "namespace", "embedding")
+        vectors = cut_lineage(embed_text(chunks.select("id", "namespace", "content"), "content", dims).select("id", "namespace", "embedding"))     # every stage reads them
     rows, outcome = retrieve_staged(queries, chunks, vectors, index, paraphrases, dims=dims)
     rows = cut_lineage(rows)
     asked = queries.select("query_id", F.col("text").alias("query_text"), ms.result_size(F.col("text")).alias("_n"))

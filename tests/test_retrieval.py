@@ -3,6 +3,7 @@ import hashlib
 from datetime import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loamgrid.operators import context as cx
@@ -213,3 +214,20 @@ def test_staged_retrieval(spark):
     for q in {r.query_id for r in listed}:
         mine = [r for r in listed if r.query_id == q]
         assert len({r.id for r in mine}) == len(mine) and sorted(r["rank"] for r in mine) == list(range(1, len(mine) + 1))
+
+
+def test_chunks_are_embedded_once(spark, monkeypatch):
+    """The stages of a search read stored vectors; they do not embed the texts of all chunks again."""
+    from loamgrid.plans import answer
+
+    class Seen(Exception):
+        pass
+
+    def staged(queries, chunks, vectors, *rest, **options):
+        raise Seen(vectors)
+    monkeypatch.setattr(answer, "retrieve_staged", staged)
+    chunks = spark.createDataFrame([("a", "n", "some words"), ("b", "n", "")], "id string, namespace string, content string")
+    with pytest.raises(Seen) as seen:
+        answer.answer_context(spark.createDataFrame([(1, "words")], "query_id long, text string"), chunks, datetime(2024, 1, 31), index=object())
+    vectors = seen.value.args[0]
+    assert "UDF" not in vectors._jdf.queryExecution().optimizedPlan().toString() and [r.id for r in vectors.collect()] == ["a"]
