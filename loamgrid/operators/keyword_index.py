@@ -41,10 +41,11 @@ class KeywordIndex(NamedTuple):
 
 
 def _counted(batch: pa.RecordBatch, units: Mapping[str, int]) -> pa.RecordBatch:
-    """``length, terms`` beside the first column: the different words of each row, from one list of words per field."""
-    rows, words, edges = [], [], [0]
+    """``length, terms`` beside the first column: the different words of each row, from one list of words per field; a row without any list has no length."""
+    rows, words, edges, missing = [], [], [0], True
     for field in units:
         lists = batch[field]
+        missing = missing & lists.is_null().to_numpy(zero_copy_only=False)
         rows.append(np.repeat(np.arange(len(batch)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))
         words.append(lists.flatten())
         edges.append(edges[-1] + len(words[-1]))
@@ -57,17 +58,17 @@ def _counted(batch: pa.RecordBatch, units: Mapping[str, int]) -> pa.RecordBatch:
         weights += np.bincount(which[a:b], minlength=len(places)) * unit
     terms = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(places % known)), pa.array(weights / UNITS)], ["term", "weight"])
     bounds = np.searchsorted(places, np.arange(len(batch) + 1) * known).astype(np.int32)
-    return pa.RecordBatch.from_arrays([batch[0], pa.array(np.bincount(row, minlength=len(batch)).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds), terms)],
+    return pa.RecordBatch.from_arrays([batch[0], pa.array(np.bincount(row, minlength=len(batch)).astype(np.int32), mask=missing), pa.ListArray.from_arrays(pa.array(bounds), terms)],
                                       [batch.schema.names[0], "length", "terms"])
 
 
 def term_counts(df: DataFrame, key: str, fields: Mapping[str, float]) -> DataFrame:
-    """``key, length, terms``: the different words of a row with the sum of their fields' weights, and the number of uses.  Nothing leaves the row.
+    """``key, length, terms``: the different words of a row with the sum of their fields' weights, and the number of uses (null if all fields are).  Nothing leaves the row.
 
     Words are counted in lots of rows that have about ``LOT_WORDS`` words."""
     names = [f"_{i}" for i in range(len(fields))]
     units = {name: round(weight * UNITS) for name, weight in zip(names, fields.values())}
-    listed = df.select(key, *[tx.words(F.coalesce(F.col(c), F.lit(""))).alias(name) for name, c in zip(names, fields)])
+    listed = df.select(key, *[tx.words(F.col(c)).alias(name) for name, c in zip(names, fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +150,12 @@ def asked_terms(index: KeywordIndex, queries: DataFrame) -> DataFrame:
 def _best(docs: np.ndarray, weights: np.ndarray, bounds: np.ndarray, tops: np.ndarray, following: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Chunks of the k greatest sums, ties to the smaller number.  Blocks come by falling ``tops``; ``following`` is the top of the next block of the same term.
 
-    When what is left of the terms cannot lift a new chunk over the k-th sum so far, chunks that cannot reach it go out, and further blocks only add to the others."""
+    When what is left of the terms cannot lift a new chunk over the k-th sum so far, chunks that cannot reach it go out, and further blocks only add to the others.
+    The sums that are returned are added in the order of the weights, so that chunks of the same weights have the same sum, whatever blocks these lie in."""
     total = np.zeros(size)
     firsts = tops.sum() - following.sum()                    # what a chunk that no block has held yet can have at most
     rest = firsts + np.cumsum(following - tops)
+    slack = SLACK + 2 * len(tops) * np.spacing(tops.sum())   # with what ``rest`` may be off by
     done, step = 0, 16
     while done < len(tops):
         stop = min(len(tops), done + step)
@@ -161,8 +164,8 @@ def _best(docs: np.ndarray, weights: np.ndarray, bounds: np.ndarray, tops: np.nd
         done, step = stop, step * 2
         if done < len(tops) and size > k:
             kth = np.partition(total, size - k)[size - k]
-            if kth > rest[done - 1] + SLACK:
-                open_ = total + rest[done - 1] >= kth - SLACK
+            if kth > rest[done - 1] + slack:
+                open_ = total + rest[done - 1] >= kth - slack
                 a = bounds[done]
                 held = open_[docs[a:]]
                 total += np.bincount(docs[a:][held], weights[a:][held], size)
@@ -171,9 +174,14 @@ def _best(docs: np.ndarray, weights: np.ndarray, bounds: np.ndarray, tops: np.nd
     found = np.flatnonzero(total > 0)
     if len(found) > k:
         least = np.partition(total[found], len(found) - k)[len(found) - k]
-        found = found[total[found] >= least - SLACK]
-    order = np.lexsort((found, -np.round(total[found], DIGITS)))[:k]
-    return found[order], total[found[order]]
+        found = found[total[found] >= least - slack]
+    kept = np.zeros(size, dtype=bool)
+    kept[found] = True
+    kept = np.flatnonzero(kept[docs])
+    kept = kept[np.lexsort((weights[kept], docs[kept]))]
+    sums = np.add.reduceat(weights[kept], np.flatnonzero(np.diff(docs[kept], prepend=-1))) if len(found) else np.empty(0)
+    order = np.lexsort((found, -np.round(sums, DIGITS)))[:k]
+    return found[order], sums[order]
 
 
 def _search(table: pa.Table, k: int) -> pa.Table:

@@ -126,3 +126,17 @@ def test_blocks_asked_for_are_read_where_they_lie(docs, questions, monkeypatch):
     plan = found._jdf.queryExecution().sparkPlan().toString() + found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" not in plan.split("keyword_blocks_")[0] and "hashpartitioning(rep" not in plan
     assert ranked(found.collect(), "keyword_score") == ranked(ps.keyword_topk(questions, ps.term_uses(docs, fields=FIELDS), 7).collect(), "keyword_score")
+
+
+def test_equal_weights_in_another_order_are_ties():
+    """(a + b) + c and (c + b) + a round to different ninth digits."""
+    a, b, c = 4.2010516786, 7.4160162688, 6.1261769301
+    nos, scores = ki._best(np.array([0, 0, 0, 1, 1, 1]), np.array([a, b, c, c, b, a]), np.array([0, 6]), np.array([c]), np.array([0.0]), 2, 2)
+    assert nos.tolist() == [0, 1] and scores[0] == scores[1]
+
+
+def test_texts_that_are_null_have_no_part_in_the_mean_length(spark):
+    docs = spark.createDataFrame([("a", "w1 w2"), ("b", "w1 w2 w3 w4"), ("c", ""), ("d", None)], "id string, content string")
+    index = ki.build_index(docs, fields={"content": 1.0}, scoring=ki.Bm25())
+    found = ki.search_index(index, spark.createDataFrame([(1, "w1")], "query_id long, text string")).collect()
+    assert [(r.id, round(r.score, 12)) for r in found] == [("a", round(float(np.log(2.0)), 12)), ("b", round(float(np.log(2.0) * 2.2 / 3.1), 12))]
