@@ -62,7 +62,7 @@ class Tables:
             if kind == "bm25":
                 made[kind] = build_index(self.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), fields={"content": 1.0}, scoring=Bm25())
             else:
-                made[kind] = build_index(self.entries, hashed="content_hash", english=kind == "english")
+                made[kind] = build_index(self.entries, english=kind == "english")      # as in the SQL, entries without a text are found by category and type
         return made[kind]
 
     @cached_property

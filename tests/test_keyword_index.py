@@ -140,3 +140,22 @@ def test_texts_that_are_null_have_no_part_in_the_mean_length(spark):
     index = ki.build_index(docs, fields={"content": 1.0}, scoring=ki.Bm25())
     found = ki.search_index(index, spark.createDataFrame([(1, "w1")], "query_id long, text string")).collect()
     assert [(r.id, round(r.score, 12)) for r in found] == [("a", round(float(np.log(2.0)), 12)), ("b", round(float(np.log(2.0) * 2.2 / 3.1), 12))]
+
+
+def test_entries_without_text_are_found_by_category_and_type(spark, sf_dir, tmp_path):
+    """As in the SQL of the registered queries; with few entries every one that has a word asked for comes up."""
+    from compare import check, connect
+    from loamgrid.workload import load
+    from loamgrid.workload.tables import Tables
+    given, (queries, sql) = Tables(spark, sf_dir), load()
+    empty = F.col("doc_id") % 5 == 3
+    docs = given.documents.where("doc_id < 30").withColumns({"text": F.when(~empty, F.col("text")), "n_chars": F.when(empty, 0).otherwise(F.col("n_chars"))})
+    asked = given.benchmark.withColumn("text", F.when(F.col("item_id") % 4 == 1, "policy de notice").otherwise(F.col("text")))
+    for name, rows in {"documents": docs, "benchmark": asked, "labels": given.labels, "embeddings": given.embeddings}.items():
+        rows.toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    for name in "region nation customer supplier part orders lineitem events pages conversations".split():
+        (tmp_path / f"{name}.parquet").symlink_to(f"{sf_dir}/{name}.parquet")
+    con = connect(str(tmp_path))
+    for name in ("e3_keyword_topk", "e3_english_topk", "e5_rank_fusion", "e7_citations"):
+        ok, message, _ = check(spark, con, queries[name], sql[name], str(tmp_path))
+        assert ok, message
