@@ -3,7 +3,7 @@
 Groups of copies are never gathered: they are summarised by partial aggregation, and their members stay rows."""
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, reduce
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, fits_broadcast, shuffles_emptied, spread
 from .ordered import number_rows, ordered_fold
 
 
@@ -167,6 +167,8 @@ BANDS, ROWS_PER_BAND = 110, 6   # a pair at 0.70 shares no band with probability
 SKETCH_DEVIATIONS = 6.5         # so far under its similarity, in standard deviations, a pair's sketches agree with a probability of about 1e-9
 WIDER = 8                       # how many times as many heads a band has in each further round
 LOT_CELLS = 1 << 15             # cells of 4 bytes that the permutations of a text fill at once
+LOT_ROWS = 1 << 25              # rows and bands that are dealt out at once; where there are more, bands are taken in lots
+MOST_SENT = 1 << 20             # ids that every task may get; more are matched by a shuffle
 
 
 def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
@@ -175,11 +177,11 @@ def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
     mult = rng.integers(0, 2 ** 32, (n, 1), dtype=np.uint32) | np.uint32(1)
     add = rng.integers(0, 2 ** 32, (n, 1), dtype=np.uint32)
 
-    def one(text: str) -> tuple[int, bytes, np.ndarray]:
+    def one(text: str) -> tuple[int, np.ndarray, np.ndarray]:
         points = np.frombuffer((text or "")[:prefix].lower().encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
         count = len(points) - k + 1
         if count < 1:
-            return 0, bytes(n), np.zeros(bands, dtype=np.int64)
+            return 0, np.zeros(n, dtype=np.uint8), np.zeros(bands, dtype=np.int64)
         grams = np.zeros(count, dtype=np.uint64)
         for i in range(k):
             grams = grams * np.uint64(0x9E3779B97F4A7C15) + points[i:i + count]
@@ -200,16 +202,37 @@ def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
         for i in range(rows):
             out = (out ^ banded[:, i]) * np.uint64(0x94D049BB133111EB)
             out ^= out >> np.uint64(32)
-        return len(mixed), (mins >> np.uint64(12)).astype(np.uint8).tobytes(), out.view(np.int64)
+        return len(mixed), (mins >> np.uint64(12)).astype(np.uint8), out.view(np.int64)
+
+    def one_bit(sketch: np.ndarray) -> np.ndarray:
+        packed = np.zeros(-(-n // 64) * 8, dtype=np.uint8)
+        packed[:-(-n // 8)] = np.packbits(sketch & 1)
+        return packed.view(np.int64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             signatures = [one(t) for t in batch["_text"]]
             yield pd.DataFrame({"_id": batch["_id"], "_size": np.array([s[0] for s in signatures], dtype=np.int32),
-                                "_sketch": [s[1] for s in signatures], "_bands": [s[2] for s in signatures]})
+                                "_sketch": [s[1].tobytes() for s in signatures], "_bits": [one_bit(s[1]) for s in signatures], "_bands": [s[2] for s in signatures]})
     return run
 
 
+def _least_share(similarity: float, n: int) -> float:
+    """The share of ``n`` places in which two signatures agree at least, if they do so with the probability ``similarity`` in each."""
+    return similarity - SKETCH_DEVIATIONS * (similarity * (1 - similarity) / n) ** 0.5
+
+
+def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` with one of the ids; the others are left out before anything is shuffled, if a bounded count says that all tasks can have the ids."""
+    known = ids.distinct()
+    return df.join(F.broadcast(known) if fits_broadcast(known, MOST_SENT) else known, "_id", "left_semi")
+
+
+def _sketched(df: DataFrame, signed: DataFrame, id_col: str, name: str, words: int) -> DataFrame:
+    """Add one bit of each minimum, as ``words`` columns of 64."""
+    return df.join(signed.select(F.col("_id").alias(id_col), *[F.col("_bits")[i].alias(f"{name}{i}") for i in range(words)]), id_col)
+
+
 def _sketch_test(least: float):
     """Pairs whose sketches agree in at least the share ``least``."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,48 +256,72 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
     """The ranked-list rule over a whole corpus in id order: ``id, kept_id``; kept rows name themselves.
 
     Equal texts are folded first.  Rows that agree in a band of their min-hash signature may be similar; similarity
-    is then tested exactly, once per pair, unless their sketches (a byte of each minimum) agree in too few places.
+    is then tested exactly, once per pair, unless their sketches agree in too few places.  Pairs of rows that are not similar
+    grow with the square of the rows, so a bit of each minimum is compared where rows meet in a band, and only pairs that
+    pass are written; then a byte of each minimum, then the texts.
     Rounds: in every band the least undecided rows are heads, one in the first round and ``WIDER`` times as many in each
     further one, and all rows of the band are tested against them.  A row that is a head in all its bands has no untested
     earlier rival: without a similar undecided one it is kept, and rows similar to it are dropped.  The first round
     empties groups of copies, however large, at one pair per row and band; once all rows are heads, what is left are
-    rounds over similar pairs alone."""
-    ids = df.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
-    folded = ids.withColumn("_key", F.sha2(F.lower(ids["_text"] if prefix is None else F.left("_text", F.lit(prefix))), 256))
-    first = folded.groupBy("_key").agg(F.min("_id").alias("_rep"))
-    copies = cut_lineage(folded.select("_id", "_key").join(first, "_key").select("_id", "_rep"))
-    texts = ids.join(copies.where("_id = _rep").select("_id"), "_id", "left_semi")
+    rounds over similar pairs alone.  A text missing counts as empty."""
+    with shuffles_emptied(df.sparkSession):
+        return _near_duplicates(df, id_col, text, threshold, k, prefix, bands, rows)
+
 
+def _near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, k: int, prefix: int | None, bands: int, rows: int) -> DataFrame:
+    n = bands * rows
+    words = -(-n // 64)
+    ids = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     id_type = ids.schema["_id"].dataType.simpleString()
-    signed = spread(texts, "_id").mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _size int, _sketch binary, _bands array<bigint>")
+    keyed = cut_lineage(ids.select("_id", F.unhex(F.sha2(F.lower(ids["_text"] if prefix is None else F.left("_text", F.lit(prefix))), 256)).alias("_key")))
+    copies = cut_lineage(keyed.join(keyed.groupBy("_key").agg(F.min("_id").alias("_rep")), "_key").select("_id", "_rep"))
+    again = copies.where("_id <> _rep").select("_id")
+    texts = (ids.join(F.broadcast(again), "_id", "left_anti") if fits_broadcast(again, MOST_SENT) else _among(ids, copies.where("_id = _rep").select("_id")))
+    signed = spread(texts, "_id").mapInPandas(_band_hashes(bands, rows, k, prefix), f"_id {id_type}, _size int, _sketch binary, _bits array<bigint>, _bands array<bigint>")
     signed = cut_lineage(signed)
-    members = signed.select("_id", "_size", F.explode("_bands").alias("_band"))
-    shared = members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
-    live = cut_lineage(members.join(shared, "_band", "left_semi").select("_id", "_size", "_band"))
-    undecided = live.select("_id").distinct()
+
+    def shared(start: int, length: int) -> DataFrame:
+        members = signed.select("_id", "_size", F.explode(F.slice("_bands", start + 1, length)).alias("_band"))
+        several = members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
+        return cut_lineage(members.join(several, "_band", "left_semi").select("_id", "_size", "_band"))
+
+    length = max(1, min(bands, LOT_ROWS // max(signed.count(), 1)))
+    lots = [shared(start, min(length, bands - start)) for start in range(0, bands, length)]
+    undecided = reduce(DataFrame.union, [live.select("_id") for live in lots]).distinct()
     least = Window.partitionBy("_band").orderBy("_id")
+    most_apart = n - int(n * _least_share((1 + threshold) / 2, n))
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"_row{i}").bitwiseXOR(F.col(f"_head_row{i}"))) for i in range(words)])
+    # Gram counts are those of hashed grams, so a pair goes untested only if it is under the bound by more than these may be off.
+    low, high = F.least("_size", "_head_size"), F.greatest("_size", "_head_size")
+    rivals = (F.col("_head") < F.col("_id")) & (low * 1.001 + 2 >= high * threshold) & (apart <= most_apart)
     width, all_tested, tested, similar, decided = 1, False, None, None, None
     while not undecided.isEmpty():
         ready = undecided
         if not all_tested:
-            placed = cut_lineage(live.withColumn("_place", F.row_number().over(least)).where(F.col("_place") <= width + 1))
-            heads = placed.where(F.col("_place") <= width).select("_band", F.col("_id").alias("_head"), F.col("_size").alias("_head_size"))
-            beyond = placed.where(F.col("_place") > width).select("_band", F.col("_id").alias("_from"))
-            # Gram counts are those of hashed grams, so a pair goes untested only if it is under the bound by more than these may be off.
-            low, high = F.least("_size", "_head_size"), F.greatest("_size", "_head_size")
-            pairs = (live.join(heads, "_band").where((F.col("_head") < F.col("_id")) & (low * 1.001 + 2 >= high * threshold))
-                     .select("_id", "_head").distinct())
-            pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["_id", "_head"], "left_anti"))
-            tested = pairs if tested is None else tested.unionByName(pairs)
-            sketches = signed.select("_id", "_sketch")
+            met, waiting = [], []
+            for live in lots:
+                placed = cut_lineage(live.withColumn("_place", F.row_number().over(least)).where(F.col("_place") <= width + 1))
+                heads = placed.where(F.col("_place") <= width).select("_band", F.col("_id").alias("_head"), F.col("_size").alias("_head_size"))
+                beyond = placed.where(F.col("_place") > width).select("_band", F.col("_id").alias("_from"))
+                pairs = (_sketched(live, signed, "_id", "_row", words).join(_sketched(heads, signed, "_head", "_head_row", words), "_band")
+                         .where(rivals).select("_id", "_head").distinct())
+                pairs = cut_lineage(pairs if tested is None else pairs.join(tested, ["_id", "_head"], "left_anti"))
+                tested = pairs if tested is None else tested.union(pairs)
+                met.append(pairs)
+                if not beyond.isEmpty():
+                    waiting.append(cut_lineage(live.join(beyond, "_band").where("_id >= _from").select("_id").distinct()))
+            pairs = reduce(DataFrame.union, met)
+            sketches = _among(signed.select("_id", "_sketch"), pairs.select("_id").union(pairs.select("_head")))
             close = cut_lineage(pairs.join(sketches, "_id").join(sketches.select(F.col("_id").alias("_head"), F.col("_sketch").alias("_head_sketch")), "_head")
                                 .select("_id", "_head", "_sketch", "_head_sketch")
-                                .mapInPandas(_sketch_test(threshold - SKETCH_DEVIATIONS * (threshold * (1 - threshold) / (bands * rows)) ** 0.5), f"_id {id_type}, _head {id_type}"))
-            found = (close.join(texts, "_id").join(texts.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")
+                                .mapInPandas(_sketch_test(_least_share(threshold, n)), f"_id {id_type}, _head {id_type}"))
+            read = _among(ids, close.select("_id").union(close.select("_head")))
+            found = (close.join(read, "_id").join(read.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")
                      .select("_id", "_head", "_text", "_head_text").mapInPandas(_pair_test(threshold, k, prefix), f"_id {id_type}, _head {id_type}"))
             similar = cut_lineage(found if similar is None else similar.unionByName(found))
-            ready = undecided.join(live.join(beyond, "_band").where("_id >= _from").select("_id"), "_id", "left_anti")
-            all_tested = beyond.isEmpty()
+            for later in waiting:
+                ready = ready.join(later, "_id", "left_anti")
+            all_tested = not waiting
             width *= WIDER
         kept = ready.join(similar.select("_id"), "_id", "left_anti")
         dropped = similar.join(kept.select(F.col("_id").alias("_head")), "_head", "left_semi").groupBy("_id").agg(F.min("_head").alias("_kept"))
@@ -283,7 +330,7 @@ def near_duplicates(df: DataFrame, id_col: str = "id", text: str = "content", th
         undecided = cut_lineage(undecided.join(now, "_id", "left_anti"))
         similar = cut_lineage(similar.join(now, "_id", "left_anti").join(now.select(F.col("_id").alias("_head")), "_head", "left_anti"))
         if not all_tested:
-            live = cut_lineage(live.join(now, "_id", "left_anti"))
+            lots = [cut_lineage(live.join(now, "_id", "left_anti")) for live in lots]
     if decided is None:
         return copies.select(F.col("_id").alias(id_col), F.col("_rep").alias("kept_id"))
     return (copies.join(decided.select(F.col("_id").alias("_rep"), "_kept"), "_rep", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_emptied(spark: SparkSession) -> Iterator[None]:
+    """What a plan has shuffled is deleted when it has run, instead of when the driver's memory is next cleaned; for work that
+    goes from one ``cut_lineage`` to the next."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """True if ``df`` holds at most ``max_rows`` rows; the scan stops one row past the bound."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -82,6 +82,47 @@ def test_corpus_dedupe_takes_few_rounds(spark, monkeypatch):
     assert len(written) < 40
 
 
+def test_corpus_dedupe_writes_few_pairs_of_unlike_rows(spark, monkeypatch):
+    """Rows of one vocabulary agree in bands without being similar; such pairs grow with the square of the rows and are not written."""
+    rng = np.random.default_rng(11)
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:20] for i in range(200)]
+    df = spark.createDataFrame([(i, " ".join(rng.choice(words, 220))) for i in range(40)], "id int, content string")
+    pairs, cut = [], dd.cut_lineage
+
+    def counted(rows):
+        out = cut(rows)
+        pairs.extend([out.count()] if out.columns == ["_id", "_head"] else [])
+        return out
+    monkeypatch.setattr(dd, "cut_lineage", counted)
+    assert dd.near_duplicates(df).where("id <> kept_id").count() == 0
+    assert sum(pairs) < 40
+
+
+def test_corpus_dedupe_in_lots_of_bands(spark, monkeypatch):
+    rows = corpus(seed=7, n=50)
+    monkeypatch.setattr(dd, "LOT_ROWS", 60 * len(rows))
+    monkeypatch.setattr(dd, "MOST_SENT", 5)
+    got = {r["id"]: r["kept_id"] for r in dd.near_duplicates(spark.createDataFrame(rows, "id int, content string")).collect()}
+    assert {i for i, k in got.items() if i == k} == {i for i, j in greedy(rows).items() if i == j}
+    texts = dict(rows)
+    assert len(got) == len(rows) and all(similarity(texts[i], texts[k]) > 0.70 for i, k in got.items())
+
+
+def test_corpus_dedupe_keeps_rows_without_a_text(spark):
+    df = spark.createDataFrame([(1, None), (2, "alpha bravo carbon"), (3, None), (4, "")], "id int, content string")
+    assert {(r["id"], r["kept_id"]) for r in dd.near_duplicates(df).collect()} == {(1, 1), (2, 2), (3, 1), (4, 1)}
+
+
+def test_shuffles_are_emptied(spark):
+    from loamgrid.session import shuffles_emptied
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, None)
+    with pytest.raises(ValueError), shuffles_emptied(spark):
+        assert spark.conf.get(setting) == "true"
+        raise ValueError
+    assert spark.conf.get(setting, None) == before
+
+
 def vectors(spark, seed=1, n=300, q=40, dims=16):
     rng = np.random.default_rng(seed)
     v = rng.normal(size=(n, dims)).astype("float32")
