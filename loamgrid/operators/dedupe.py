@@ -166,9 +166,9 @@ def dedupe_ranked(df: DataFrame, key: str = "query_id", rank: str = "rank", text
 BANDS, ROWS_PER_BAND = 110, 6   # a pair at 0.70 shares no band with probability (1 - 0.7^6)^110, about 1e-6
 SKETCH_DEVIATIONS = 6.5         # so far under its similarity, in standard deviations, a pair's sketches agree with a probability of about 1e-9
 WIDER = 8                       # how many times as many heads a band has in each further round
-LOT_CELLS = 1 << 15             # cells of 4 bytes that the permutations of a text fill at once
-LOT_ROWS = 1 << 25              # rows and bands that are dealt out at once; where there are more, bands are taken in lots
-MOST_SENT = 1 << 20             # ids that every task may get; more are matched by a shuffle
+LOT_CELLS = 1 << 16             # cells of 4 bytes that the permutations of a text fill at once
+LOT_ROWS = 1 << 24              # rows of bands that are dealt out at once; where there are more, bands are taken in lots
+MOST_SENT = 1 << 20             # ids or bands that every task may get; more are matched by a shuffle
 
 
 def _band_hashes(bands: int, rows: int, k: int, prefix: int | None):
@@ -222,10 +222,23 @@ def _least_share(similarity: float, n: int) -> float:
     return similarity - SKETCH_DEVIATIONS * (similarity * (1 - similarity) / n) ** 0.5
 
 
-def _among(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` with one of the ids; the others are left out before anything is shuffled, if a bounded count says that all tasks can have the ids."""
-    known = ids.distinct()
-    return df.join(F.broadcast(known) if fits_broadcast(known, MOST_SENT) else known, "_id", "left_semi")
+def _among(df: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of ``df`` with one of the different values ``known`` (one column); the others are left out before anything is shuffled, if a bounded count says
+    that all tasks can have the values."""
+    return df.join(F.broadcast(known) if fits_broadcast(known, MOST_SENT) else known, known.columns[0], "left_semi")
+
+
+def _in_lots(tables: list[DataFrame]) -> list[DataFrame]:
+    """Tables in a row put together as long as they have no more than ``LOT_ROWS`` rows."""
+    lots, size = [], 0
+    for table in tables:
+        n = table.count()
+        if lots and size + n <= LOT_ROWS:
+            lots[-1], size = lots[-1].union(table), size + n
+        else:
+            lots.append(table)
+            size = n
+    return lots
 
 
 def _sketched(df: DataFrame, signed: DataFrame, id_col: str, name: str, words: int) -> DataFrame:
@@ -282,11 +295,11 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, k:
 
     def shared(start: int, length: int) -> DataFrame:
         members = signed.select("_id", "_size", F.explode(F.slice("_bands", start + 1, length)).alias("_band"))
-        several = members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band")
-        return cut_lineage(members.join(several, "_band", "left_semi").select("_id", "_size", "_band"))
+        several = cut_lineage(members.groupBy("_band").agg(F.count("*").alias("_n")).where("_n > 1").select("_band"))
+        return cut_lineage(_among(members, several).select("_id", "_size", "_band"))
 
     length = max(1, min(bands, LOT_ROWS // max(signed.count(), 1)))
-    lots = [shared(start, min(length, bands - start)) for start in range(0, bands, length)]
+    lots = _in_lots([shared(start, min(length, bands - start)) for start in range(0, bands, length)])
     undecided = reduce(DataFrame.union, [live.select("_id") for live in lots]).distinct()
     least = Window.partitionBy("_band").orderBy("_id")
     most_apart = n - int(n * _least_share((1 + threshold) / 2, n))
@@ -311,11 +324,11 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, k:
                 if not beyond.isEmpty():
                     waiting.append(cut_lineage(live.join(beyond, "_band").where("_id >= _from").select("_id").distinct()))
             pairs = reduce(DataFrame.union, met)
-            sketches = _among(signed.select("_id", "_sketch"), pairs.select("_id").union(pairs.select("_head")))
+            sketches = _among(signed.select("_id", "_sketch"), pairs.select("_id").union(pairs.select("_head")).distinct())
             close = cut_lineage(pairs.join(sketches, "_id").join(sketches.select(F.col("_id").alias("_head"), F.col("_sketch").alias("_head_sketch")), "_head")
                                 .select("_id", "_head", "_sketch", "_head_sketch")
                                 .mapInPandas(_sketch_test(_least_share(threshold, n)), f"_id {id_type}, _head {id_type}"))
-            read = _among(ids, close.select("_id").union(close.select("_head")))
+            read = _among(ids, close.select("_id").union(close.select("_head")).distinct())
             found = (close.join(read, "_id").join(read.select(F.col("_id").alias("_head"), F.col("_text").alias("_head_text")), "_head")
                      .select("_id", "_head", "_text", "_head_text").mapInPandas(_pair_test(threshold, k, prefix), f"_id {id_type}, _head {id_type}"))
             similar = cut_lineage(found if similar is None else similar.unionByName(found))
@@ -330,7 +343,7 @@ def _near_duplicates(df: DataFrame, id_col: str, text: str, threshold: float, k:
         undecided = cut_lineage(undecided.join(now, "_id", "left_anti"))
         similar = cut_lineage(similar.join(now, "_id", "left_anti").join(now.select(F.col("_id").alias("_head")), "_head", "left_anti"))
         if not all_tested:
-            lots = [cut_lineage(live.join(now, "_id", "left_anti")) for live in lots]
+            lots = _in_lots([cut_lineage(live.join(now, "_id", "left_anti")) for live in lots])
     if decided is None:
         return copies.select(F.col("_id").alias(id_col), F.col("_rep").alias("kept_id"))
     return (copies.join(decided.select(F.col("_id").alias("_rep"), "_kept"), "_rep", "left")
